@@ -15,23 +15,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgrid.functions.lets import let
-
 RANGES = 64
 HOT_ROWS = 1_000_000
 HOT_KEYS = 10_000
 SALTS = 32
 
 
-def range_of(value: Column, bounds: Column) -> Column:
-    """Index of the range of ``value`` among ascending ``bounds``."""
-    return let(value, lambda v: F.size(F.filter(bounds, lambda b: b < v)))
-
+def with_range(df: DataFrame, value: Column, source: DataFrame, measured: Column,
+               ranges: int = RANGES) -> DataFrame:
+    """Add ``_range``: which of about equally filled ranges of ``measured`` holds ``value``.
 
-def _bounds(df: DataFrame, value: Column, ranges: int) -> Column:
+    The bounds are a quantile sketch of ``source`` of fixed size, attached as a scalar subquery.
+    Comparing with each of them keeps the step inside generated code.
+    """
     cuts = [i / ranges for i in range(1, ranges)]
-    sketch = F.percentile_approx(value, cuts, 10_000)
-    return df.agg(F.array_distinct(sketch).alias("bounds")).scalar()
+    bounds = source.agg(F.percentile_approx(measured, cuts, 10_000).alias("b")).scalar()
+    place = F.lit(0)
+    for i in range(ranges - 1):
+        place = place + F.coalesce((value > F.get("_bounds", F.lit(i))).cast("int"), F.lit(0))
+    return df.withColumn("_bounds", bounds).withColumn("_range", place).drop("_bounds")
 
 
 def number_within(
@@ -49,8 +51,7 @@ def number_within(
     Counts per (key, range) are pre-aggregated; their running sum is the offset of each range.
     """
     value = F.col(order).cast("double")
-    bounds = _bounds(df, value, ranges)
-    ranged = df.withColumn("_range", range_of(value, bounds))
+    ranged = with_range(df, value, df, value, ranges)
     group = [*keys, "_range"]
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -126,11 +127,10 @@ def exact_percentiles(
     rows = df.where(F.col(value).isNotNull())
     if keys == ["_all"]:
         rows = rows.withColumn("_all", F.lit(0))
-    bounds = _bounds(rows, F.col(value).cast("double"), ranges)
-    counted = (
-        rows.groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_range", range_of(F.col("_v"), bounds))
+    measured = F.col(value).cast("double")
+    counted = with_range(
+        rows.groupBy(*keys, measured.alias("_v")).agg(F.count(F.lit(1)).alias("_c")),
+        F.col("_v"), rows, measured, ranges,
     )
     by_key = Window.partitionBy(*keys)
     running = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
