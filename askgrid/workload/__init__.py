@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("retrieval", "understanding", "conversations", "evaluation")
+TOPICS = ("ingest", "retrieval", "understanding", "conversations", "evaluation")
 
 
 def _registries():
