@@ -31,7 +31,7 @@ class Codec:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, WHITE + "+"), lambda t: t != "")
+    return F.array_remove(F.split(text, WHITE + "+"), "")
 
 
 WORDS = Codec("words", "1", _words, " ", gap=0)

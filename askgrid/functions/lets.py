@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def indexed(values: Column) -> Column:
     """``array<T>`` to ``array<struct<i: 0-based index, v: T>>``."""
     return F.transform(values, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` plus ``columns``, evaluated once however often later steps filter or read them.
+
+    A filter on a plain projected column is pushed below it together with a copy of its
+    expression. A generator stops that, at the cost of a one-element array per row.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select(*df.columns, F.explode(packed).alias("_once")).select(
+        *kept, *[F.col(f"_once.{n}").alias(n) for n in columns]
+    )

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four information separators.
-WHITE = r"(?U)[\s\x1c-\x1f]"
-_EDGES = rf"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-_RIGHT = rf"(?U)[\s\x1c-\x1f]+$"
+# The white space characters of Unicode plus the four information separators, as
+# a character set for trimming and as a regular expression class.
+WHITE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # Control characters that make a text file binary: all below 32 except tab and line feed, and
 # 127 to 159.
@@ -17,16 +21,16 @@ ANY_CONTROL = r"[\x00-\x1f]"
 
 
 def strip(col: Column) -> Column:
-    """Trim all white space, not only blanks, from both ends."""
-    return F.regexp_replace(col, _EDGES, "")
+    """Trim all white space, not only blanks, from both ends; touches only the ends."""
+    return F.btrim(col, F.lit(WHITE_CHARS))
 
 
 def rstrip(col: Column) -> Column:
-    return F.regexp_replace(col, _RIGHT, "")
+    return F.rtrim(col, F.lit(WHITE_CHARS))
 
 
 def is_blank(col: Column) -> Column:
-    return F.length(strip(col)) == 0
+    return strip(col) == ""
 
 
 def squeeze_case(col: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askgrid.functions.lets import computed_once
 from askgrid.functions.text import DISALLOWED_CONTROL, strip
 
 MAX_FILE_BYTES = 50 * 1024 * 1024
@@ -62,13 +63,12 @@ def base_media_type(media_type: Column) -> Column:
     return F.nullif(strip(F.lower(F.split(media_type, ";")[0])), F.lit(""))
 
 
-def format_code(filename: Column, media_type: Column) -> tuple[Column, Column]:
-    """``(format, reject code)`` from the extension and the declared media type.
+def format_code(suffix: Column, declared: Column) -> tuple[Column, Column]:
+    """``(format, reject code)`` from ``extension`` and ``base_media_type``.
 
     A known extension decides; an unknown one is rejected whatever the media type says. A
     generic media type never conflicts, any other must agree with the extension.
     """
-    suffix, declared = extension(filename), base_media_type(media_type)
     by_suffix, by_type = _lookup(EXTENSIONS, suffix), _lookup(MEDIA_TYPES, declared)
     code = (
         F.when((suffix != "") & by_suffix.isNull(), "unsupported_type")
@@ -99,40 +99,42 @@ def identify(df: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_chars: int = MA
     null for binary formats.
     """
     content = F.col("content")
-    fmt, type_code = format_code(F.col("filename"), F.col("media_type"))
-    sized = df.withColumns({
+    typed = computed_once(df, {
         "byte_size": F.octet_length(content),
-        "document_format": fmt,
-        "_type_code": type_code,
         "content_sha256": F.sha2(content, 256),
+        "_suffix": extension(F.col("filename")),
+        "_declared": base_media_type(F.col("media_type")),
     })
+    fmt, type_code = format_code(F.col("_suffix"), F.col("_declared"))
+    sized = computed_once(typed, {"document_format": fmt, "_type_code": type_code}).drop(
+        "_suffix", "_declared")
     binary = F.col("document_format").isin(*BINARY_FORMATS)
     signed = F.when(
         F.col("document_format") == "pdf",
         F.startswith(content, F.unhex(F.lit("255044462D"))),
     ).otherwise(F.contains(content, F.unhex(F.lit("504B0506"))))
-    readable = F.is_valid_utf8(content.cast("string"))
-    small = F.col("byte_size").between(1, max_bytes)
-    with_text = sized.withColumn(
-        "_text", F.when(small & F.col("_type_code").isNull() & ~binary & readable,
-                        decoded(content)),
-    )
-    code = (
+    early = (
         F.when(F.coalesce(F.col("byte_size"), F.lit(0)) == 0, "empty_file")
         .when(F.col("byte_size") > max_bytes, "file_too_large")
         .when(F.col("_type_code").isNotNull(), F.col("_type_code"))
         .when(binary & ~signed, "invalid_file_signature")
         .when(binary, F.lit(None))
         .when(F.contains(content, F.unhex(F.lit("00"))), "binary_content")
-        .when(~readable, "invalid_encoding")
-        .when(F.length("_text") > max_chars, "resource_limit_exceeded")
-        .when(F.col("_text").rlike(DISALLOWED_CONTROL), "binary_content")
+        .when(~F.is_valid_utf8(content.cast("string")), "invalid_encoding")
+    )
+    opened = computed_once(sized, {"_early": early})
+    readable = F.col("_early").isNull() & ~binary
+    decoded_once = computed_once(opened, {"text": F.when(readable, decoded(content))})
+    code = (
+        F.when(F.col("_early").isNotNull(), F.col("_early"))
+        .when(F.length("text") > max_chars, "resource_limit_exceeded")
+        .when(F.col("text").rlike(DISALLOWED_CONTROL), "binary_content")
     )
     return (
-        with_text.withColumn("reject_code", code)
+        computed_once(decoded_once, {"reject_code": code})
         .withColumn("canonical_type", _lookup(CANONICAL_TYPES, F.col("document_format")))
-        .withColumn("text", F.when(F.col("reject_code").isNull(), F.col("_text")))
-        .drop("_type_code", "_text")
+        .withColumn("text", F.when(F.col("reject_code").isNull(), F.col("text")))
+        .drop("_type_code", "_early")
     )
 
 

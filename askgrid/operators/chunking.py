@@ -30,12 +30,13 @@ def _check(target: int, overlap: int) -> None:
 def token_windows(tokens: Column, codec: Codec, target: int, overlap: int) -> Column:
     """``array<struct<content, token_count, overlap>>`` of windows over a token array.
 
-    One window up to ``target`` tokens, else ``ceil((n - overlap) / (target - overlap))``.
+    No window without tokens, one up to ``target`` tokens, else ``ceil((n - overlap) / (target - overlap))``.
     """
     _check(target, overlap)
     step = target - overlap
     n = F.size(tokens)
-    count = F.when(n <= target, 1).otherwise(F.ceil((n - overlap) / step).cast("int"))
+    count = F.when(n <= target, F.least(n, F.lit(1))).otherwise(
+        F.ceil((n - overlap) / step).cast("int"))
 
     def window(i: Column) -> Column:
         part = F.slice(tokens, i * step + 1, F.lit(target))
@@ -48,7 +49,8 @@ def token_windows(tokens: Column, codec: Codec, target: int, overlap: int) -> Co
             F.when(i == 0, 0).otherwise(overlap).cast("int").alias("overlap"),
         )
 
-    return F.transform(F.sequence(F.lit(0), count - 1), window)
+    # Without tokens the counter array is cut to nothing.
+    return F.transform(F.slice(F.sequence(F.lit(0), count), F.lit(1), count), window)
 
 
 def window_tokens(df: DataFrame, key: str = "doc_id", text: str = "text",
@@ -58,8 +60,7 @@ def window_tokens(df: DataFrame, key: str = "doc_id", text: str = "text",
     kind = resolve_codec(codec)
     tokens = df.select(key, kind.encode(F.col(text)).alias("_t"))
     return (
-        tokens.where(F.size("_t") > 0)
-        .select(key, F.posexplode(token_windows(F.col("_t"), kind, target, overlap)).alias(
+        tokens.select(key, F.posexplode(token_windows(F.col("_t"), kind, target, overlap)).alias(
             "window_index", "w"))
         .select(key, "window_index", "w.*")
     )

@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.functions.lets import indexed, let
-from askgrid.functions.text import rstrip, strip
+from askgrid.functions.lets import computed_once, indexed, let
+from askgrid.functions.text import is_blank, rstrip, strip
 
 BLOCK = (
     "struct<ordinal:int,kind:string,text:string,start_line:int,end_line:int,"
     "section_path:array<string>,page_number:int,heading_level:int,code_language:string>"
 )
-_INK = r"(?U)[^\s\x1c-\x1f]"
 
 
 def _block(kind, text, start, end, path=None, level=None, language=None) -> list[Column]:
@@ -75,7 +74,7 @@ def paragraph_blocks(text: Column) -> Column:
         let(
             F.split(text, "\n"),
             lambda lines: let(
-                F.transform(lines, lambda line: line.rlike(_INK)),
+                F.transform(lines, lambda line: ~is_blank(line)),
                 lambda full: build(lines, full),
             ),
         )
@@ -89,6 +88,8 @@ _ATX = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$"
 _ATX_LINE = r"^ {0,3}#{1,6}(?:[ \t]|$)"
 _RULE = r"^ {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$"
 _UNDERLINE = r"^ {0,3}(?:=+|-+)[ \t]*$"
+# Cheap first test: only such lines can be anything but text.
+_SPECIAL = r"^\s*[#=*_+0-9-]"
 _ITEM = r"^\s*(?:[-*+]|\d{1,9}[.)])[ \t]+(?=\S)"
 _STATE = "struct<open:int,mark:string,info:string,found:array<struct<s:int,e:int,info:string,closed:boolean>>>"
 _STACK = ("struct<stack:array<struct<level:int,text:string>>,"
@@ -152,10 +153,11 @@ def _line_kinds(lines: Column, fences: Column) -> Column:
     """``array<struct<i, v, kind>>``; kind 'setext' underlines a paragraph above it."""
 
     def kind(i: Column, v: Column) -> Column:
-        fenced = F.exists(fences, lambda f: (i >= f["s"]) & (i <= f["e"]))
+        fenced = (F.size(fences) > 0) & F.exists(fences, lambda f: (i >= f["s"]) & (i <= f["e"]))
         return (
             F.when(fenced, "fence")
-            .when(~v.rlike(_INK), "blank")
+            .when(is_blank(v), "blank")
+            .when(~v.rlike(_SPECIAL), "text")
             .when(v.rlike(_ATX_LINE), "heading")
             .when(v.rlike(_UNDERLINE), "underline")
             .when(v.rlike(_RULE), "rule")
@@ -438,28 +440,30 @@ def segment_markdown(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 def segment_csv(df: DataFrame, key: str = "doc_id", text: str = "text", **limits: int
                 ) -> tuple[DataFrame, DataFrame]:
     """``(blocks, rejects)``."""
-    parsed = df.select(key, csv_parse(F.col(text), **limits).alias("_p"))
-    blocks = _explode_blocks(parsed.where("_p.code is null"), F.col("_p.blocks"), key)
-    rejects = parsed.where("_p.code is not null").select(key, F.col("_p.code").alias("reject_code"))
+    parsed = computed_once(
+        df.select(key, text), {"_p": csv_parse(F.col(text), **limits)}
+    ).select(key, "_p.*")
+    blocks = _explode_blocks(parsed.where("code is null"), F.col("blocks"), key)
+    rejects = parsed.where("code is not null").select(key, F.col("code").alias("reject_code"))
     return blocks, rejects
 
 
 def with_blocks(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``blocks`` and ``parse_code`` by ``document_format``, one row per document."""
     fmt = F.col("document_format")
-    table = F.when(fmt == "csv", csv_parse(F.col(text)))
     none = F.lit(None).cast(f"array<{BLOCK}>")
-    parsed = df.withColumn("_csv", table).withColumn(
-        "blocks",
-        F.when(fmt == "plain_text", paragraph_blocks(F.col(text)))
-        .when(fmt == "markdown", markdown_blocks(F.col(text)))
-        .when(fmt == "csv", F.col("_csv.blocks"))
-        .otherwise(none),
+    parsed = F.when(fmt == "csv", csv_parse(F.col(text))).otherwise(
+        F.struct(
+            F.when(fmt == "plain_text", paragraph_blocks(F.col(text)))
+            .when(fmt == "markdown", markdown_blocks(F.col(text)))
+            .otherwise(none).alias("blocks"),
+            F.lit(None).cast("string").alias("code"),
+        ).cast(CSV_PARSED)
     )
-    empty = F.coalesce(F.size("blocks"), F.lit(-1)) <= 0
-    return parsed.withColumn(
-        "parse_code",
-        F.coalesce(F.col("_csv.code"),
-                   F.when(F.col("blocks").isNull(), "unsupported_type").when(
-                       empty, "empty_content")),
-    ).drop("_csv")
+    out = computed_once(df, {"_p": parsed})
+    code = F.coalesce(
+        F.col("_p.code"),
+        F.when(F.col("_p.blocks").isNull(), "unsupported_type").when(
+            F.size("_p.blocks") == 0, "empty_content"),
+    )
+    return out.withColumns({"blocks": F.col("_p.blocks"), "parse_code": code}).drop("_p")

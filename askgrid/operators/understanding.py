@@ -13,7 +13,7 @@ from askgrid.functions.routes import (
     decide,
     score_profile,
 )
-from askgrid.functions.lets import let
+from askgrid.functions.lets import computed_once, let
 from askgrid.functions.text import strip
 
 MAX_QUESTION_CHARS = 10_000
@@ -41,9 +41,9 @@ def parse_rewrites(responses: DataFrame, max_sub_questions: int = MAX_SUB_QUESTI
     """
     shape = r"^OBJECT<rewritten_question: STRING, sub_questions: ARRAY<STRING>>$"
     value = F.try_parse_json("content")
-    typed = responses.select("request_id", value.alias("_v")).select(
-        "request_id",
-        F.when(
+    parsed = computed_once(responses.select("request_id", "content"), {"_v": value})
+    typed = computed_once(parsed.select("request_id", "_v"), {
+        "_p": F.when(
             F.schema_of_variant("_v").rlike(shape),
             F.struct(
                 strip(F.variant_get("_v", "$.rewritten_question", "string")).alias("q"),
@@ -51,8 +51,8 @@ def parse_rewrites(responses: DataFrame, max_sub_questions: int = MAX_SUB_QUESTI
                     F.variant_get("_v", "$.sub_questions", "array<string>"), strip
                 ).alias("subs"),
             ),
-        ).alias("_p"),
-    )
+        ),
+    })
 
     def good(text: Column) -> Column:
         return (F.length(text) > 0) & (F.length(text) <= MAX_QUESTION_CHARS)
@@ -66,11 +66,13 @@ def parse_rewrites(responses: DataFrame, max_sub_questions: int = MAX_SUB_QUESTI
         & (F.size(F.array_distinct(subs)) == F.size(subs)),
         F.lit(False),
     )
-    return typed.select(
+    judged = computed_once(typed, {"valid": valid})
+    valid = F.col("valid")
+    return judged.select(
         "request_id",
         F.when(valid, F.col("_p.q")).alias("rewritten_question"),
         F.when(valid, subs).alias("sub_questions"),
-        valid.alias("valid"),
+        "valid",
     )
 
 
@@ -111,9 +113,12 @@ def parse_intents(responses: DataFrame) -> DataFrame:
     """
     fields = ", ".join(f"{route}: {_NUMBER}" for route in sorted(ROUTES))
     shape = rf"^OBJECT<clarification_question: (VOID|STRING), scores: OBJECT<{fields}>>$"
-    typed = responses.select(
-        "request_id", F.try_parse_json("content").alias("_v")
-    ).withColumn("_shaped", F.coalesce(F.schema_of_variant("_v").rlike(shape), F.lit(False)))
+    parsed = computed_once(
+        responses.select("request_id", "content"), {"_v": F.try_parse_json("content")})
+    typed = computed_once(parsed.select("request_id", "_v"), {
+        "_v": F.col("_v"),
+        "_shaped": F.coalesce(F.schema_of_variant("_v").rlike(shape), F.lit(False)),
+    })
     scores = {
         route: F.when(F.col("_shaped"), F.variant_get("_v", f"$.scores.{route}", "double"))
         for route in ROUTES
@@ -121,8 +126,9 @@ def parse_intents(responses: DataFrame) -> DataFrame:
     question = F.when(
         F.col("_shaped"), strip(F.variant_get("_v", "$.clarification_question", "string"))
     )
-    out = typed.withColumns(
-        {**{f"{r}_score": c for r, c in scores.items()}, "clarification_question": question}
+    out = computed_once(
+        typed,
+        {**{f"{r}_score": c for r, c in scores.items()}, "clarification_question": question},
     )
     valid = F.col("_shaped")
     for route in ROUTES:

@@ -26,3 +26,13 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     target = folder or shared_folder(df.sparkSession)
     df.write.mode("overwrite").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition a scan by ``key`` only if it has fewer splits than the cluster has cores.
+
+    Meant for work done inside the row, where one large input split would keep one core busy. A
+    large table has more splits than cores and is left alone, so nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from askgrid.functions.vectors import hash_vector
 from askgrid.operators.scope import IndexConfig
+from askgrid.plans.shared import spread
 
 DIMENSION = 64
 CONFIG = IndexConfig("hash-embedder", "r1", DIMENSION, True)
@@ -19,6 +20,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents spread over the cores where the file has fewer splits than that."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 class Registry:
     """Queries of one topic with their SQL twins."""
 

@@ -23,7 +23,7 @@ def _a3(spark, d):
     i = F.col("doc_id") % 5
     line = F.concat(F.lit("doc_id: DOC_"), F.col("doc_id").cast("string"), F.lit("\n"))
     head = F.when(i == 0, "").when(i == 1, F.concat(line, line)).otherwise(line)
-    rows = table(spark, d, "documents").select("doc_id", F.concat(head, "text").alias("text"))
+    rows = data.documents(spark, d).select("doc_id", F.concat(head, "text").alias("text"))
     good, bad = extract_front_matter_id(rows)
     return good.select("doc_id", F.lit("").alias("reject_code"), "doc_key").unionByName(
         bad.select("doc_id", "reject_code", F.lit("").alias("doc_key")))
@@ -54,7 +54,7 @@ def uploads(spark, d):
                                F.replace("text", F.lit("\n"), F.lit("\r\n")).cast("binary")))
         .otherwise(raw)
     )
-    return table(spark, d, "documents").select(
+    return data.documents(spark, d).select(
         "doc_id", name.alias("filename"), media.alias("media_type"), content.alias("content"))
 
 
@@ -106,7 +106,7 @@ def _a4a(spark, d):
 @R.add("a7_content_fingerprint", """
 select doc_id, sha256(text) as content_sha256 from documents""")
 def _a7(spark, d):
-    rows = table(spark, d, "documents").withColumns({
+    rows = data.documents(spark, d).withColumns({
         "content": F.col("text").cast("binary"), "filename": F.lit("a.txt"),
         "media_type": F.lit("text/plain")}).drop("text")
     return admission.identify(rows).select("doc_id", "content_sha256")
@@ -119,7 +119,7 @@ def spaced(spark, d):
     text = F.array_join(
         F.transform(F.split("text", "\n"), lambda line, i: F.concat(
             line, F.when((i + 1) % 3 == 0, "\n").otherwise(""))), "\n")
-    return table(spark, d, "documents").select("doc_id", text.alias("text"), "source", "lang")
+    return data.documents(spark, d).select("doc_id", text.alias("text"), "source", "lang")
 
 
 LINES_SQL = r"""lines as (
@@ -174,7 +174,7 @@ def _a10(spark, d):
         F.lit("id,lang,lang,\n"), F.col("doc_id").cast("string"), F.lit(", "), "lang",
         F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('",'), "source",
         F.lit('\n7,"a,b","say ""x""",\n,,,\n\n'))
-    rows = table(spark, d, "documents").select("doc_id", text.alias("text"))
+    rows = data.documents(spark, d).select("doc_id", text.alias("text"))
     blocks, _ = segment.segment_csv(rows)
     return blocks.select("doc_id", "ordinal", "start_line", "end_line",
                          F.sha2("text", 256).alias("text_sha256"))
@@ -183,7 +183,7 @@ def _a10(spark, d):
 @R.add("a11_empty_documents", """
 select doc_id, 'empty_content' as reject_code from documents where n_chars % 4 = 0""")
 def _a11(spark, d):
-    rows = table(spark, d, "documents").withColumn(
+    rows = data.documents(spark, d).withColumn(
         "text", F.when(F.col("n_chars") % 4 == 0, " \n\t\n").otherwise(F.col("text")))
     return admission.reject_empty(rows, segment.segment_paragraphs(rows))
 
@@ -212,7 +212,7 @@ windows as (
 select doc_id, window_index, token_count, overlap, sha256(content) as content_sha256
 from windows""")
 def _a13(spark, d):
-    return chunking.window_tokens(table(spark, d, "documents")).select(
+    return chunking.window_tokens(data.documents(spark, d)).select(
         "doc_id", "window_index", "token_count", "overlap",
         F.sha2("content", 256).alias("content_sha256"))
 
@@ -225,7 +225,7 @@ select w.doc_id, window_index as chunk_index, token_count, overlap as overlap_to
   'part > ' || d.source as section, 1 as start_line, len(string_split(d.text, chr(10))) as end_line
 from windows w join documents d using (doc_id) join counted c using (doc_id)""")
 def _a14(spark, d):
-    docs = table(spark, d, "documents")
+    docs = data.documents(spark, d)
     trimmed = F.regexp_replace("text", r"^\s+|\s+$", "")
     block = F.struct(
         F.lit(0).alias("ordinal"), F.lit("paragraph").alias("kind"), trimmed.alias("text"),
@@ -256,7 +256,7 @@ def _a15(spark, d):
     from askgrid.functions.codecs import CHARS, WORDS
 
     text = F.col("text")
-    return table(spark, d, "documents").select(
+    return data.documents(spark, d).select(
         "doc_id", F.size(WORDS.encode(text)).alias("words"),
         F.size(CHARS.encode(text)).alias("chars"))
 
@@ -271,7 +271,7 @@ units as (select doc_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v
 select doc_id, len(u) as dimension, round(u[1], 4) as first, round(u[32], 4) as middle,
   round(u[64], 4) as last from units""")
 def _a16(spark, d):
-    out = embedding.embed(table(spark, d, "documents"), "text", dimension=64)
+    out = embedding.embed(data.documents(spark, d), "text", dimension=64)
     return out.select(
         "doc_id", F.size("embedding").alias("dimension"),
         *[F.round(F.col("embedding")[i].cast("double"), 4).alias(n)
@@ -299,7 +299,7 @@ def _a17(spark, d):
 # --- versions -------------------------------------------------------------------------------
 
 def attempts(spark, d):
-    return table(spark, d, "documents").select(
+    return data.documents(spark, d).select(
         F.col("lang").alias("knowledge_base_id"), F.col("source").alias("source_key"),
         F.col("doc_id").alias("attempt_seq"),
         F.concat(F.lit("file"), F.col("doc_id").cast("string")).alias("filename"),
@@ -311,7 +311,7 @@ def attempts(spark, d):
 
 def stored_documents(spark, d):
     """Documents known before the batch: those of labelled rows, and one key never seen again."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(
+    docs = data.documents(spark, d).join(table(spark, d, "labels"), "doc_id").select(
         F.col("lang").alias("knowledge_base_id"),
         F.when(F.col("quality") == 1, F.col("source")).otherwise(
             F.concat("source", F.lit("-old"))).alias("source_key")).distinct()
@@ -426,7 +426,7 @@ def _b4(spark, d):
 
 def _import_batch(spark, d):
     """The batch again under its own hashes; rows of quality text equal an active version."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    docs = data.documents(spark, d).join(table(spark, d, "labels"), "doc_id")
     key = F.when(F.col("quality") == 1, F.col("source")).otherwise(
         F.concat("source", F.lit("-old")))
     return docs.select(
@@ -530,7 +530,7 @@ union all select 'messages', conv_id || '/' || turn // 2, count(*) from conversa
   group by 2 having count(*) > 1
 union all select 'texts', sha256(text), count(*) from documents group by 2 having count(*) > 1""")
 def _b10(spark, d):
-    docs = table(spark, d, "documents")
+    docs = data.documents(spark, d)
     a = integrity.check_unique(docs, ["source"]).select(
         F.lit("documents").alias("what"), F.col("source").alias("k"), "n")
     turns = table(spark, d, "conversations").select("conv_id", F.expr("turn div 2").alias("pair"))
@@ -608,7 +608,7 @@ select doc_id, '-' || source, source, case when doc_id % 4 = 0 then '..' else
 from documents where doc_id % 3 = 0""")
 def _b14(spark, d):
     i = F.col("doc_id")
-    rows = table(spark, d, "documents").select(
+    rows = data.documents(spark, d).select(
         "doc_id",
         F.when(i % 3 == 0, F.concat(F.lit("-"), "source")).otherwise(
             F.concat(F.lit(" "), F.upper("source"), F.lit("-"), "lang", F.lit(" "))).alias("slug"),
