@@ -98,6 +98,11 @@ _STACK = ("struct<stack:array<struct<level:int,text:string>>,"
 
 def inline_text(text: Column) -> Column:
     """Text without emphasis marks, code ticks, links and backslash escapes."""
+    return let(text, lambda raw: strip(
+        F.when(raw.rlike(r"[*_`\[\\]"), _without_marks(raw)).otherwise(raw)))
+
+
+def _without_marks(text: Column) -> Column:
     for pattern, kept in (
         (r"`+([^`]+)`+", "$1"),
         (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
@@ -108,7 +113,7 @@ def inline_text(text: Column) -> Column:
         (r"\\([!-/:-@\[-`{-~])", "$1"),
     ):
         text = F.regexp_replace(text, pattern, kept)
-    return strip(text)
+    return text
 
 
 def _fences(lines: Column) -> Column:

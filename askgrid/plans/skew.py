@@ -15,25 +15,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+FAN = 32
 HOT_ROWS = 1_000_000
 HOT_KEYS = 10_000
 SALTS = 32
 
 
-def with_range(df: DataFrame, value: Column, source: DataFrame, measured: Column,
-               ranges: int = RANGES) -> DataFrame:
-    """Add ``_range``: which of about equally filled ranges of ``measured`` holds ``value``.
+def with_range(df: DataFrame, value: str, source: DataFrame, measured: Column,
+               fan: int = FAN) -> DataFrame:
+    """Add ``_range``: which of ``fan * fan`` about equally filled ranges holds ``value``.
 
     The bounds are a quantile sketch of ``source`` of fixed size, attached as a scalar subquery.
-    Comparing with each of them keeps the step inside generated code.
+    A row is compared with ``fan - 1`` coarse and then ``fan - 1`` fine bounds, in generated
+    code.
     """
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = source.agg(F.percentile_approx(measured, cuts, 10_000).alias("b")).scalar()
-    place = F.lit(0)
-    for i in range(ranges - 1):
-        place = place + F.coalesce((value > F.get("_bounds", F.lit(i))).cast("int"), F.lit(0))
-    return df.withColumn("_bounds", bounds).withColumn("_range", place).drop("_bounds")
+    total = fan * fan
+    cuts = [i / total for i in range(1, total)]
+    bounds = source.agg(
+        F.percentile_approx(measured, cuts, 20 * total).alias("b")
+    ).scalar()
+
+    def above(position: str) -> str:
+        return f"coalesce(cast(_value > get(_bounds, {position}) as int), 0)"
+
+    coarse = " + ".join(above(str(fan * j - 1)) for j in range(1, fan))
+    fine = " + ".join(above(f"_coarse * {fan} + {i}") for i in range(fan - 1))
+    return (
+        df.withColumn("_bounds", bounds)
+        .withColumn("_value", F.col(value).cast("double"))
+        .withColumn("_coarse", F.expr(coarse))
+        .withColumn("_range", F.expr(f"_coarse * {fan} + {fine}"))
+        .drop("_bounds", "_value", "_coarse")
+    )
 
 
 def number_within(
@@ -42,16 +55,15 @@ def number_within(
     order: str,
     name: str,
     tie: Sequence[str] = (),
-    ranges: int = RANGES,
+    fan: int = FAN,
 ) -> DataFrame:
     """Add ``name``: 1, 2, ... per ``keys`` by ``order`` (numeric or timestamp), then ``tie``.
 
-    Rows are cut into global ranges of ``order`` holding about equal row counts, so no
-    (key, range) group exceeds about ``1/ranges`` of the table even if one key owns everything.
+    Rows are cut into ``fan * fan`` global ranges of ``order`` holding about equal row counts, so
+    no (key, range) group exceeds about that share of the table even if one key owns everything.
     Counts per (key, range) are pre-aggregated; their running sum is the offset of each range.
     """
-    value = F.col(order).cast("double")
-    ranged = with_range(df, value, df, value, ranges)
+    ranged = with_range(df, order, df, F.col(order).cast("double"), fan)
     group = [*keys, "_range"]
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -116,7 +128,7 @@ def exact_percentiles(
     value: str,
     fractions: Sequence[float],
     names: Sequence[str],
-    ranges: int = RANGES,
+    fan: int = FAN,
 ) -> DataFrame:
     """Linear-interpolated percentiles per ``keys``, position ``(n - 1) * fraction``.
 
@@ -130,7 +142,7 @@ def exact_percentiles(
     measured = F.col(value).cast("double")
     counted = with_range(
         rows.groupBy(*keys, measured.alias("_v")).agg(F.count(F.lit(1)).alias("_c")),
-        F.col("_v"), rows, measured, ranges,
+        "_v", rows, measured, fan,
     )
     by_key = Window.partitionBy(*keys)
     running = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,7 @@
 Tables below ``root``:
 
 * ``chunks/batch=N`` and ``attempts/batch=N``: append-only, one folder per micro-batch;
+* ``numbers/batch=N``: version numbers given to the files of a micro-batch;
 * ``rejects/batch=N``: files refused at admission or parsing;
 * ``heads/snapshot=N+1``: one row per logical document with its last and active version.
 
@@ -26,6 +27,7 @@ from askgrid.operators.chunking import OVERLAP_TOKENS, TARGET_TOKENS, chunk_docu
 from askgrid.operators.embedding import embed, validate_vectors
 from askgrid.operators.segment import with_blocks
 from askgrid.operators.versions import DOCUMENT_KEY, assign_versions, document_id
+from askgrid.plans.shared import written
 from askgrid.sources.snapshots import read_snapshot, snapshot_ids, write_snapshot
 
 HEADS = (
@@ -82,7 +84,7 @@ def ingest_batch(batch: DataFrame, epoch: int, root: str, dimension: int = 768,
             unchanged, ["document_id", "content_sha256"], "left_anti")
         stored = heads.select("document_id", F.col("last_version").alias("version_number"))
         facts = good.select(*DOCUMENT_KEY, "filename", "attempt_seq", "content_sha256")
-        numbered = assign_versions(stored, facts)
+        numbered = written(assign_versions(stored, facts), f"{root}/numbers/batch={epoch}")
         ids = numbered.select("document_id", "attempt_seq", "version_id", "version_number")
         with_version = good.join(
             ids.drop("version_number"), ["document_id", "attempt_seq"])

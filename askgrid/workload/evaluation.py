@@ -104,16 +104,14 @@ def gold(spark, d):
     )
 
 
-def doc_ranks(spark, d, on: bool):
-    if on:
-        chunks = rerank.apply_rerank(*_rerank_inputs(spark, d), top_k=10)
-    else:
-        chunks = _selected(spark, d)
+def _ranks_of(chunks):
     return re_.rank_documents(chunks.withColumnRenamed("request_id", "query_id"))
 
 
 def cases(spark, d):
-    built = re_.build_cases(gold(spark, d), doc_ranks(spark, d, False), doc_ranks(spark, d, True))
+    selected, results, status = _rerank_inputs(spark, d)
+    on = rerank.apply_rerank(selected, results, status, top_k=10)
+    built = re_.build_cases(gold(spark, d), _ranks_of(selected), _ranks_of(on))
     # Every fifth rerank call failed, so its case has no ON ranking.
     return built.withColumn("on_document_ids", F.when(F.col("query_id") % 5 != 4,
                                                       F.col("on_document_ids")))
@@ -153,7 +151,7 @@ judged as (
 @R.add("g4_rank_documents", CASES_SQL + """
 select request_id as query_id, document_id, doc_rank from off_docs""")
 def _g4(spark, d):
-    return doc_ranks(spark, d, False)
+    return _ranks_of(_selected(spark, d))
 
 
 @R.add("g5_judge_cases", CASES_SQL + """

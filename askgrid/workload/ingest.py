@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askgrid.operators import admission, chunking, embedding, integrity, scope, segment, versions
+from askgrid.plans.shared import written
 from askgrid.sources.corpus import extract_front_matter_id
 from askgrid.workload import data
 from askgrid.workload.conversations import MESSAGES_SQL, RUNS_SQL, messages, runs
@@ -384,7 +385,9 @@ def documents_after(spark, d):
 
 def versions_after(spark, d):
     before = stored_versions(spark, d)
-    return versions.apply_attempts(before, versions.assign_versions(before, attempts(spark, d)))
+    # The numbered attempts are read twice by the fold; the result is read by several queries.
+    numbered = written(versions.assign_versions(before, attempts(spark, d)))
+    return versions.apply_attempts(before, numbered)
 
 
 @R.add("b1_upsert_documents", "with " + STORED_SQL + " select * from documents_after")
@@ -407,9 +410,8 @@ def _b3(spark, d):
         "document_id", "version_number", "version_id", "content_sha256", "status")
 
 
-def version_chunks(spark, d):
+def version_chunks(rows):
     """One to three chunks per version, by its number."""
-    rows = versions_after(spark, d)
     return rows.select(
         "version_id", "knowledge_base_id",
         F.explode(F.sequence(F.lit(0), (F.col("version_number") % 3).cast("int"))).alias(
@@ -420,7 +422,8 @@ def version_chunks(spark, d):
 select version_id, unnest(range(0, version_number % 3 + 1)) as chunk_index from folded
 where status = 'active'""")
 def _b4(spark, d):
-    return versions.active_chunks(version_chunks(spark, d), versions_after(spark, d)).select(
+    after = written(versions_after(spark, d))
+    return versions.active_chunks(version_chunks(after), after).select(
         "version_id", "chunk_index")
 
 
@@ -478,8 +481,8 @@ union all select 'chunks', coalesce(sum(version_number % 3 + 1), 0)::bigint from
 def _b6(spark, d):
     docs = documents_after(spark, d)
     keys = docs.where("knowledge_base_id = 'de' or source_key like '%-old'")
-    kept = versions.delete_documents(docs, versions_after(spark, d), version_chunks(spark, d),
-                                     keys)
+    after = written(versions_after(spark, d))
+    kept = versions.delete_documents(docs, after, version_chunks(after), keys)
     out = None
     for name, df in zip(("documents", "versions", "chunks"), kept, strict=True):
         part = df.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(name))
@@ -496,8 +499,8 @@ select d.document_id, d.display_name, l.version_number, l.status, l.content_sha2
 from documents_after d join latest l on l.document_id = d.document_id and l.age = 1
 left join active a on a.document_id = d.document_id""")
 def _b7(spark, d):
-    out = versions.document_status(documents_after(spark, d), versions_after(spark, d),
-                                   version_chunks(spark, d))
+    after = written(versions_after(spark, d))
+    out = versions.document_status(documents_after(spark, d), after, version_chunks(after))
     return out.select("document_id", "display_name", "version_number", "status",
                       "content_sha256", "chunk_count", "active_version_id")
 

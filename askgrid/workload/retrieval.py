@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askgrid.operators import fusion, ivf, prompt, rerank, scope
 from askgrid.operators.vector_topk import topk_cosine
+from askgrid.plans.shared import written
 from askgrid.workload import data
 from askgrid.workload.data import CONFIG, Registry, table
 
@@ -370,7 +371,8 @@ final as (
 def _rerank_inputs(spark, d):
     from pyspark.sql import Window
 
-    selected = _selected(spark, d)
+    # Read three times below: written once instead of searching the chunks three times.
+    selected = written(_selected(spark, d))
     sized = selected.withColumn(
         "_n", F.least(F.lit(10), F.count(F.lit(1)).over(Window.partitionBy("request_id"))))
     kind, rank = F.col("request_id") % 6, F.col("rank")
