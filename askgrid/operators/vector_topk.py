@@ -29,6 +29,8 @@ FILTERS = ("knowledge_base_id", "document_id", "document_format", "parser_name",
            "page_number")
 BROADCAST_BYTES = 64 * 1024 * 1024
 SLAB_ROWS = 50_000
+TASKS_PER_CORE = 4
+MIN_TASKS = 2_000
 
 
 def scope_column(attribute: str) -> str:
@@ -160,8 +162,14 @@ def _used_filters(queries: DataFrame) -> list[str]:
 
 def scan_topk(chunks: DataFrame, batch: pa.Table, filters: Sequence[str], k: int,
               ddl: str, schema: pa.Schema) -> DataFrame:
-    """One pass over the chunks with the whole (small) query batch in every task."""
-    shared = chunks.sparkSession.sparkContext.broadcast(batch)
+    """One pass over the chunks with the whole (small) query batch in every task.
+
+    Every task emits k rows per query, so the scan is merged into a few tasks per core: the rows
+    to shuffle grow with the cluster, not with the number of input splits.
+    """
+    context = chunks.sparkSession.sparkContext
+    shared = context.broadcast(batch)
+    chunks = chunks.coalesce(max(TASKS_PER_CORE * context.defaultParallelism, MIN_TASKS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = _TopK(_Batch(shared.value, filters), k)

@@ -189,7 +189,26 @@ def _a11(spark, d):
     return admission.reject_empty(rows, segment.segment_paragraphs(rows))
 
 
-@R.add("a12_pack_blocks")
+# The greedy fold, block by block: a paragraph joins the group while at most 400 words result.
+PACKED_SQL = "with recursive " + LINES_SQL + r""",
+counted as (
+  select *, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) as n
+  from paragraphs),
+packed as (
+  select doc_id, ordinal, text, n, 0::bigint as group_no, n as total, n <= 400 as open
+  from counted where ordinal = 0
+  union all
+  select c.doc_id, c.ordinal, c.text, c.n,
+    p.group_no + case when p.open and p.total + c.n <= 400 then 0 else 1 end,
+    case when p.open and p.total + c.n <= 400 then p.total + c.n else c.n end,
+    case when p.open and p.total + c.n <= 400 then true else c.n <= 400 end
+  from packed p join counted c on c.doc_id = p.doc_id and c.ordinal = p.ordinal + 1)
+select doc_id, group_no, min(ordinal) as block_start_ordinal, max(ordinal) as block_end_ordinal,
+  sha256(string_agg(text, chr(10) || chr(10) order by ordinal)) as text_sha256
+from packed group by 1, 2"""
+
+
+@R.add("a12_pack_blocks", PACKED_SQL)
 def _a12(spark, d):
     blocks = spaced(spark, d).withColumn("blocks", segment.paragraph_blocks(F.col("text")))
     return chunking.pack_blocks(blocks).select(
@@ -300,7 +319,7 @@ def _a17(spark, d):
 # --- versions -------------------------------------------------------------------------------
 
 def attempts(spark, d):
-    return data.documents(spark, d).select(
+    return table(spark, d, "documents").select(
         F.col("lang").alias("knowledge_base_id"), F.col("source").alias("source_key"),
         F.col("doc_id").alias("attempt_seq"),
         F.concat(F.lit("file"), F.col("doc_id").cast("string")).alias("filename"),
@@ -312,7 +331,7 @@ def attempts(spark, d):
 
 def stored_documents(spark, d):
     """Documents known before the batch: those of labelled rows, and one key never seen again."""
-    docs = data.documents(spark, d).join(table(spark, d, "labels"), "doc_id").select(
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(
         F.col("lang").alias("knowledge_base_id"),
         F.when(F.col("quality") == 1, F.col("source")).otherwise(
             F.concat("source", F.lit("-old"))).alias("source_key")).distinct()
@@ -429,7 +448,7 @@ def _b4(spark, d):
 
 def _import_batch(spark, d):
     """The batch again under its own hashes; rows of quality text equal an active version."""
-    docs = data.documents(spark, d).join(table(spark, d, "labels"), "doc_id")
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     key = F.when(F.col("quality") == 1, F.col("source")).otherwise(
         F.concat("source", F.lit("-old")))
     return docs.select(
@@ -533,7 +552,7 @@ union all select 'messages', conv_id || '/' || turn // 2, count(*) from conversa
   group by 2 having count(*) > 1
 union all select 'texts', sha256(text), count(*) from documents group by 2 having count(*) > 1""")
 def _b10(spark, d):
-    docs = data.documents(spark, d)
+    docs = table(spark, d, "documents")
     a = integrity.check_unique(docs, ["source"]).select(
         F.lit("documents").alias("what"), F.col("source").alias("k"), "n")
     turns = table(spark, d, "conversations").select("conv_id", F.expr("turn div 2").alias("pair"))
@@ -611,7 +630,7 @@ select doc_id, '-' || source, source, case when doc_id % 4 = 0 then '..' else
 from documents where doc_id % 3 = 0""")
 def _b14(spark, d):
     i = F.col("doc_id")
-    rows = data.documents(spark, d).select(
+    rows = table(spark, d, "documents").select(
         "doc_id",
         F.when(i % 3 == 0, F.concat(F.lit("-"), "source")).otherwise(
             F.concat(F.lit(" "), F.upper("source"), F.lit("-"), "lang", F.lit(" "))).alias("slug"),
