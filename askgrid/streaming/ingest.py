@@ -35,6 +35,9 @@ HEADS = (
     "last_version bigint, active_version bigint, active_version_id string, active_sha256 string"
 )
 
+# Fixed value: columns of Spark's binary file source, which a stream must state.
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def read_heads(spark: SparkSession, root: str, snapshot: int | None = None) -> DataFrame:
     if snapshot == 0 or (snapshot is None and not snapshot_ids(spark, f"{root}/heads")):
@@ -146,7 +149,7 @@ def _next_heads(heads: DataFrame, attempts: DataFrame) -> DataFrame:
 def file_stream(spark: SparkSession, folder: str, glob: str = "*.*") -> DataFrame:
     """Stream of files below ``folder``: the first sub-folder is the knowledge base."""
     files = (
-        spark.readStream.format("binaryFile")
+        spark.readStream.format("binaryFile").schema(BINARY_FILE)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(folder)
