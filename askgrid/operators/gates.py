@@ -15,6 +15,7 @@ from askgrid.functions.text import squeeze_case
 from askgrid.operators.intent_eval import (
     CLARIFY, DIRECT, KNOWLEDGE, expected_route, over_retrieval, under_retrieval,
 )
+from askgrid.plans.skew import HOT_ROWS, attach_per_key
 
 STAGES = ("failures", "guard", "full")
 SUBSET_STAGE = {"failure": 1, "guard": 2, "full": 3}
@@ -211,16 +212,20 @@ def pending_cases(target: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
-def check_cache(cache: DataFrame, samples: DataFrame, scores: Sequence[str]) -> DataFrame:
+def check_cache(cache: DataFrame, samples: DataFrame, scores: Sequence[str],
+                hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(query_id, code)`` for cached cases that must not be reused.
 
-    The sample side is unique per id; repeats are found on pre-aggregated counts.
+    The labels of a case are joined back with repeated ids spread; the same counts give the
+    repeats.
     """
+    key = ["query_id"]
+    counts = cache.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
     truth = samples.select(
-        "query_id", F.col("intent_l1").alias("_l1"),
+        *key, F.col("intent_l1").alias("_l1"),
         expected_route(F.col("requires_rag")).alias("_route"), F.lit(True).alias("_known"),
     )
-    joined = cache.join(truth, "query_id", "left")
+    joined = attach_per_key(cache, counts.join(truth, key, "left"), key, "_rows", hot_rows)
     no_scores = F.lit(False)
     for column in scores:
         no_scores = no_scores | F.col(column).isNull()
@@ -234,10 +239,10 @@ def check_cache(cache: DataFrame, samples: DataFrame, scores: Sequence[str]) ->
     }
     codes = F.array(*[F.when(bad, F.lit(n)) for n, bad in rules.items()])
     rows = joined.select(
-        "query_id", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code")
+        *key, F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code")
     )
-    repeated = cache.groupBy("query_id").count().where("count > 1").select(
-        "query_id", F.lit("query_id_repeated").alias("code"))
+    repeated = counts.where(F.col("_rows") > 1).select(
+        *key, F.lit("query_id_repeated").alias("code"))
     return rows.unionByName(repeated)
 
 

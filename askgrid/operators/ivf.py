@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from askgrid.functions.lets import let
 from askgrid.functions.vectors import as_double, l2_norm
+from askgrid.plans.shared import written
 from askgrid.operators.vector_topk import _used_filters, cell_topk, scope_column
 
 MAX_LISTS = 65_536
@@ -80,7 +81,7 @@ def topk_ivf(queries: DataFrame, index: IvfIndex, k: int = 20, nprobe: int = 8,
     """Exact ranking inside the probed lists; ``nprobe`` is the search effort.
 
     With ``refill``, queries whose filters leave fewer than k hits in the probed lists search
-    all lists, so a strict filter does not lose hits that exist.
+    all chunks, so a strict filter does not lose hits that exist.
     """
     filters = _used_filters(queries)
     wanted = queries.select("query_id", "query_vector", *[scope_column(f) for f in filters])
@@ -88,9 +89,11 @@ def topk_ivf(queries: DataFrame, index: IvfIndex, k: int = 20, nprobe: int = 8,
     first = cell_topk(chunks, probe_lists(wanted, index, nprobe), k, bucket="list_id")
     if not refill or nprobe >= index.n_lists:
         return first
+    # Read twice below: written once, so that the lists are searched once.
+    first = written(first)
     full = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     starved = wanted.join(full, "query_id", "left_anti")
-    again = cell_topk(chunks, probe_lists(starved, index, index.n_lists), k, bucket="list_id")
+    again = cell_topk(chunks.drop("list_id"), starved, k)
     return first.join(full.select("query_id"), "query_id", "left_semi").unionByName(again)
 
 

@@ -129,42 +129,44 @@ def summary_candidates(
     return due, members
 
 
-def merge_summaries(summaries: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_summaries(summaries: DataFrame, updates: DataFrame, hot_rows: int = HOT_ROWS
+                    ) -> tuple[DataFrame, DataFrame]:
     """``(new summaries, verdict per update)`` under optimistic concurrency.
 
     An update applies only if the stored boundary equals the one it was computed from. The
     updates of a batch come from one snapshot, so per conversation the earliest by
     ``update_seq`` that matches wins and all others lose.
     """
-    stored = summaries.select(
-        "conversation_id", F.col("summarized_through_ordinal").alias("_stored")
-    )
-    judged = updates.join(stored, "conversation_id", "left").withColumn(
-        "_matches", F.col("_stored").eqNullSafe(F.col("expected_boundary"))
+    key = ["conversation_id"]
+    counts = updates.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    stored = summaries.select(*key, F.col("summarized_through_ordinal").alias("_stored"))
+    judged = attach_per_key(
+        updates, counts.join(stored, key, "left"), key, "_rows", hot_rows
     )
     fields = ["summarized_through_ordinal", "source_message_count", "content", "model_id"]
     winners = (
-        judged.where("_matches")
-        .groupBy("conversation_id")
+        judged.where(F.col("_stored").eqNullSafe(F.col("expected_boundary")))
+        .groupBy(*key)
         .agg(F.min(F.struct("update_seq", *fields)).alias("_w"))
     )
     merged = (
-        summaries.select("conversation_id", *fields)
-        .join(winners, "conversation_id", "full_outer")
+        summaries.select(*key, *fields)
+        .join(winners, key, "full_outer")
         .select(
-            "conversation_id",
+            *key,
             *[
                 F.when(F.col("_w").isNotNull(), F.col(f"_w.{f}")).otherwise(F.col(f)).alias(f)
                 for f in fields
             ],
         )
     )
-    verdict = judged.join(
-        winners.select("conversation_id", F.col("_w.update_seq").alias("_won")),
-        "conversation_id",
-        "left",
+    won = counts.join(
+        winners.select(*key, F.col("_w.update_seq").alias("_won")), key, "left"
+    )
+    verdict = attach_per_key(
+        updates.select(*key, "update_seq"), won, key, "_rows", hot_rows
     ).select(
-        "conversation_id",
+        *key,
         "update_seq",
         F.coalesce(F.col("update_seq") == F.col("_won"), F.lit(False)).alias("applied"),
     )

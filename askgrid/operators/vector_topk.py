@@ -201,7 +201,8 @@ def cell_topk(chunks: DataFrame, queries: DataFrame, k: int, bucket: str | None
             F.ceil(F.count(F.lit(1)) / F.lit(slab_rows)).cast("bigint").alias(name)
         )
 
-    sizes = slabs(chunks, "_cn").join(slabs(queries, "_qn"), "_bucket")
+    # One row for a full scan, else at most one per list; the index limits the number of lists.
+    sizes = F.broadcast(slabs(chunks, "_cn").join(slabs(queries, "_qn"), "_bucket"))
 
     def place(df: DataFrame, key: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
         return (

@@ -103,14 +103,28 @@ def active_chunks(chunks: DataFrame, versions: DataFrame) -> DataFrame:
     return chunks.join(active, "version_id", "left_semi")
 
 
-def plan_import(versions: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def plan_import(versions: DataFrame, batch: DataFrame, hot_rows: int = HOT_ROWS
+                ) -> tuple[DataFrame, DataFrame]:
     """``(to_import, skipped)``: a document whose active hash equals the new one is skipped.
 
-    ``versions`` and ``batch`` carry ``knowledge_base_id, source_key, content_sha256``.
+    ``versions`` and ``batch`` carry ``knowledge_base_id, source_key, content_sha256``. Copies of
+    one document may fill much of a batch, so equal keys are counted first and the verdict is
+    joined back with hot keys spread.
     """
     keys = [*DOCUMENT_KEY, "content_sha256"]
-    active = versions.where(F.col("status") == "active").select(*keys).distinct()
-    return batch.join(active, keys, "left_anti"), batch.join(active, keys, "left_semi")
+    active = (
+        versions.where(F.col("status") == "active").select(*keys).distinct()
+        .withColumn("_same", F.lit(True))
+    )
+    per_key = (
+        batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).join(active, keys, "left")
+    )
+    marked = attach_per_key(batch, per_key, keys, "_rows", hot_rows).select(
+        *batch.columns, "_same")
+    return (
+        marked.where(F.col("_same").isNull()).drop("_same"),
+        marked.where(F.col("_same").isNotNull()).drop("_same"),
+    )
 
 
 def import_report(to_import: DataFrame, skipped: DataFrame, chunks: DataFrame) -> DataFrame:
