@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("ingest", "retrieval", "understanding", "conversations", "evaluation", "streams")
+TOPICS = ("ingest", "retrieval", "understanding", "conversations", "evaluation", "streams", "ask")
 
 
 def _registries():

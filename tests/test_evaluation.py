@@ -140,3 +140,45 @@ def test_references_ignore_nulls_and_report_counts(spark):
     child = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (None, 1)], "a int, b int")
     parent = spark.createDataFrame([(2, 1)], "x int, y int")
     assert rows(integrity.check_fk(child, parent, {"a": "x", "b": "y"})) == [(1, 1, 2)]
+
+
+def test_whole_evaluation_runs(spark):
+    from askgrid.plans.evaluate import evaluate_intents, evaluate_retrieval
+
+    gold = spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, ["c"])],
+                                 "query_id long, required_document_ids array<string>")
+    ranked = "query_id long, rank int, document_id string"
+    off = spark.createDataFrame([(1, 1, "x"), (1, 2, "a"), (2, 1, "b")], ranked)
+    on = spark.createDataFrame([(1, 1, "a"), (2, 1, "x"), (2, 2, "b")], ranked)
+    run = evaluate_retrieval(gold, off, on)
+    assert rows(run.metrics, "ranking", "cases") == [("off", 3), ("on", 3)]
+    assert tuple(run.comparison.first()) == (1, 1, 1)
+    assert evaluate_retrieval(gold, off).comparison is None
+    samples = spark.createDataFrame(
+        [(i, "S" if i % 2 else "C", f"l{i % 3}", i % 2 == 1) for i in range(30)],
+        "query_id long, intent_l1 string, intent_l2 string, requires_rag boolean")
+    decided = spark.createDataFrame(
+        [(i, "knowledge_base", "high_confidence", None, 0.05, 0.9, 0.05) for i in range(30)],
+        "query_id long, route string, reason string, degradation_reason string, "
+        "system_direct_score double, knowledge_base_score double, clarification_score double")
+    report = evaluate_intents(samples, decided, grid=[(0.75, 0.1), (0.95, 0.1)])
+    assert rows(report.replay, "threshold", "correct_count", "to_clarification") == [
+        (0.75, 15, 0), (0.95, 0, 30)]
+    assert tuple(report.errors.first()) == (15, 0, 0)
+    assert report.buckets.count() == 3 and report.confusion.count() == 9
+
+
+def test_knowledge_bases_conflict_on_used_and_repeated_slugs(spark):
+    from askgrid.operators.knowledge_bases import create_knowledge_bases
+
+    drafts = spark.createDataFrame(
+        [(1, " New-KB ", "a", None), (2, "new-kb", "b", " "), (3, "old", "c", None),
+         (4, "-x", "d", None), (5, "ok", " ", None), (6, "ok", "e", "x" * 2001), (7, "ok", "f", " y ")],
+        "draft_seq long, slug string, name string, description string")
+    existing = spark.createDataFrame([("old",)], "slug string")
+    for hot in (1, 100):
+        made, bad = create_knowledge_bases(existing, drafts, scope.IndexConfig("m", "1", 8), hot)
+        assert rows(made, "slug", "name", "description") == [("new-kb", "a", None), ("ok", "f", "y")]
+        assert rows(bad, "draft_seq", "reject_code") == [
+            (2, "knowledge_base_conflict"), (3, "knowledge_base_conflict"), (4, "slug_invalid"),
+            (5, "name_invalid"), (6, "description_invalid")]
