@@ -15,38 +15,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FAN = 32
+RANGE_BITS = 10
 HOT_ROWS = 1_000_000
 HOT_KEYS = 10_000
 SALTS = 32
 
 
 def with_range(df: DataFrame, value: str, source: DataFrame, measured: Column,
-               fan: int = FAN) -> DataFrame:
-    """Add ``_range``: which of ``fan * fan`` about equally filled ranges holds ``value``.
+               bits: int = RANGE_BITS) -> DataFrame:
+    """Add ``_range``: which of ``2 ** bits`` about equally filled ranges holds ``value``.
 
     The bounds are a quantile sketch of ``source`` of fixed size, attached as a scalar subquery.
-    A row is compared with ``fan - 1`` coarse and then ``fan - 1`` fine bounds, in generated
-    code.
+    The range is found by bisection, one small projection per bit. (Comparing with all bounds in
+    one expression makes a method too long for the JIT compiler and is many times slower.)
     """
-    total = fan * fan
-    cuts = [i / total for i in range(1, total)]
-    bounds = source.agg(
-        F.percentile_approx(measured, cuts, 20 * total).alias("b")
-    ).scalar()
-
-    def above(position: str) -> str:
-        return f"coalesce(cast(_value > get(_bounds, {position}) as int), 0)"
-
-    coarse = " + ".join(above(str(fan * j - 1)) for j in range(1, fan))
-    fine = " + ".join(above(f"_coarse * {fan} + {i}") for i in range(fan - 1))
-    return (
+    total = 2**bits
+    cuts = ", ".join(f"{i / total!r}D" for i in range(1, total))
+    sketch = F.expr(f"percentile_approx(_m, array({cuts}), {20 * total})")
+    bounds = source.select(measured.alias("_m")).agg(sketch.alias("b")).scalar()
+    out = (
         df.withColumn("_bounds", bounds)
         .withColumn("_value", F.col(value).cast("double"))
-        .withColumn("_coarse", F.expr(coarse))
-        .withColumn("_range", F.expr(f"_coarse * {fan} + {fine}"))
-        .drop("_bounds", "_value", "_coarse")
+        .withColumn("_at0", F.lit(0))
     )
+    for bit in range(bits):
+        half = 2 ** (bits - bit - 1)
+        above = f"coalesce(_value > get(_bounds, _at{bit} + {half - 1}), false)"
+        out = out.withColumn(f"_at{bit + 1}", F.expr(f"_at{bit} + if({above}, {half}, 0)"))
+    return out.select(*df.columns, F.col(f"_at{bits}").alias("_range"))
 
 
 def number_within(
@@ -55,15 +51,15 @@ def number_within(
     order: str,
     name: str,
     tie: Sequence[str] = (),
-    fan: int = FAN,
+    bits: int = RANGE_BITS,
 ) -> DataFrame:
     """Add ``name``: 1, 2, ... per ``keys`` by ``order`` (numeric or timestamp), then ``tie``.
 
-    Rows are cut into ``fan * fan`` global ranges of ``order`` holding about equal row counts, so
+    Rows are cut into ``2 ** bits`` global ranges of ``order`` holding about equal row counts, so
     no (key, range) group exceeds about that share of the table even if one key owns everything.
     Counts per (key, range) are pre-aggregated; their running sum is the offset of each range.
     """
-    ranged = with_range(df, order, df, F.col(order).cast("double"), fan)
+    ranged = with_range(df, order, df, F.col(order).cast("double"), bits)
     group = [*keys, "_range"]
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -128,7 +124,7 @@ def exact_percentiles(
     value: str,
     fractions: Sequence[float],
     names: Sequence[str],
-    fan: int = FAN,
+    bits: int = RANGE_BITS,
 ) -> DataFrame:
     """Linear-interpolated percentiles per ``keys``, position ``(n - 1) * fraction``.
 
@@ -142,7 +138,7 @@ def exact_percentiles(
     measured = F.col(value).cast("double")
     counted = with_range(
         rows.groupBy(*keys, measured.alias("_v")).agg(F.count(F.lit(1)).alias("_c")),
-        "_v", rows, measured, fan,
+        "_v", rows, measured, bits,
     )
     by_key = Window.partitionBy(*keys)
     running = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,7 +16,7 @@ def skewed(n=3000, seed=3):
 def test_number_within_equals_plain_ranking(spark):
     data = skewed()
     df = spark.createDataFrame(data, "k string, id long, v long").repartition(7)
-    got = rows(number_within(df, ["k"], "v", "n", tie=["id"], fan=4), "k", "id", "n")
+    got = rows(number_within(df, ["k"], "v", "n", tie=["id"], bits=4), "k", "id", "n")
     want, seen = [], {}
     for k, i, v in sorted(data, key=lambda r: (r[0], r[2], r[1])):
         seen[k] = seen.get(k, 0) + 1
