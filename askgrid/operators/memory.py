@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from askgrid.plans.shared import written
 from askgrid.plans.skew import HOT_ROWS, attach_per_key, number_within
 
 RECENT_TURNS = 6
@@ -98,8 +99,11 @@ def summary_candidates(
             "left",
         )
     )
-    fresh = attach_per_key(eligible, per_key, ["conversation_id"], "_rows", hot_rows).where(
-        F.col("ordinal") > F.coalesce("previous_boundary", F.lit(0))
+    # Read three times below: written once instead of joining the messages three times.
+    fresh = written(
+        attach_per_key(eligible, per_key, ["conversation_id"], "_rows", hot_rows).where(
+            F.col("ordinal") > F.coalesce("previous_boundary", F.lit(0))
+        )
     )
     facts = ["previous_boundary", "_prior", "previous_summary"]
     counted = fresh.groupBy("conversation_id").agg(

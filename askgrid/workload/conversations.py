@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askgrid.operators import memory, runs as run_ops
+from askgrid.plans.shared import written
 from askgrid.plans.skew import number_within
 from askgrid.workload.data import Registry, table
 
@@ -129,14 +130,14 @@ select conversation_id, max(previous_boundary) as previous_boundary,
   max(previous_summary) as previous_summary, max(ordinal) as summarized_through_ordinal,
   max(prior) + count(*) as source_message_count from chosen group by 1""")
 def _f5(spark, d):
-    due, _ = memory.summary_candidates(messages(spark, d), runs(spark, d), summaries(spark, d),
+    due, _ = memory.summary_candidates(written(messages(spark, d)), runs(spark, d), summaries(spark, d),
                                        trigger=2, retain=1)
     return due
 
 
 @R.add("f5_summary_messages", DUE_SQL + "select conversation_id, ordinal, role from chosen")
 def _f5m(spark, d):
-    _, members = memory.summary_candidates(messages(spark, d), runs(spark, d),
+    _, members = memory.summary_candidates(written(messages(spark, d)), runs(spark, d),
                                            summaries(spark, d), trigger=2, retain=1)
     return members.select("conversation_id", "ordinal", "role")
 
@@ -317,7 +318,7 @@ select f.conversation_id, f.run_id, 'assistant' as role, sha256(f.answer) as ans
 from folded f left join last l using (conversation_id)
 where f.status in ('completed', 'clarification')""")
 def _f9(spark, d):
-    new = run_ops.run_messages(run_ops.fold_runs(run_events(spark, d)))
+    new = written(run_ops.run_messages(run_ops.fold_runs(run_events(spark, d))))
     return memory.append_messages(messages(spark, d), new).select(
         "conversation_id", "run_id", "role", F.sha2("content", 256).alias("answer_sha256"),
         "ordinal")
