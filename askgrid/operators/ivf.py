@@ -93,6 +93,8 @@ def topk_ivf(queries: DataFrame, index: IvfIndex, k: int = 20, nprobe: int = 8,
     first = written(first)
     full = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     starved = wanted.join(full, "query_id", "left_anti")
+    if starved.isEmpty():
+        return first
     again = cell_topk(chunks.drop("list_id"), starved, k)
     return first.join(full.select("query_id"), "query_id", "left_semi").unionByName(again)
 

@@ -196,19 +196,33 @@ def cell_topk(chunks: DataFrame, queries: DataFrame, k: int, bucket: str | None
               queries.withColumnRenamed(bucket, "_bucket"))
     )
 
-    def slabs(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("_bucket").agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(slab_rows)).cast("bigint").alias(name)
+    needed = F.ceil(F.count(F.lit(1)) / F.lit(slab_rows)).cast("bigint")
+    if bucket is None:
+        # One bucket: two numbers, no join.
+        counts = {"_cn": chunks.agg(needed).scalar(), "_qn": queries.agg(needed).scalar()}
+
+        def sized(df: DataFrame) -> DataFrame:
+            return df.withColumns(counts)
+    else:
+        # At most one row per list; the index limits the number of lists.
+        sizes = F.broadcast(
+            chunks.groupBy("_bucket").agg(needed.alias("_cn")).join(
+                queries.groupBy("_bucket").agg(needed.alias("_qn")), "_bucket")
         )
 
-    # One row for a full scan, else at most one per list; the index limits the number of lists.
-    sizes = F.broadcast(slabs(chunks, "_cn").join(slabs(queries, "_qn"), "_bucket"))
+        def sized(df: DataFrame) -> DataFrame:
+            return df.join(sizes, "_bucket")
 
     def place(df: DataFrame, key: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
         return (
-            df.join(sizes, "_bucket")
+            sized(df)
             .withColumn(mine, F.pmod(F.xxhash64(key), F.col(own)))
-            .withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
+            .withColumn(
+                theirs,
+                # No copies at all where the other side is empty.
+                F.explode(F.when(F.col(other) > 0,
+                                 F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))),
+            )
             .drop("_cn", "_qn")
         )
 
