@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from askgrid.llm import fingerprints, html_text, packing, warc
 from askgrid.llm import token_counts as counts
 from askgrid.llm import token_files as files
 from askgrid.plans.shared import shared_folder
@@ -22,6 +23,12 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
                                public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack_documents(_table(spark, folder, "documents"),
+                                  public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as ORC token files, read back."""
     path = shared_folder(spark)
@@ -30,9 +37,45 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.token_file_report(spark, path)
 
 
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprint_edits(_table(spark, folder, "documents"))
+
+
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as WARC archives, read back."""
+    path = shared_folder(spark)
+    warc.write_warc(_table(spark, folder, "pages"), path)
+    return warc.read_warc(spark, path)
+
+
+OP9_SQL = """
+with p as (
+  select page_id, url, coalesce(html, '') as html from pages),
+d as (
+  select page_id, url, octet_length(encode(html))::bigint as payload_bytes,
+    sha1(html) as payload_digest from p),
+g as (
+  select payload_digest, max(page_id) as keeper from d where payload_bytes >= 1000 group by 1)
+select page_id, url, payload_bytes, payload_digest,
+  case when keeper is null or keeper = page_id then 'response' else 'revisit' end as record_type,
+  case when keeper is null or keeper = page_id then null else keeper end as refers_to,
+  true as valid
+from d left join g using (payload_digest)"""
+
+
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The visible text of all pages."""
+    return html_text.extract_text(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_warc": op9_warc,
+    "op10_html_text": op10_html_text,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_warc": OP9_SQL}
