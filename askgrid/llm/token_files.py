@@ -82,15 +82,20 @@ def write_token_files(
     )
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files with ``start``: how many ids of all documents lie before each one's first."""
-    rows = spark.read.schema(FILE_SCHEMA).orc(path)
+def _with_start(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """Add ``start`` to rows of the files: the ids of all files before, and those before inside."""
     # One row per file; only these pass through one task.
-    sizes = rows.groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("_n"))
+    sizes = spark.read.schema(FILE_SCHEMA).orc(path).groupBy("part").agg(
+        F.max(F.col("local_start") + F.col("n_tokens")).alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(offsets, "part").select(
-        "doc_id", (F.col("_before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(offsets, "part").withColumn("start", F.col("_before") + F.col("local_start"))
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files with ``start``: how many ids of all documents lie before each one's first."""
+    rows = spark.read.schema(FILE_SCHEMA).orc(path)
+    return _with_start(rows, spark, path).select("doc_id", "start", "n_tokens", "ids")
 
 
 def find_documents(spark: SparkSession, path: str, wanted: Column) -> DataFrame:
@@ -101,16 +106,19 @@ def find_documents(spark: SparkSession, path: str, wanted: Column) -> DataFrame:
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(3)
+        ids = batch.column(4)
         offsets = ids.offsets.to_numpy()
         held = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<u4")
         sums = [zlib.crc32(held[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(3)), pa.array(sums, pa.int64())],
-            names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            [*(batch.column(i) for i in range(4)), pa.array(sums, pa.int64())],
+            names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
 
 def token_file_report(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` read back from the files."""
-    return read_token_files(spark, path).mapInArrow(
-        _checksums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # Ids are summed up where they are read; only the small rows meet the offsets.
+    sums = spark.read.schema(FILE_SCHEMA).orc(path).mapInArrow(
+        _checksums, "doc_id bigint, part bigint, local_start bigint, n_tokens bigint, "
+        "ids_crc32 bigint")
+    return _with_start(sums, spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
