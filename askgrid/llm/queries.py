@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from askgrid.llm import fingerprints, html_text, packing, warc
+from askgrid.llm import fingerprints, html_text, packing, segment_search, warc
 from askgrid.llm import token_counts as counts
 from askgrid.llm import token_files as files
 from askgrid.plans.shared import shared_folder
@@ -37,6 +37,28 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.token_file_report(spark, path)
 
 
+def op7_segment_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best vectors of every twentieth one."""
+    return segment_search.topk_embeddings(_table(spark, folder, "embeddings"))
+
+
+OP7_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x:
+    x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, x.vec_id,
+    list_inner_product(q.v, x.v)::bigint as score
+  from v q join v x on q.vec_id <> x.vec_id and len(q.v) = len(x.v)
+  where q.vec_id % 20 = 0),
+r as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int
+    as rank, vec_id, score from s)
+select * from r where rank <= 20"""
+
+
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.fingerprint_edits(_table(spark, folder, "documents"))
@@ -73,9 +95,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
+    "op7_segment_search": op7_segment_search,
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_html_text": op10_html_text,
 }
 
-SQL: dict[str, str] = {"op9_warc": OP9_SQL}
+SQL: dict[str, str] = {"op7_segment_search": OP7_SQL, "op9_warc": OP9_SQL}
