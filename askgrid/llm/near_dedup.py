@@ -56,9 +56,10 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     """
     split = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     coded = split.flatten().dictionary_encode()
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    different = coded.dictionary.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, different), np.uint64, len(different))
     # Leading and trailing white space leave empty words behind.
-    filled = np.array([len(w) > 0 for w in coded.dictionary.to_pylist()], bool)
+    filled = np.fromiter(map(bool, different), bool, len(different))
     codes = coded.indices.to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(texts)),
                       pc.list_value_length(split).to_numpy(zero_copy_only=False))
@@ -109,7 +110,6 @@ def prob_minhash(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs:
     time = np.zeros(element.size)
     pace = 1.0 / weight
     latest = np.full(docs, np.inf)
-    full = np.zeros(docs, bool)
     single = np.bincount(doc, minlength=docs)[doc] == 1
     if single.any():  # one element owns every register
         held.reshape(docs, registers)[doc[single]] = element[single][:, None]
@@ -117,7 +117,8 @@ def prob_minhash(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs:
         element, doc, time, pace = element[more], doc[more], time[more], pace[more]
     step = 0
     while element.size:
-        draw = _mix(element + _ODD[0] * np.uint64(2 * step + 1))
+        turn = np.uint64(int(_ODD[0]) * (2 * step + 1) & (1 << 64) - 1)
+        draw = _mix(element + turn)
         time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) * pace
         alive = time < latest[doc]
         element, doc, time, pace = element[alive], doc[alive], time[alive], pace[alive]

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from askgrid.llm import fingerprints, html_text, packing, segment_search, warc
+from askgrid.llm import fingerprints, html_text, mixing, near_dedup, packing, quality
+from askgrid.llm import segment_search, warc
 from askgrid.llm import token_counts as counts
 from askgrid.llm import token_files as files
 from askgrid.plans.shared import shared_folder
@@ -17,6 +19,116 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# --- mixing -------------------------------------------------------------------------------------
+
+#: Sources fall into domains by their number; the tree is domain, language, source.
+DOMAINS = ("web", "books", "code")
+MIX_LEVELS = ("domain", "lang", "source")
+MIX_WEIGHTS: dict[tuple, int] = {
+    ("web",): 3, ("books",): 5, ("code",): 2,
+    **{(d, lang): w for d in DOMAINS for lang, w in (("en", 2), ("de", 3), ("fr", 1), ("es", 2))},
+    ("web", "en", "src0"): 2, ("books", "de", "src1"): 4, ("code", "en", "src2"): 0,
+}
+
+
+def domain_of(source: Column) -> Column:
+    number = F.regexp_extract(F.coalesce(source, F.lit("")), "[0-9]+", 0)
+    place = F.when(number == "", 0).otherwise(F.expr("try_cast(substr(regexp_extract("
+        "coalesce(source, ''), '[0-9]+', 0), 1, 15) as bigint)") % len(DOMAINS))
+    return F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), place.cast("int") + 1)
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("domain", domain_of(F.col("source")))
+
+
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents mixed to target weights, at most twice each."""
+    docs = with_domain(_table(spark, folder, "documents"))
+    words = mixing.count_words(F.col("text"))
+    return mixing.mix(docs, MIX_LEVELS, MIX_WEIGHTS).select(
+        "doc_id", *MIX_LEVELS, "epoch", words.alias("n_tokens"))
+
+
+def _op1_sql() -> str:
+    """The same budgets in SQL: one block of windows per level of the tree."""
+    weights = ", ".join(
+        "(" + ", ".join(f"'{p}'" for p in [*path, *[""] * (3 - len(path))]) + f", {w})"
+        for path, w in MIX_WEIGHTS.items())
+    parts = [f"""with w(d, l, s, weight) as (values {weights}),
+docs as (
+  select doc_id, lang, source, (['web', 'books', 'code'])[
+      case when regexp_extract(coalesce(source, ''), '[0-9]+') = '' then 0
+        else regexp_extract(source, '[0-9]+')::bigint % 3 end + 1] as domain,
+    len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''))::bigint
+      as n_tokens from documents),
+leaf as (select domain, lang, source, sum(n_tokens)::hugeint as tokens from docs group by all),
+g0 as (select floor(sum(tokens)::double * {mixing.BUDGET_SHARE})::hugeint as allocated from leaf)
+"""]
+    for depth in (1, 2, 3):
+        keys = list(MIX_LEVELS[:depth])
+        padded = [*[f"n.{k}" for k in keys], *["''"] * (3 - depth)]
+        parent = f"partition by {', '.join(keys[:-1])}" if depth > 1 else ""
+        link = " and ".join(f"n.{k} is not distinct from p.{k}" for k in keys[:-1]) or "true"
+        order = (f"{parent} order by case when weight > 0 then capacity::double / weight end "
+                 f"nulls last, {keys[-1]} nulls first")
+        parts.append(f"""n{depth} as (
+  select n.*, p.allocated as budget, coalesce(w.weight, 1)::hugeint as weight
+  from (select {', '.join(keys)}, sum(tokens) * {mixing.MAX_EPOCHS} as capacity
+        from leaf group by all) n
+  join g{depth - 1} p on {link}
+  left join w on w.d = {padded[0]} and w.l = {padded[1]} and w.s = {padded[2]}),
+a{depth} as (
+  select *, coalesce(sum(capacity) over ({order}
+      rows between unbounded preceding and 1 preceding), 0) as used,
+    sum(weight) over ({order} rows between current row and unbounded following) as rest_weight,
+    row_number() over ({order}) as place
+  from n{depth}),
+b{depth} as (
+  select *, weight > 0 and capacity * rest_weight <= weight * (budget - used) as is_full
+  from a{depth}),
+c{depth} as (
+  select *, min(case when not is_full then place end) over ({parent}) as first_open from b{depth}),
+d{depth} as (
+  select *, max(case when place = first_open then budget - used end) over ({parent}) as open_left,
+    max(case when place = first_open then rest_weight end) over ({parent}) as open_weight
+  from c{depth}),
+g{depth} as (
+  select {', '.join(keys)}, case when is_full then capacity when weight > 0
+    then least(capacity, (weight * open_left) // open_weight) else 0 end as allocated
+  from d{depth})
+""")
+    parts.append(f"""cuts as (
+  select l.*, allocated // tokens as epochs, allocated % tokens as rest
+  from leaf l join g3 g on l.domain = g.domain and l.lang is not distinct from g.lang
+    and l.source is not distinct from g.source where tokens > 0),
+keyed as (
+  select d.*, epochs, rest, md5('{mixing.SEED}|' || epochs || '|' || coalesce(doc_id::varchar,
+    'null')) as key
+  from docs d join cuts c on d.domain = c.domain and d.lang is not distinct from c.lang
+    and d.source is not distinct from c.source),
+taken as (
+  select *, epochs + case when rest > 0 and sum(n_tokens) over (
+      partition by domain, lang, source order by key) <= rest then 1 else 0 end as times
+  from keyed)
+select doc_id, domain, lang, source, unnest(range(0, times::bigint))::int as epoch, n_tokens
+from taken""")
+    return ",\n".join(parts)
+
+
+# --- other operators ----------------------------------------------------------------------------
+
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near-duplicate documents of every document."""
+    return near_dedup.near_duplicates(_table(spark, folder, "documents"))
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every document."""
+    return quality.quality_scores(_table(spark, folder, "documents"),
+                                  _table(spark, folder, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document by the byte-level vocabulary."""
     return counts.token_counts(_table(spark, folder, "documents"),
@@ -92,6 +204,9 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
@@ -101,4 +216,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
 }
 
-SQL: dict[str, str] = {"op7_segment_search": OP7_SQL, "op9_warc": OP9_SQL}
+SQL: dict[str, str] = {"op1_mixing": _op1_sql(), "op7_segment_search": OP7_SQL, "op9_warc": OP9_SQL}

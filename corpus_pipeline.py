@@ -1,6 +1,53 @@
-"""From raw documents to packed training sequences, one written stage after the other."""
+"""From raw documents to packed training sequences, one written stage after the other.
+
+Each stage works on all that the one before kept: the quality classifier drops rejected documents,
+near-duplicates leave one document per class, mixing takes documents by target weights (each at
+most once, so that a document stays one row), and packing lays their tokens into sequences. All
+stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from askgrid.llm import mixing, near_dedup, packing, quality
+from askgrid.llm.queries import MIX_LEVELS, MIX_WEIGHTS, with_domain
+from askgrid.plans.shared import written
+
+MIX_SHARE = 0.8
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dedup.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by target weights, within one epoch."""
+    taken = mixing.mix(with_domain(docs), MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, max_epochs=1)
+    return taken.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [("quality", classify), ("near_dedup", deduplicate), ("mix", mix), ("pack", pack)]
+
+#: Fitted models, signatures and tokenizers are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
