@@ -20,18 +20,16 @@ SUMMARY_RETAIN_TURNS = 6
 REMEMBERED = ("completed", "clarification")
 
 
-def append_messages(messages: DataFrame, new: DataFrame, order: str = "seq",
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Give each row of ``new`` the next ordinals of its conversation, in ``order``."""
+def append_messages(messages: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
+    """Give each row of ``new`` the next ordinals of its conversation, in ``order``.
+
+    Rows of equal order are numbered by their other facts, so that a retry agrees.
+    """
     base = messages.groupBy("conversation_id").agg(F.max("ordinal").alias("_base"))
-    per_key = (
-        new.groupBy("conversation_id")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .join(base, "conversation_id", "left")
-    )
-    numbered = number_within(new, ["conversation_id"], order, "_n")
+    tie = sorted(c.name for c in new.schema if c.name not in ("conversation_id", order)
+                 and c.dataType.simpleString() in ("string", "boolean", "bigint", "int"))
     return (
-        attach_per_key(numbered, per_key, ["conversation_id"], "_rows", hot_rows)
+        number_within(new, ["conversation_id"], order, "_n", tie, per_key=base)
         .withColumn("ordinal", F.coalesce("_base", F.lit(0)) + F.col("_n"))
         .drop("_base", "_n")
     )
@@ -43,6 +41,23 @@ def eligible_messages(messages: DataFrame, runs: DataFrame) -> DataFrame:
     return messages.join(kept, "run_id", "left_semi")
 
 
+def summary_violations(messages: DataFrame, runs: DataFrame, summaries: DataFrame) -> DataFrame:
+    """``conversation_id, n_messages, code`` of conversations whose fresh messages are no whole
+    turns: their number is odd, so ``summary_candidates`` leaves them out."""
+    stored = summaries.select("conversation_id",
+                              F.col("summarized_through_ordinal").alias("_boundary"))
+    # Counted per (conversation, ordinal) first: a long conversation is spread over its ordinals.
+    counts = eligible_messages(messages, runs).groupBy("conversation_id", "ordinal").agg(
+        F.count(F.lit(1)).alias("_c"))
+    return (
+        counts.join(stored, "conversation_id", "left")
+        .where(F.col("ordinal") > F.coalesce("_boundary", F.lit(0)))
+        .groupBy("conversation_id").agg(F.sum("_c").alias("n_messages"))
+        .where("n_messages % 2 = 1")
+        .withColumn("code", F.lit("incomplete_turn"))
+    )
+
+
 def _newest(messages: DataFrame, n: int) -> DataFrame:
     """The ``n`` latest messages per conversation; pruned per partition before the shuffle."""
     latest = Window.partitionBy("conversation_id").orderBy(F.col("ordinal").desc())

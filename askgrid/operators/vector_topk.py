@@ -19,9 +19,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from askgrid.plans.shared import written
+
 # Similarities closer than this count as ties and are ordered by chunk id: block products are
 # not bit-reproducible across block sizes.
 DECIMALS = 12
@@ -29,8 +32,9 @@ FILTERS = ("knowledge_base_id", "document_id", "document_format", "parser_name",
            "page_number")
 BROADCAST_BYTES = 64 * 1024 * 1024
 SLAB_ROWS = 50_000
-TASKS_PER_CORE = 4
-MIN_TASKS = 2_000
+#: Scans of more tasks than this merge their rows per query in two steps.
+ONE_STEP_TASKS = 256
+MERGE_SHARDS = 64
 
 
 def scope_column(attribute: str) -> str:
@@ -38,12 +42,18 @@ def scope_column(attribute: str) -> str:
     return f"scope_{attribute}"
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
+    """Vectors as rows; a null vector, another length or a null component gives a row of NaN."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    rows = len(column)
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    fits = lengths == dimension
+    if not fits.all():
+        column = column.filter(pa.array(fits))
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
+    out = np.full((len(fits), dimension), np.nan)
+    out[fits] = flat.reshape(-1, dimension)
+    return out
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -55,18 +65,27 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 
 class _Batch:
-    """A query batch: unit vectors plus groups of queries sharing one filter."""
+    """A query batch: unit vectors in groups that share one filter and one dimension.
+
+    Queries without a usable vector belong to no group and get no rows.
+    """
 
     def __init__(self, table: pa.Table, filters: Sequence[str]):
         self.ids = np.asarray(table.column("query_id").to_numpy())
-        self.matrix = _unit(_matrix(table.column("query_vector")))
-        scopes = [table.column(scope_column(f)).to_pylist() for f in filters]
-        groups: dict[tuple, list[int]] = {}
-        for row in range(len(self.ids)):
-            key = tuple(tuple(s[row] or ()) for s in scopes)
-            groups.setdefault(key, []).append(row)
         self.filters = list(filters)
-        self.groups = [(key, np.asarray(rows)) for key, rows in groups.items()]
+        vectors = table.column("query_vector").combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        scopes = [table.column(scope_column(f)).to_pylist() for f in filters]
+        self.groups: list[tuple[tuple, int, np.ndarray, np.ndarray]] = []
+        for dimension in sorted({int(n) for n in lengths} - {0}):
+            matrix = _unit(_matrix(vectors, dimension))
+            usable = np.isfinite(matrix).all(axis=1)
+            groups: dict[tuple, list[int]] = {}
+            for row in np.flatnonzero((lengths == dimension) & usable):
+                key = tuple(tuple(s[row] or ()) for s in scopes)
+                groups.setdefault(key, []).append(row)
+            self.groups += [(key, dimension, np.asarray(rows), matrix[rows])
+                            for key, rows in groups.items()]
 
 
 class _Attribute:
@@ -96,18 +115,20 @@ class _TopK:
             return
         ids = np.asarray(pa.array(block.column("chunk_id").to_pylist()).to_numpy(
             zero_copy_only=False))
-        vectors = _unit(_matrix(block.column("embedding")))
-        usable = np.isfinite(vectors).all(axis=1)
+        by_dimension = {}
+        for dimension in {group[1] for group in self.batch.groups}:
+            vectors = _unit(_matrix(block.column("embedding"), dimension))
+            by_dimension[dimension] = vectors, np.isfinite(vectors).all(axis=1)
         attributes = {f: _Attribute(block.column(f)) for f in self.batch.filters}
-        for key, rows in self.batch.groups:
-            mask = usable
+        for key, dimension, rows, matrix in self.batch.groups:
+            vectors, mask = by_dimension[dimension]
             for name, allowed in zip(self.batch.filters, key, strict=True):
                 if allowed:
                     mask = mask & attributes[name].among(allowed)
             if not mask.any():
                 continue
             some_ids = ids[mask]
-            scores = np.round(self.batch.matrix[rows] @ vectors[mask].T, DECIMALS)
+            scores = np.round(matrix @ vectors[mask].T, DECIMALS)
             cut = max(scores.shape[1] - self.k, 0)
             floors = np.partition(scores, cut, axis=1)[:, cut]
             hit_rows, hit_columns = np.nonzero(scores >= floors[:, None])
@@ -146,8 +167,18 @@ def _output(chunks: DataFrame, queries: DataFrame) -> tuple[str, pa.Schema]:
     return ddl, arrow
 
 
-def _ranked(partial: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
+def _ranked(partial: DataFrame, k: int, shards: int = 1) -> DataFrame:
+    """The best k per query; with ``shards``, per query and shard first, so that no task merges
+    the rows of all scan tasks for a query."""
+    order = [F.col("similarity").desc(), F.col("chunk_id")]
+    if shards > 1:
+        shard = Window.partitionBy("query_id", "_shard").orderBy(*order)
+        partial = (
+            partial.withColumn("_shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)))
+            .withColumn("rank", F.row_number().over(shard)).where(F.col("rank") <= k)
+            .drop("_shard", "rank")
+        )
+    best = Window.partitionBy("query_id").orderBy(*order)
     return (
         partial.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
@@ -164,12 +195,11 @@ def scan_topk(chunks: DataFrame, batch: pa.Table, filters: Sequence[str], k: int
               ddl: str, schema: pa.Schema) -> DataFrame:
     """One pass over the chunks with the whole (small) query batch in every task.
 
-    Every task emits k rows per query, so the scan is merged into a few tasks per core: the rows
-    to shuffle grow with the cluster, not with the number of input splits.
+    Input splits stay as they are, so a lost task repeats one split. Every task emits k rows per
+    query; if there are many tasks, these are merged in two steps.
     """
-    context = chunks.sparkSession.sparkContext
-    shared = context.broadcast(batch)
-    chunks = chunks.coalesce(max(TASKS_PER_CORE * context.defaultParallelism, MIN_TASKS))
+    shared = chunks.sparkSession.sparkContext.broadcast(batch)
+    many = chunks.rdd.getNumPartitions() > ONE_STEP_TASKS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = _TopK(_Batch(shared.value, filters), k)
@@ -177,7 +207,7 @@ def scan_topk(chunks: DataFrame, batch: pa.Table, filters: Sequence[str], k: int
             top.add(part)
         yield from top.result(schema).to_batches(max_chunksize=10_000)
 
-    return _ranked(chunks.mapInArrow(scan, ddl), k)
+    return _ranked(chunks.mapInArrow(scan, ddl), k, MERGE_SHARDS if many else 1)
 
 
 def cell_topk(chunks: DataFrame, queries: DataFrame, k: int, bucket: str | None = None,
@@ -253,7 +283,10 @@ def topk_cosine(
 
     ``queries``: ``query_id, query_vector`` and optional ``scope_<attribute>`` arrays (empty or
     null = no restriction); ``chunks``: ``chunk_id, embedding`` and the filtered attributes.
-    The batch size is counted before deciding whether to send it to every task.
+    The batch size is counted before deciding whether to send it to every task, which is a choice
+    of plan only. Vectors of another length than the query's, null or non-finite ones and those
+    without direction are not ranked, and such queries get no rows: ``vector_violations`` lists
+    them.
     """
     filters = _used_filters(queries)
     chunks = chunks.select("chunk_id", "embedding", *filters)
@@ -271,3 +304,33 @@ def topk_cosine(
         return cell_topk(chunks, queries, k, slab_rows=slab_rows)
     ddl, schema = _output(chunks, queries)
     return scan_topk(chunks, queries.toArrow(), filters, k, ddl, schema)
+
+
+def vector_violations(df: DataFrame, key: str, vector: str, dimension: int) -> DataFrame:
+    """``key, code`` of rows whose vector cannot be compared in an index of ``dimension``.
+
+    Codes: ``vector_missing``, ``dimension_mismatch``, ``not_finite`` (a null, NaN or infinite
+    component), ``zero_norm``.
+    """
+    v = F.col(vector)
+    infinite = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    code = (
+        F.when(v.isNull(), "vector_missing")
+        .when(F.size(v) != dimension, "dimension_mismatch")
+        .when(F.coalesce(infinite, F.lit(True)), "not_finite")
+        .when(F.forall(v, lambda x: x == 0), "zero_norm")
+    )
+    return df.select(key, code.alias("code")).where("code is not null")
+
+
+def attach_facts(found: DataFrame, facts: DataFrame, rows: int | None = None) -> DataFrame:
+    """Candidates with the facts of their chunks, without moving the chunk table.
+
+    ``found`` holds at most k rows per query. It is written once, its rows are counted, and up to
+    ``rows`` of them (64 MiB at 128 bytes) go to every task that scans ``facts``; a larger answer
+    joins by shuffle. Both ways give the same rows.
+    """
+    found = written(found)
+    most = BROADCAST_BYTES // 128 if rows is None else rows
+    small = found.count() <= most
+    return facts.join(F.broadcast(found) if small else found, "chunk_id")

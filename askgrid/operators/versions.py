@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.functions.text import ANY_CONTROL, strip
+from askgrid.plans.shared import written
 from askgrid.plans.skew import HOT_ROWS, attach_per_key, number_within
 
 DOCUMENT_KEY = ["knowledge_base_id", "source_key"]
@@ -44,8 +45,7 @@ def upsert_documents(documents: DataFrame, attempts: DataFrame) -> DataFrame:
     )
 
 
-def assign_versions(versions: DataFrame, attempts: DataFrame, hot_rows: int = HOT_ROWS
-                    ) -> DataFrame:
+def assign_versions(versions: DataFrame, attempts: DataFrame) -> DataFrame:
     """Attempts with ``document_id, version_number, version_id``.
 
     Numbers follow the highest existing one, failed versions included, in attempt order.
@@ -54,14 +54,12 @@ def assign_versions(versions: DataFrame, attempts: DataFrame, hot_rows: int = HO
     keyed = attempts.withColumn(
         "document_id", document_id(F.col("knowledge_base_id"), F.col("source_key"))
     )
-    per_key = (
-        keyed.groupBy("document_id")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .join(known, "document_id", "left")
-    )
-    numbered = number_within(keyed, ["document_id"], "attempt_seq", "_n")
+    # Attempts with equal order are numbered by their other facts, so that a retry agrees.
+    tie = sorted(c.name for c in attempts.schema
+                 if c.name not in (*DOCUMENT_KEY, "attempt_seq")
+                 and c.dataType.simpleString() in ("string", "boolean", "bigint", "int"))
     return (
-        attach_per_key(numbered, per_key, ["document_id"], "_rows", hot_rows)
+        number_within(keyed, ["document_id"], "attempt_seq", "_n", tie, per_key=known)
         .withColumn("version_number", F.coalesce("_base", F.lit(0)) + F.col("_n"))
         .withColumn("version_id", version_id(F.col("document_id"), F.col("version_number")))
         .drop("_base", "_n")
@@ -103,14 +101,32 @@ def active_chunks(chunks: DataFrame, versions: DataFrame) -> DataFrame:
     return chunks.join(active, "version_id", "left_semi")
 
 
-def plan_import(versions: DataFrame, batch: DataFrame, hot_rows: int = HOT_ROWS
-                ) -> tuple[DataFrame, DataFrame]:
+def plan_import(versions: DataFrame, batch: DataFrame, hot_rows: int = HOT_ROWS,
+                order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(to_import, skipped)``: a document whose active hash equals the new one is skipped.
 
+    With ``order``, attempts of one document follow each other as in single imports: each is
+    compared with the one before it, the first with the stored version. A skipped attempt leaves
+    the active hash as it is, so the hash before is the active one. Attempts are numbered exactly
+    and meet their predecessor by number, so a hot document is spread.
+
     ``versions`` and ``batch`` carry ``knowledge_base_id, source_key, content_sha256``. Copies of
     one document may fill much of a batch, so equal keys are counted first and the verdict is
     joined back with hot keys spread.
     """
+    if order is not None:
+        stored = versions.where(F.col("status") == "active").groupBy(*DOCUMENT_KEY).agg(
+            F.max_by("content_sha256", "version_id").alias("_active"))
+        numbered = written(number_within(batch, DOCUMENT_KEY, order, "_n", ["content_sha256"],
+                                         per_key=stored))
+        earlier = numbered.select(*DOCUMENT_KEY, (F.col("_n") + 1).alias("_n"),
+                                  F.col("content_sha256").alias("_before"))
+        judged = numbered.join(earlier, [*DOCUMENT_KEY, "_n"], "left").withColumn(
+            "_same", F.coalesce(
+                F.col("content_sha256") == F.when(F.col("_n") == 1, F.col("_active")).otherwise(
+                    F.col("_before")), F.lit(False)))
+        return (judged.where(~F.col("_same")).select(*batch.columns),
+                judged.where(F.col("_same")).select(*batch.columns))
     keys = [*DOCUMENT_KEY, "content_sha256"]
     active = (
         versions.where(F.col("status") == "active").select(*keys).distinct()

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE_BITS = 10
+SKETCH_GROUPS = 64
 HOT_ROWS = 1_000_000
 HOT_KEYS = 10_000
 SALTS = 32
@@ -25,14 +26,19 @@ def with_range(df: DataFrame, value: str, source: DataFrame, measured: Column,
                bits: int = RANGE_BITS) -> DataFrame:
     """Add ``_range``: which of ``2 ** bits`` about equally filled ranges holds ``value``.
 
-    The bounds are a quantile sketch of ``source`` of fixed size, attached as a scalar subquery.
+    The bounds are quantiles of ``source`` of fixed size, attached as a scalar subquery. They are
+    taken in two levels, per group of input partitions and then over the groups' quantiles, so no
+    task merges the sketches of all partitions. Bounds decide balance only, never a result.
     The range is found by bisection, one small projection per bit. (Comparing with all bounds in
     one expression makes a method too long for the JIT compiler and is many times slower.)
     """
     total = 2**bits
     cuts = ", ".join(f"{i / total!r}D" for i in range(1, total))
-    sketch = F.expr(f"percentile_approx(_m, array({cuts}), {20 * total})")
-    bounds = source.select(measured.alias("_m")).agg(sketch.alias("b")).scalar()
+    sketch = F.expr(f"percentile_approx(_m, array({cuts}), {4 * total})")
+    groups = source.select(
+        measured.alias("_m"), (F.spark_partition_id() % SKETCH_GROUPS).alias("_g")
+    ).groupBy("_g").agg(sketch.alias("b"))
+    bounds = groups.select(F.explode("b").alias("_m")).agg(sketch.alias("b")).scalar()
     out = (
         df.withColumn("_bounds", bounds)
         .withColumn("_value", F.col(value).cast("double"))
@@ -52,12 +58,15 @@ def number_within(
     name: str,
     tie: Sequence[str] = (),
     bits: int = RANGE_BITS,
+    per_key: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``name``: 1, 2, ... per ``keys`` by ``order`` (numeric or timestamp), then ``tie``.
 
     Rows are cut into ``2 ** bits`` global ranges of ``order`` holding about equal row counts, so
     no (key, range) group exceeds about that share of the table even if one key owns everything.
     Counts per (key, range) are pre-aggregated; their running sum is the offset of each range.
+    The columns of ``per_key`` (at most one row per key) come along with the offsets, which spares
+    a join of their own.
     """
     ranged = with_range(df, order, df, F.col(order).cast("double"), bits)
     group = [*keys, "_range"]
@@ -68,6 +77,8 @@ def number_within(
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
+    if per_key is not None:
+        offsets = offsets.join(per_key, list(keys), "left")
     inside = Window.partitionBy(*group).orderBy(order, *tie)
     return (
         ranged.join(offsets, group, "left")

@@ -61,6 +61,76 @@ def _outcomes(spark, d):
     return ask(spark, d).outcomes.select("request_id", "outcome", "n_sources")
 
 
+# Slugs of known, unknown and incompatible bases (9 has another index), by the request's number.
+ASK_SLUGS_SQL = "with " + data.CHUNKS_SQL + ", " + data.QUERIES_SQL + """,
+asked as (
+  select request_id, question, ((request_id * 37 + 11) % 101) / 100 as sd,
+    ((request_id * 53 + 70) % 101) / 100 as kb, ((request_id * 71 + 5) % 101) / 100 as cl,
+    case when request_id % 3 = 0 then 'intent_classifier_timeout' end as degradation_reason
+  from requests), """ + decision_sql("asked") + """,
+named as (
+  select request_id, route, case when route <> 'knowledge_base' or request_id % 5 < 2 then null
+    when request_id % 5 in (2, 3) then 'knowledge_base_not_found'
+    else 'index_configuration_mismatch' end as error_code from decisions),
+candidates as (
+  select * from (
+    select q.request_id, q.query_index, c.chunk_id, c.content_sha256, c.document_id,
+      round(list_cosine_similarity(q.query_vector, c.embedding), 12) as similarity,
+      row_number() over (partition by q.query_id
+        order by round(list_cosine_similarity(q.query_vector, c.embedding), 12) desc,
+          c.chunk_id) as rank
+    from queries q join named n using (request_id) join chunks c on c.knowledge_base_id <> 9
+      and c.document_id % 3 <> 0
+      and (n.request_id % 5 = 0 or c.knowledge_base_id in (n.request_id % 4, n.request_id % 4 + 4))
+    where n.route = 'knowledge_base' and n.error_code is null) where rank <= 20),
+fused as (
+  select request_id, chunk_id, sum(1.0 / (60 + rank)) as score, min(rank) as best_rank,
+    max(similarity) as best, any_value(document_id) as document_id,
+    any_value(content_sha256) as content_sha256,
+    arg_min(query_index, (rank, -similarity, query_index)) as first_query
+  from candidates group by 1, 2),
+one as (
+  select * from fused qualify row_number() over (partition by request_id, content_sha256
+    order by score desc, best_rank, best desc, first_query, chunk_id::varchar) = 1),
+capped as (
+  select * from one qualify row_number() over (partition by request_id, document_id
+    order by score desc, best_rank, best desc, first_query, chunk_id::varchar) <= 2),
+sources as (select request_id, least(10, count(*)) as n from capped group by 1)
+select request_id, error_code, coalesce(n, 0) as n_sources,
+  case when error_code is not null then 'failed' when route = 'clarification' then 'clarification'
+    when route = 'system_direct' then 'direct' when n > 0 then 'answer' else 'no_context' end
+    as outcome
+from named left join sources using (request_id)"""
+
+
+@R.add("ask_batch_slugs", ASK_SLUGS_SQL)
+def _slugs(spark, d):
+    """Directed questions: no slug, known, partly unknown, unknown and incompatible ones."""
+    r = F.col("request_id")
+
+    def kb(n):
+        return F.concat(F.lit("kb-"), n.cast("string"))
+
+    slugs = (
+        F.when(r % 5 == 0, F.array().cast("array<string>"))
+        .when(r % 5 == 1, F.array(kb(r % 4), kb(r % 4 + 4)))
+        .when(r % 5 == 2, F.array(kb(r % 4), F.lit("typo")))
+        .when(r % 5 == 3, F.array(F.lit("typo")))
+        .otherwise(F.array(kb(r % 4), F.lit("kb-9")))
+    )
+    chunks = data.chunks(spark, d).withColumns({
+        "display_name": F.concat(F.lit("doc "), F.col("document_id").cast("string")),
+        "source_key": F.col("document_id").cast("string"),
+        "version_id": F.col("document_id"),
+    })
+    versions = chunks.select("version_id").distinct().withColumn(
+        "status", F.when(F.col("version_id") % 3 == 0, "superseded").otherwise("active"))
+    asked = prepare_batch(routed(spark, d).withColumn("slugs", slugs), chunks,
+                          data.knowledge_bases(spark, d), CONFIG, embed_questions,
+                          versions=versions)
+    return asked.outcomes.select("request_id", "error_code", "n_sources", "outcome")
+
+
 @R.add("ask_batch_context", ASK_SQL + """
 select s.request_id, s.rank as citation_number, s.chunk_id, s.document_id
 from selected s join decisions d using (request_id)

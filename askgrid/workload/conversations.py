@@ -142,6 +142,13 @@ def _f5m(spark, d):
     return members.select("conversation_id", "ordinal", "role")
 
 
+@R.add("f5_summary_violations", DUE_SQL + """
+select conversation_id, count(*) as n_messages, 'incomplete_turn' as code
+from fresh group by 1 having count(*) % 2 = 1""")
+def _f5v(spark, d):
+    return memory.summary_violations(messages(spark, d), runs(spark, d), summaries(spark, d))
+
+
 def updates(spark, d):
     c, t = F.col("conv_id"), F.col("turn")
     return table(spark, d, "conversations").select(

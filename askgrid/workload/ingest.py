@@ -447,9 +447,10 @@ def _b4(spark, d):
 
 
 def _import_batch(spark, d):
-    """The batch again under its own hashes; rows of quality text equal an active version."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    key = F.when(F.col("quality") == 1, F.col("source")).otherwise(
+    """All documents again under their own hashes; some equal an active version or the attempt
+    before them."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    key = F.when(F.coalesce("quality", F.lit(1)) == 1, F.col("source")).otherwise(
         F.concat("source", F.lit("-old")))
     return docs.select(
         "doc_id", F.col("lang").alias("knowledge_base_id"), key.alias("source_key"),
@@ -460,11 +461,15 @@ def _import_batch(spark, d):
 IMPORT_SQL = "with " + STORED_SQL + """,
 batch as (
   select doc_id, lang as knowledge_base_id,
-    case when quality = 1 then source else source || '-old' end as source_key,
-    sha256(case when quality = 1 then source else source || '-old' end ||
+    case when coalesce(quality, 1) = 1 then source else source || '-old' end as source_key,
+    sha256(case when coalesce(quality, 1) = 1 then source else source || '-old' end ||
       case when toxic = 1 then 2 else doc_id % 4 end) as content_sha256
-  from documents join labels using (doc_id)),
-skipped as (select * from batch b where exists (select 1 from stored_versions v
+  from documents left join labels using (doc_id)),
+followed as (
+  select *, row_number() over w as n, lag(content_sha256) over w as before from batch
+  window w as (partition by knowledge_base_id, source_key order by doc_id)),
+skipped as (select * from followed b where b.content_sha256 = b.before or b.n = 1 and exists (
+  select 1 from stored_versions v
   where v.status = 'active' and v.knowledge_base_id = b.knowledge_base_id
     and v.source_key = b.source_key and v.content_sha256 = b.content_sha256))"""
 
@@ -472,7 +477,8 @@ skipped as (select * from batch b where exists (select 1 from stored_versions v
 @R.add("b5_plan_import", IMPORT_SQL + """
 select doc_id, doc_id in (select doc_id from skipped) as skipped from batch""")
 def _b5(spark, d):
-    new, same = versions.plan_import(stored_versions(spark, d), _import_batch(spark, d))
+    new, same = versions.plan_import(
+        stored_versions(spark, d), _import_batch(spark, d), order="doc_id")
     return new.select("doc_id", F.lit(False).alias("skipped")).unionByName(
         same.select("doc_id", F.lit(True).alias("skipped")))
 
@@ -483,7 +489,8 @@ select count(*) as document_count, count(*) - (select count(*) from skipped) as
   (sum(doc_id % 3 + 1) - coalesce((select sum(doc_id % 3 + 1) from skipped), 0))::bigint
     as imported_chunks from batch""")
 def _b5r(spark, d):
-    new, same = versions.plan_import(stored_versions(spark, d), _import_batch(spark, d))
+    new, same = versions.plan_import(
+        stored_versions(spark, d), _import_batch(spark, d), order="doc_id")
     chunks = new.select(F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))))
     return versions.import_report(new, same, chunks)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askgrid.operators import fusion, ivf, prompt, rerank, scope
-from askgrid.operators.vector_topk import topk_cosine
+from askgrid.operators.vector_topk import attach_facts, topk_cosine, vector_violations
 from askgrid.plans.shared import written
 from askgrid.workload import data
 from askgrid.workload.data import CONFIG, Registry, table
@@ -19,10 +19,10 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     queries = data.query_vectors(spark, d)
     top = topk_cosine(queries.select("query_id", "query_vector"), data.chunks(spark, d), k=20)
     facts = data.chunks(spark, d).drop("embedding")
-    return (
+    return attach_facts(
         top.withColumn("request_id", F.expr("query_id div 4"))
-        .withColumn("query_index", F.col("query_id") % 4)
-        .join(facts, "chunk_id")
+        .withColumn("query_index", F.col("query_id") % 4),
+        facts,
     )
 
 
@@ -177,6 +177,66 @@ def _c5(spark, d):
                       F.round("similarity", 6).alias("similarity"))
 
 
+# Every seventh vector is damaged in one of five ways, every third query in one of three.
+DAMAGED_VECTORS_SQL = "with " + data.CHUNKS_SQL + ", " + data.QUERIES_SQL + """,
+c as (
+  select chunk_id, case when chunk_id % 35 = 0 then null when chunk_id % 35 = 7
+      then embedding[1:63] when chunk_id % 35 = 14 then list_transform(embedding, lambda x: 0.0)
+    when chunk_id % 35 = 21 then list_transform(embedding, lambda x, i:
+      case when i = 5 then null else x end)
+    when chunk_id % 35 = 28 then list_transform(embedding, lambda x, i:
+      case when i = 9 then 'nan'::double else x end) else embedding end as v from chunks),
+q as (
+  select query_id, case when query_id % 9 = 0 then null when query_id % 9 = 3
+      then query_vector[1:10] when query_id % 9 = 6
+      then list_transform(query_vector, lambda x: 0.0) else query_vector end as v from queries),
+bad as (
+  select 'chunk' as side, chunk_id as id, case chunk_id % 35 when 0 then 'vector_missing'
+    when 7 then 'dimension_mismatch' when 14 then 'zero_norm' else 'not_finite' end as code
+  from c where chunk_id % 7 = 0
+  union all
+  select 'query', query_id, case query_id % 9 when 0 then 'vector_missing'
+    when 3 then 'dimension_mismatch' else 'zero_norm' end from q where query_id % 3 = 0),
+scored as (
+  select query_id, chunk_id,
+    round(list_cosine_similarity(q.query_vector, c.embedding), 12) as similarity
+  from queries q, chunks c where query_id % 3 <> 0 and chunk_id % 7 <> 0)
+select side, id, null::bigint as rank, null::bigint as chunk_id, code from bad
+union all
+select 'hit', query_id, rank, chunk_id, null from (select *, row_number() over (
+  partition by query_id order by similarity desc, chunk_id) as rank from scored) where rank <= 20"""
+
+
+@R.add("c5_damaged_vectors", DAMAGED_VECTORS_SQL)
+def _c5_damaged(spark, d):
+    c, q, v = F.col("chunk_id"), F.col("query_id"), F.col("embedding")
+    chunks = data.chunks(spark, d).select(
+        "chunk_id",
+        F.when(c % 35 == 0, None).when(c % 35 == 7, F.slice(v, 1, 63))
+        .when(c % 35 == 14, F.transform(v, lambda x: x * 0))
+        .when(c % 35 == 21, F.transform(v, lambda x, i: F.when(i != 4, x)))
+        .when(c % 35 == 28, F.transform(
+            v, lambda x, i: F.when(i == 8, float("nan")).otherwise(x).cast("float")))
+        .otherwise(v).alias("embedding"))
+    w = F.col("query_vector")
+    queries = data.query_vectors(spark, d).select(
+        "query_id",
+        F.when(q % 9 == 0, None).when(q % 9 == 3, F.slice(w, 1, 10))
+        .when(q % 9 == 6, F.transform(w, lambda x: x * 0)).otherwise(w).alias("query_vector"))
+
+    def listed(df, key, vector):
+        return vector_violations(df, key, vector, data.DIMENSION).select(
+            F.lit(key.removesuffix("_id")).alias("side"), F.col(key).alias("id"),
+            F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("bigint").alias("chunk_id"),
+            "code")
+
+    hits = topk_cosine(queries, chunks, k=20).select(
+        F.lit("hit").alias("side"), q.alias("id"), F.col("rank").cast("bigint").alias("rank"),
+        "chunk_id", F.lit(None).cast("string").alias("code"))
+    return hits.unionByName(listed(chunks, "chunk_id", "embedding")).unionByName(
+        listed(queries, "query_id", "query_vector"))
+
+
 def _ivf(spark, d, nprobe: int) -> DataFrame:
     queries = data.query_vectors(spark, d).select("query_id", "query_vector")
     index = ivf.build_ivf(data.chunks(spark, d).select("chunk_id", "embedding"), n_lists=8)
@@ -465,7 +525,7 @@ def _d13(spark, d):
     texts = table(spark, d, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source")
     c = F.col("chunk_id")
-    context = prompt.select_context(_selected(spark, d)).join(texts, "chunk_id").select(
+    context = attach_facts(prompt.select_context(_selected(spark, d)), texts).select(
         "request_id", "citation_number", "content",
         F.concat(F.lit("src "), "source").alias("display_name"),
         F.concat(F.lit("k&"), F.col("document_id").cast("string")).alias("source_key"),

@@ -34,7 +34,7 @@ def rewrite_responses(spark, d):
                                          F.array(t).alias("sub_questions"),
                                          F.lit(1).alias("note"))))
         .when(i == 2, answer(t, t, F.concat(F.lit(" "), t)))
-        .when(i == 3, F.expr("left(text, 40)"))
+        .when(i == 3, F.concat(F.lit('{"rewritten_question": '), F.to_json(F.array(t))))
         .when(i == 4, F.concat(F.lit('{"rewritten_question": 5, "sub_questions": '),
                                F.to_json(F.array(t)), F.lit("}")))
         .when(i == 5, answer(F.lit("  "), t))

@@ -125,7 +125,7 @@ def test_failed_attempts_use_numbers_and_keep_the_active_version(spark):
          for s, ok in ((1, True), (2, False), (3, True), (4, False))],
         "knowledge_base_id string, source_key string, attempt_seq long, filename string, "
         "content_sha256 string, ok boolean, error_code string")
-    numbered = versions.assign_versions(before, batch, hot_rows=2)
+    numbered = versions.assign_versions(before, batch)
     out = versions.apply_attempts(before, numbered, hot_rows=2)
     assert rows(out, "version_number", "status", "error_code") == [
         (1, "superseded", None), (2, "failed", "embedding_timeout"), (3, "active", None),

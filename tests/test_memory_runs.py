@@ -47,7 +47,7 @@ def test_append_continues_ordinals_with_a_hot_conversation(spark):
     messages = spark.createDataFrame(talk(3), MESSAGE)
     new = spark.createDataFrame([(1, i) for i in range(200)] + [(2, 7)],
                                 "conversation_id long, seq long")
-    out = rows(memory.append_messages(messages, new, hot_rows=5), "conversation_id", "seq",
+    out = rows(memory.append_messages(messages, new), "conversation_id", "seq",
                "ordinal")
     assert out == sorted([(1, i, i + 4) for i in range(200)] + [(2, 7, 1)], key=repr)
 
