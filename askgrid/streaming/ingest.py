@@ -5,15 +5,19 @@ Tables below ``root``:
 * ``chunks/batch=N`` and ``attempts/batch=N``: append-only, one folder per micro-batch;
 * ``numbers/batch=N``: version numbers given to the files of a micro-batch;
 * ``rejects/batch=N``: files refused at admission or parsing;
-* ``heads/snapshot=N+1``: one row per logical document with its last and active version.
-
-A version is active exactly if it is the active version of its head, so old rows are never
-rewritten. The heads snapshot is written last; a repeated micro-batch recomputes the same folders
-from the same previous snapshot, or does nothing when its snapshot exists.
+* ``marks/snapshot=N``: which micro-batch of which stream the number N stands for;
+* ``heads/snapshot=N``: one row per logical document with its last and active version.
+
+Numbers follow the newest finished snapshot of the tables, not the count of a stream's batches, so
+a new or lost checkpoint continues where the tables stand and drops nothing. A micro-batch is a
+repeat only if its own stream has finished it before. A version is active exactly if it is the
+active version of its head, so old rows are never rewritten. The heads snapshot is written last;
+until then a batch is invisible, and a repeat recomputes the same folders from the same snapshot.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +30,9 @@ from askgrid.operators.admission import identify
 from askgrid.operators.chunking import OVERLAP_TOKENS, TARGET_TOKENS, chunk_documents
 from askgrid.operators.embedding import embed, validate_vectors
 from askgrid.operators.segment import with_blocks
-from askgrid.operators.versions import DOCUMENT_KEY, assign_versions, document_id
+from askgrid.operators.versions import (
+    DOCUMENT_KEY, assign_versions, document_id, plan_import,
+)
 from askgrid.plans.shared import written
 from askgrid.sources.snapshots import read_snapshot, snapshot_ids, write_snapshot
 
@@ -35,6 +41,8 @@ HEADS = (
     "last_version bigint, active_version bigint, active_version_id string, active_sha256 string"
 )
 
+MARKS = "stream string, epoch bigint, snapshot int"
+
 # Fixed value: columns of Spark's binary file source, which a stream must state.
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -52,9 +60,12 @@ def read_active_chunks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_versions(spark: SparkSession, root: str) -> DataFrame:
-    """All versions with their present status."""
-    heads = read_heads(spark, root).select("document_id", "active_version_id")
-    rows = spark.read.parquet(f"{root}/attempts").join(heads, "document_id", "left")
+    """All versions with their present status; batches whose heads are not written are unseen."""
+    finished = snapshot_ids(spark, f"{root}/heads")
+    newest = finished[-1] if finished else 0
+    heads = read_heads(spark, root, newest).select("document_id", "active_version_id")
+    rows = spark.read.parquet(f"{root}/attempts").where(F.col("batch") <= newest).join(
+        heads, "document_id", "left")
     return rows.withColumn(
         "status",
         F.when(~F.col("ok"), "failed")
@@ -65,38 +76,50 @@ def read_versions(spark: SparkSession, root: str) -> DataFrame:
 
 def ingest_batch(batch: DataFrame, epoch: int, root: str, dimension: int = 768,
                  load: Callable | None = None, codec: str | Codec = "words",
-                 target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS) -> None:
+                 target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS,
+                 stream: str = "batches") -> None:
     """Ingest one batch of ``knowledge_base_id, source_key, filename, media_type, content,
-    attempt_seq``; files whose hash equals the active version's are skipped."""
+    attempt_seq``; files whose hash equals that of the attempt before them are skipped.
+
+    ``stream`` names the source of ``epoch``: the same pair is ingested once.
+    """
     spark = batch.sparkSession
-    if epoch + 1 in snapshot_ids(spark, f"{root}/heads"):
-        return
-    earlier = [i for i in snapshot_ids(spark, f"{root}/heads") if i <= epoch]
-    heads = read_heads(spark, root, earlier[-1] if earlier else 0)
+    finished = snapshot_ids(spark, f"{root}/heads")
+    newest = finished[-1] if finished else 0
+    if newest:
+        marks = spark.read.schema(MARKS).parquet(f"{root}/marks")
+        if not marks.where((F.col("stream") == stream) & (F.col("epoch") == epoch)
+                           & (F.col("snapshot") <= newest)).isEmpty():
+            return
+    number = newest + 1
+    heads = read_heads(spark, root, newest)
+    spark.createDataFrame([(stream, epoch)], "stream string, epoch bigint").coalesce(1).write.mode(
+        "overwrite").parquet(f"{root}/marks/snapshot={number}")
     parsed = with_blocks(identify(batch)).withColumns({
         "reject_code": F.coalesce("reject_code", "parse_code"),
         "document_id": document_id(F.col("knowledge_base_id"), F.col("source_key")),
     }).drop("parse_code", "content", "text").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         parsed.where(F.col("reject_code").isNotNull()).drop("blocks").write.mode(
-            "overwrite").parquet(f"{root}/rejects/batch={epoch}")
-        unchanged = heads.select(
-            "document_id", F.col("active_sha256").alias("content_sha256")
-        ).where(F.col("content_sha256").isNotNull())
-        good = parsed.where(F.col("reject_code").isNull()).join(
-            unchanged, ["document_id", "content_sha256"], "left_anti")
+            "overwrite").parquet(f"{root}/rejects/batch={number}")
+        good = parsed.where(F.col("reject_code").isNull())
+        active = heads.where(F.col("active_sha256").isNotNull()).select(
+            *DOCUMENT_KEY, F.col("active_sha256").alias("content_sha256"),
+            F.col("active_version_id").alias("version_id"), F.lit("active").alias("status"))
+        facts, _ = plan_import(
+            active, good.select(*DOCUMENT_KEY, "filename", "attempt_seq", "content_sha256"),
+            order="attempt_seq")
         stored = heads.select("document_id", F.col("last_version").alias("version_number"))
-        facts = good.select(*DOCUMENT_KEY, "filename", "attempt_seq", "content_sha256")
-        numbered = written(assign_versions(stored, facts), f"{root}/numbers/batch={epoch}")
-        ids = numbered.select("document_id", "attempt_seq", "version_id", "version_number")
+        numbered = written(assign_versions(stored, facts), f"{root}/numbers/batch={number}")
         with_version = good.join(
-            ids.drop("version_number"), ["document_id", "attempt_seq"])
+            numbered.select("document_id", "attempt_seq", "content_sha256", "version_id"),
+            ["document_id", "attempt_seq", "content_sha256"]).dropDuplicates(["version_id"])
         chunks = embed(chunk_documents(with_version, "version_id", target, overlap, codec),
                        "content", dimension, True, load)
         validate_vectors(chunks, dimension).write.mode("overwrite").parquet(
-            f"{root}/chunks/batch={epoch}")
+            f"{root}/chunks/batch={number}")
         bad = (
-            spark.read.schema(_chunk_schema(chunks)).parquet(f"{root}/chunks/batch={epoch}")
+            spark.read.schema(_chunk_schema(chunks)).parquet(f"{root}/chunks/batch={number}")
             .where(F.col("violation").isNotNull()).select("version_id").distinct()
             .withColumn("_bad", F.lit(True))
         )
@@ -104,9 +127,9 @@ def ingest_batch(batch: DataFrame, epoch: int, root: str, dimension: int = 768,
             "ok": F.col("_bad").isNull(),
             "error_code": F.when(F.col("_bad").isNotNull(), "embedding_protocol"),
         }).drop("_bad")
-        attempts.write.mode("overwrite").parquet(f"{root}/attempts/batch={epoch}")
-        done = spark.read.schema(attempts.schema).parquet(f"{root}/attempts/batch={epoch}")
-        write_snapshot(_next_heads(heads, done), f"{root}/heads", snapshot=epoch + 1)
+        attempts.write.mode("overwrite").parquet(f"{root}/attempts/batch={number}")
+        done = spark.read.schema(attempts.schema).parquet(f"{root}/attempts/batch={number}")
+        write_snapshot(_next_heads(heads, done), f"{root}/heads", snapshot=number)
     finally:
         parsed.unpersist()
 
@@ -169,10 +192,12 @@ def file_stream(spark: SparkSession, folder: str, glob: str = "*.*") -> DataFram
 def ingest_stream(source: DataFrame, root: str, checkpoint: str, available_now: bool = False,
                   **options) -> StreamingQuery:
     """Start the continuous ingest; ``available_now`` stops after the present input."""
-    writer = (
-        source.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, epoch: ingest_batch(batch, epoch, root, **options))
-    )
+    def one(batch: DataFrame, epoch: int) -> None:
+        # The id of this stream; a checkpoint made anew has another one.
+        held = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]
+        ingest_batch(batch, epoch, root, stream=json.loads(held)["id"], **options)
+
+    writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -121,3 +121,39 @@ def test_file_stream_ingest(spark, tmp_path):
     assert rows(read_versions(spark, root), "knowledge_base_id", "source_key", "status") == [
         ("kb1", "kb1/a.txt", "active"), ("kb1", "kb1/b.txt", "active")]
     assert read_active_chunks(spark, root).where(F.col("violation").isNull()).count() == 2
+
+
+def test_a_lost_checkpoint_drops_nothing(spark, tmp_path):
+    inbox, root = tmp_path / "in", str(tmp_path / "tables")
+    (inbox / "kb").mkdir(parents=True)
+
+    def run(checkpoint):
+        ingest_stream(file_stream(spark, str(inbox)), root, str(tmp_path / checkpoint),
+                      available_now=True, dimension=2).awaitTermination()
+        return sorted((r.source_key, r.version_number, r.status)
+                      for r in read_versions(spark, root).collect())
+
+    (inbox / "kb" / "a.txt").write_text("first")
+    (inbox / "kb" / "b.txt").write_text("second")
+    assert run("one") == [("kb/a.txt", 1, "active"), ("kb/b.txt", 1, "active")]
+    assert run("one") == run("one")
+    # Another checkpoint counts its batches from 0 again: known files are skipped as unchanged,
+    # new ones are ingested.
+    (inbox / "kb" / "c.txt").write_text("third")
+    assert run("two") == [("kb/a.txt", 1, "active"), ("kb/b.txt", 1, "active"),
+                          ("kb/c.txt", 1, "active")]
+    (inbox / "kb" / "d.txt").write_text("fourth")
+    assert len(run("one")) == 4 and len(run("two")) == 4
+
+
+def test_attempts_inside_a_batch_follow_each_other(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    schema = ("knowledge_base_id string, source_key string, filename string, media_type string, "
+              "content binary, attempt_seq bigint")
+    batch = spark.createDataFrame(
+        [("kb", "a", "a.txt", None, bytearray(t), i)
+         for i, t in enumerate([b"x", b"x", b"y", b"y", b"x"])], schema)
+    ingest_batch(batch, 0, root, dimension=2)
+    got = sorted((r.version_number, r.attempt_seq, r.status)
+                 for r in read_versions(spark, root).collect())
+    assert got == [(1, 0, "superseded"), (2, 2, "superseded"), (3, 4, "active")]
