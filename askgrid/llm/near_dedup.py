@@ -7,11 +7,10 @@ of the weighted sets. A shingle's arrivals are generated only until they come la
 register's best, which ends almost all of them after the first.
 
 Equal texts are collapsed first. Signatures are cut into bands; texts that share a band meet in a
-bucket. No bucket is expanded into all its pairs: each member is verified against the bucket's
-leader, the links are contracted to components, and only pairs of different components are looked
-at again. Jaccard distance is a metric, so of those a pair is left out, exactly, if the two
-distances to the leader differ by more than the distance allowed. Verification is exact: the Jaccard
-similarity of the shingle sets must reach the threshold.
+bucket. No bucket is expanded into all its pairs: each member is verified against the bucket's leader, the
+links are contracted to components, and only where a bucket holds several components are members
+outside the leader's compared with the rest, in cells of bounded size that return links only.
+Verification is exact: the Jaccard similarity of the shingle sets must reach the threshold.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.llm.components import components
@@ -33,6 +32,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 26
 ROWS = 5
+CELL_MEMBERS = 1_000
+_COLUMNS = 4_096
 _MASK = (1 << 44) - 1
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -155,15 +156,13 @@ def _signatures(words: int, bands: int, rows: int):
                                        (size, bands)).copy()
                 for r in range(rows):
                     code = _mix(code + signature[:, :, r] * _ODD[3])
-                shingle_count = np.bincount(owner, minlength=size)
-                filled = shingle_count > 0
+                filled = np.bincount(owner, minlength=size) > 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(filled, bands, 0))])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, size), batch.column(1).slice(first, size),
-                     pa.array(shingle_count, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)),
                                               pa.array(code[filled].ravel().view(np.int64)))],
-                    names=["doc_id", "text_key", "n", "bands"])
+                    names=["doc_id", "text_key", "bands"])
 
     return run
 
@@ -196,8 +195,82 @@ def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 .alias("similarity")))
 
 
-def _like_sizes(first: str, second: str, least: float) -> Column:
-    return F.least(first, second) >= F.greatest(first, second) * F.lit(least)
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of ``x`` shares with each of ``y``."""
+    if len(x) * len(y) <= 64:
+        return np.array([[np.intersect1d(a, b, assume_unique=True).size for b in y] for a in x])
+    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
+    common = np.intersect1d(flat_x, flat_y)
+
+    def places(flat: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(sets)), [s.size for s in sets])
+        at = np.searchsorted(common, flat)
+        here = (at < common.size) & (common[np.minimum(at, common.size - 1)] == flat) \
+            if common.size else np.zeros(flat.size, bool)
+        return owner[here], at[here]
+
+    (own_x, at_x), (own_y, at_y) = places(flat_x, x), places(flat_y, y)
+    counts = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, common.size, _COLUMNS):
+        blocks = []
+        for size, owner, at in ((len(x), own_x, at_x), (len(y), own_y, at_y)):
+            block = np.zeros((size, _COLUMNS), np.float32)
+            inside = (at >= lo) & (at < lo + _COLUMNS)
+            block[owner[inside], at[inside] - lo] = 1
+            blocks.append(block)
+        counts += blocks[0] @ blocks[1].T
+    return counts.astype(np.int64)
+
+
+def _cell_links(similarity: float):
+    """Links between the two sides of a cell: for each member one per component it reaches."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        sides = []
+        for table in (left, right):
+            hashes = table.column("hashes").combine_chunks()
+            offsets = hashes.offsets.to_numpy()
+            flat = hashes.values.to_numpy(zero_copy_only=False)
+            sides.append((table.column("id").to_numpy(), table.column("root").to_numpy(),
+                          [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]))
+        (ids_x, root_x, x), (ids_y, root_y, y) = sides
+        if len(set(root_x.tolist()) | set(root_y.tolist())) == 1:
+            return schema.empty_table()
+        shared = _overlaps(x, y)
+        total = np.array([s.size for s in x])[:, None] + np.array([s.size for s in y]) - shared
+        row, column = np.nonzero(
+            (shared >= similarity * total - 1e-9) & (root_x[:, None] != root_y))
+        pairs = {(int(r), int(root_y[c])): int(c) for r, c in zip(row, column)}
+        ends = [(int(ids_x[r]), int(ids_y[c])) for (r, _), c in pairs.items()]
+        return pa.table([[min(e) for e in ends], [max(e) for e in ends]], schema=schema)
+
+    return run
+
+
+def _missing_links(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links that the stars did not see, from ``band, id, root, outside``.
+
+    Only buckets with members outside the leader's component take part. A bucket of many members
+    becomes several cells: both sides are dealt to slabs by hash and each pair of slabs is a task.
+    """
+    mixed = placed.groupBy("band").agg(
+        F.ceil(F.count(F.lit(1)) / CELL_MEMBERS).cast("int").alias("slabs"),
+        F.bool_or("outside").alias("any")).where("any").drop("any")
+    rows = placed.join(mixed, "band").join(sets, "id").select(
+        "band", "id", "root", "outside", "hashes", "slabs",
+        F.pmod(F.xxhash64("id"), F.col("slabs")).cast("int").alias("own"),
+        F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("other"))
+    left = rows.where("outside").select(
+        "band", F.col("own").alias("i"), F.col("other").alias("j"), "id", "root", "hashes")
+    right = rows.select(
+        *[F.col(c).alias(n) for c, n in (("band", "band"), ("other", "i"), ("own", "j"),
+                                         ("id", "id"), ("root", "root"), ("hashes", "hashes"))])
+    cell = ["band", "i", "j"]
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(
+        _cell_links(similarity), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(
@@ -223,17 +296,16 @@ def near_duplicates(
     keyed = texts.select("doc_id", F.md5("text").alias("text_key"), "text")
     signed = written(keyed.mapInArrow(
         _signatures(words, bands, rows),
-        "doc_id bigint, text_key string, n bigint, bands array<bigint>"))
+        "doc_id bigint, text_key string, bands array<bigint>"))
     # One text each: copies meet before anything is compared, summed up ahead of the shuffle.
     originals = written(signed.groupBy("text_key").agg(
-        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    entries = originals.where("id is not null").select("id", "n", F.explode("bands").alias("band"))
+        F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
+    entries = originals.where("id is not null").select("id", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(
         F.count(F.lit(1)).alias("members"),
-        F.min(F.struct(F.xxhash64("id", "band").alias("h"), "id", "n")).alias("l"),
-    ).where("members > 1").select(
-        "band", F.col("l.id").alias("leader"), F.col("l.n").alias("leader_n"))
-    met = written(entries.join(buckets, "band").select("band", "id", "n", "leader", "leader_n"))
+        F.min(F.struct(F.xxhash64("id", "band").alias("h"), "id")).alias("l"),
+    ).where("members > 1").select("band", F.col("l.id").alias("leader"))
+    met = written(entries.join(buckets, "band").select("band", "id", "leader"))
 
     involved = met.select("id").distinct()
     sets = written(
@@ -249,25 +321,10 @@ def near_duplicates(
     with_root = met.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn(
         "root", F.coalesce("root", "id"))
     leader_root = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
-    with_root = with_root.join(leader_root, "leader", "left").withColumn(
-        "leader_root", F.coalesce("leader_root", "leader"))
-    far = with_root.join(
-        verified.select("a", "b", (1 - F.col("similarity")).alias("distance")),
-        (F.least("id", "leader") == F.col("a")) & (F.greatest("id", "leader") == F.col("b")), "left",
-    ).select("band", "id", "n", "root", "leader_root", "leader",
-             F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    outside = written(far.where("root <> leader_root"))
-    mixed = outside.select("band").distinct()
-    inside = far.join(mixed, "band")
-    x, y = outside.alias("x"), inside.alias("y")
-    again = x.join(
-        y,
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
-        & (F.col("y.id") != F.col("y.leader"))
-        & (F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - similarity + 1e-9)
-        & _like_sizes("x.n", "y.n", similarity),
-    ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = _similarity(again, sets).where(F.col("similarity") >= similarity).select("a", "b")
+    placed = written(with_root.join(leader_root, "leader", "left").select(
+        "band", "id", "root",
+        (F.col("root") != F.coalesce("leader_root", "leader")).alias("outside")))
+    more = _missing_links(placed, sets, similarity)
     closed = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
                         .unionByName(more))
     classes = originals.select("text_key", "id").join(
