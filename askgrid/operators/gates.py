@@ -253,9 +253,14 @@ def fingerprint(df: DataFrame, cols: Sequence[str], name: str = "fingerprint") -
 
 
 def table_fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Order-free identity of a table in one row: count, xor and sum of row hashes."""
-    row = F.xxhash64(*sorted(cols))
-    return df.select(row.alias("_h")).agg(
+    """Order-free identity of a table in one row: count, xor and sum of row hashes.
+
+    A row's hash is the first 60 bits of its SHA-256 (``fingerprint``), so any other engine can
+    follow.
+    """
+    hashed = fingerprint(df.select(*cols), cols, "_sha")
+    row = F.conv(F.substring("_sha", 1, 15), 16, 10).cast("bigint")
+    return hashed.select(row.alias("_h")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.bit_xor("_h").alias("hash_xor"),
         F.sum(F.col("_h").cast("decimal(38,0)")).alias("hash_sum"),

@@ -9,6 +9,7 @@ from askgrid.plans.shared import written
 from askgrid.sources.corpus import extract_front_matter_id
 from askgrid.workload import data
 from askgrid.workload.conversations import MESSAGES_SQL, RUNS_SQL, messages, runs
+from askgrid.sources import corpus
 from askgrid.workload.data import CONFIG, Registry, table
 
 R = Registry()
@@ -288,14 +289,13 @@ units as (select doc_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v
 
 
 @R.add("a16_embed", HASHED_SQL + """
-select doc_id, len(u) as dimension, round(u[1], 4) as first, round(u[32], 4) as middle,
-  round(u[64], 4) as last from units""")
+select doc_id, len(u) as dimension,
+  list_transform(u, lambda x: round(x::float::double, 4) + 0.0) as components from units""")
 def _a16(spark, d):
     out = embedding.embed(data.documents(spark, d), "text", dimension=64)
     return out.select(
         "doc_id", F.size("embedding").alias("dimension"),
-        *[F.round(F.col("embedding")[i].cast("double"), 4).alias(n)
-          for i, n in ((0, "first"), (31, "middle"), (63, "last"))])
+        F.transform("embedding", lambda x: F.round(x.cast("double"), 4) + 0.0).alias("components"))
 
 
 @R.add("a17_validate_vectors", """
@@ -649,3 +649,87 @@ def _b14(spark, d):
     out = integrity.normalize_fields(rows)
     return out.select("doc_id", "slug", "source_key", "filename", "media_type",
                       F.array_join("field_violations", ",").alias("bad"))
+
+
+# --- corpus folders and evaluation sets -------------------------------------------------------
+
+CATEGORIES = ("guides", "faq", "policy", "news")
+
+
+def corpus_files(spark, d):
+    """Pages as files of a corpus folder: four categories (one of them empty) and extra files."""
+    i = F.col("page_id")
+    folder = F.element_at(F.array(*[F.lit(c) for c in ("guides", "faq", "policy", "_meta")]),
+                          (i % 4 + 1).cast("int"))
+    return table(spark, d, "pages").select(
+        F.concat(F.lit("file:/x/root/root/"), folder, F.lit("/"),
+                 F.when(i % 3 == 0, "deep/").otherwise(""), i.cast("string"), F.lit(".md"))
+        .alias("path"),
+        F.encode("html", "UTF-8").alias("content"))
+
+
+FILES_SQL = """with files as (
+  select (['guides', 'faq', 'policy', '_meta'])[page_id % 4 + 1] as folder, html,
+    case when page_id % 3 = 0 then 'deep/' else '' end || page_id || '.md' as rest from pages),
+named as (select folder as category, folder || '/' || rest as relative_path,
+  split_part(rest, '/', -1) as filename, sha256(html) as content_sha256 from files)"""
+
+
+@R.add("a1_corpus_files", FILES_SQL + " select * from named")
+def _a1(spark, d):
+    return corpus.corpus_files(corpus_files(spark, d), "file:/x/root/root").drop("content")
+
+
+@R.add("a1_corpus_documents", FILES_SQL + """
+select case when relative_path = '_meta/7.md' then 'MAPPING' end as document_id,
+  case when relative_path = '_meta/7.md' then 'guides' else category end as category,
+  relative_path from named where category <> '_meta' or relative_path = '_meta/7.md'""")
+def _a1d(spark, d):
+    files = corpus.corpus_files(corpus_files(spark, d), "file:/x/root/root")
+    found, _ = corpus.corpus_documents(files, CATEGORIES, {"_meta/7.md": ("MAPPING", "guides")})
+    return found.select("document_id", "category", "relative_path")
+
+
+@R.add("a1_corpus_problems", FILES_SQL + """
+select 'category_missing' as code, c as name from (select unnest(['guides', 'faq', 'policy',
+  'news']) as c) where c not in (select category from named)
+union all select 'special_missing', s from (select unnest(['_meta/7.md', '_meta/none.md']) as s)
+  where s not in (select relative_path from named)""")
+def _a1p(spark, d):
+    files = corpus.corpus_files(corpus_files(spark, d), "file:/x/root/root")
+    _, problems = corpus.corpus_documents(
+        files, CATEGORIES, {"_meta/7.md": ("MAPPING", "guides"), "_meta/none.md": ("N", "faq")})
+    return problems
+
+
+@R.add("a2_evaluation_lines", """
+with numbered as (
+  select conv_id || '-' || turn as query_id, text, (conv_id + turn) % 5 as kind
+  from conversations)
+select case when kind > 1 then query_id end as query_id, case when kind > 1 then sha256(text) end
+    as query_sha256, case when kind > 1 then kind = 4 end as requires_tool,
+  case when kind > 1 then len(case when kind = 3 then ['a', 'b'] else [] end) end as nice,
+  case kind when 0 then 'blank_line' when 1 then 'malformed_line' end as reject_code
+from numbered""")
+def _a2(spark, d):
+    """Messages as evaluation lines; a fifth is blank, another fifth is cut short."""
+    kind = (F.col("conv_id") + F.col("turn")) % 5
+    sample = F.to_json(F.struct(
+        F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"),
+        F.lit(True).alias("requires_rag"),
+        F.when(kind == 4, True).alias("requires_tool"),
+        F.when(kind == 3, F.array(F.lit("a"), F.lit("b"))).alias("expected_doc_ids_nice")))
+    lines = table(spark, d, "conversations").select(
+        F.when(kind == 0, F.repeat(F.lit(" "), (F.col("turn") % 3).cast("int")))
+        .when(kind == 1, F.concat(sample, F.lit("x{"))).otherwise(sample).alias("line"))
+    lines = lines.withColumn("line", F.when(
+        F.endswith("line", F.lit("x{")), F.concat(F.lit("{"), "line")).otherwise(F.col("line")))
+    samples, rejects = corpus.parse_eval_lines(lines)
+    return samples.select(
+        "query_id", F.sha2("query", 256).alias("query_sha256"), "requires_tool",
+        F.size("expected_doc_ids_nice").alias("nice"),
+        F.lit(None).cast("string").alias("reject_code")).unionByName(rejects.select(
+            F.lit(None).cast("string").alias("query_id"),
+            F.lit(None).cast("string").alias("query_sha256"),
+            F.lit(None).cast("boolean").alias("requires_tool"),
+            F.lit(None).cast("int").alias("nice"), "reject_code"))

@@ -14,7 +14,7 @@ SQL = all_sql()
 # Expressible only through Spark's own hash, a trained index, or many pages of SQL; these have
 # brute-force or equality tests elsewhere.
 WITHOUT_SQL = {"a9_segment_markdown", "a12_a13_a14_chunk_documents", "c6_topk_ivf",
-               "c7_ann_recall", "g22_table_fingerprint"}
+               "c7_ann_recall"}
 
 
 @pytest.fixture(scope="module")
