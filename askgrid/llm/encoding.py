@@ -10,6 +10,9 @@ gathered per text. The result equals encoding the whole text in one call.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import re
 from array import array
@@ -220,6 +223,29 @@ def encoder(file: str, counts_only: bool = False) -> Encoder:
     return _ENCODERS[key]
 
 
+def _trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A batch function for Arrow maps whose worker is idle without holding freed memory.
+
+    Workers outlive tasks and stages; what one stage has freed must not crowd out the next.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return wrapped
+
+
 def slices(texts: pa.Array, most: int = 4 << 20):
     """``(start, length)`` pieces of a text array holding about ``most`` bytes each, or one text."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.encoding import slices
+from askgrid.llm.encoding import slices, tidy
 
 DEPTH = 200
 #: Cells longer than this do not widen their column.
@@ -420,6 +420,7 @@ def html_to_text(html: str | None) -> str:
     return page.result()
 
 
+@tidy
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, size in slices(batch.column(1)):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.llm.components import components
-from askgrid.llm.encoding import slices
+from askgrid.llm.encoding import slices, tidy
 from askgrid.plans.shared import written
 
 WORDS = 5
@@ -138,6 +138,7 @@ def prob_minhash(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs:
 
 
 def _signatures(words: int, bands: int, rows: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, size in slices(batch.column(2)):
@@ -168,6 +169,7 @@ def _signatures(words: int, bands: int, rows: int):
 
 
 def _sets(words: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, size in slices(batch.column(1)):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgrid.llm.encoding import encoder, slices
+from askgrid.llm.encoding import encoder, slices, tidy
 from askgrid.plans.shared import written
 
 CAPACITY = 4096
@@ -118,6 +118,7 @@ def plan_sequences(histogram: dict[int, int], room: int) -> list[tuple[dict[int,
 # --- pieces -----------------------------------------------------------------------------------
 
 def _pieces(file: str, end_id: int, capacity: int, unit: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(file), TaskContext.get().partitionId()
         seen = np.zeros(capacity // unit + 1, np.int64)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askgrid.llm.encoding import slices
+from askgrid.llm.encoding import slices, tidy
 from askgrid.plans.shared import written
 
 #: The most labelled rows the model is fitted on.
@@ -118,6 +118,7 @@ def fit(x: np.ndarray, good: np.ndarray) -> Model:
 _EVIDENCE = "_quality_evidence"
 
 
+@tidy
 def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, size in slices(batch.column(0)):
@@ -150,6 +151,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def _score(model: Model, place: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, size in slices(batch.column(place)):

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgrid.llm.encoding import encoder, load_tokenizer, slices
+from askgrid.llm.encoding import encoder, load_tokenizer, slices, tidy
 from askgrid.plans.shared import written
 
 CHUNK = 32_768
@@ -36,6 +36,7 @@ _LOADED: dict = {}
 
 
 def _count_whole(file: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(file, counts_only=True)
         for batch in batches:
@@ -53,6 +54,7 @@ def _count_whole(file: str):
 def _cut(chunk: int, overlap: int):
     """One row per chunk of each text; the last may be short but is never inside the overlap."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
@@ -82,6 +84,7 @@ def piece_boundaries(encoding) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encode_chunks(file: str, chunk: int, overlap: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if file not in _LOADED:
             _LOADED[file] = load_tokenizer(file)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from askgrid.llm.encoding import encoder, slices
+from askgrid.llm.encoding import encoder, slices, tidy
 
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1_000
@@ -29,6 +29,7 @@ FILE_SCHEMA = "doc_id bigint, part bigint, local_start bigint, n_tokens bigint,
 def _encode(file: str, end_id: int):
     """Rows arrive in file order; counts the ids before each inside the file."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = encoder(file), 0
         part = TaskContext.get().partitionId()
@@ -104,6 +105,7 @@ def find_documents(spark: SparkSession, path: str, wanted: Column) -> DataFrame:
         "doc_id", "n_tokens", "ids")
 
 
+@tidy
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(4)

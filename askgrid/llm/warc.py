@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.llm.encoding import slices
+from askgrid.llm.encoding import slices, tidy
 from askgrid.plans.shared import written
 
 VERSION = b"WARC/1.1"
@@ -93,6 +93,7 @@ def _header_text(value: str | None) -> str | None:
 # --- writing ------------------------------------------------------------------------------------
 
 def _records(segment_bytes: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -214,6 +215,7 @@ def parse_records(archive: bytes) -> Iterator[dict]:
             at += 2
 
 
+@tidy
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
@@ -268,6 +270,7 @@ def reassemble(records: DataFrame) -> DataFrame:
 
 
 def _decode(keep_payload: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
