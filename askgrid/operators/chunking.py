@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from askgrid.functions.codecs import Codec, resolve_codec
 from askgrid.functions.lets import let
+from askgrid.operators.segment import FOLD_BATCH
 from askgrid.functions.text import strip
 
 TARGET_TOKENS = 400
 OVERLAP_TOKENS = 64
 SECTION_CHARS = 500
-_PACK = "struct<starts:array<int>,open:boolean,tokens:int,lone:boolean,path:array<string>>"
+_PACK = "struct<done:array<array<int>>,starts:array<int>,open:boolean,tokens:int,lone:boolean,path:array<string>>"
 
 
 def _check(target: int, overlap: int) -> None:
@@ -83,20 +84,26 @@ def pack_starts(blocks: Column, counts: Column, target: int, gap: int) -> Column
         fresh = ~acc["open"] | heading | (x["path"] != acc["path"])
         new = fresh | (~room & ~acc["lone"])
         fits = x["n"] <= target
+        full = F.size(acc["starts"]) >= FOLD_BATCH
         return F.struct(
-            F.when(new, F.concat(acc["starts"], F.array(item["i"].cast("int")))).otherwise(
+            # Starts are kept in batches, so that adding one never copies all before it.
+            F.when(new & full, F.concat(acc["done"], F.array(acc["starts"]))).otherwise(
+                acc["done"]).alias("done"),
+            F.when(new, F.concat(F.when(full, F.array().cast("array<int>")).otherwise(
+                acc["starts"]), F.array(item["i"].cast("int")))).otherwise(
                 acc["starts"]).alias("starts"),
             F.when(new, fits).otherwise(room).alias("open"),
             F.when(new, x["n"]).otherwise(acc["tokens"] + gap + x["n"]).alias("tokens"),
             (new & heading & fits).alias("lone"),
             x["path"].alias("path"),
-        ).cast(_PACK)
+        )
 
     start = F.struct(
-        F.array().alias("starts"), F.lit(False).alias("open"), F.lit(0).alias("tokens"),
+        F.array().alias("done"), F.array().alias("starts"), F.lit(False).alias("open"), F.lit(0).alias("tokens"),
         F.lit(False).alias("lone"), F.array().alias("path"),
     ).cast(_PACK)
-    return F.aggregate(placed, start, step, lambda acc: acc["starts"])
+    return F.aggregate(placed, start, step, lambda acc: F.flatten(
+        F.concat(acc["done"], F.array(acc["starts"]))))
 
 
 def groups_of(blocks: Column, starts: Column) -> Column:

@@ -83,23 +83,33 @@ def paragraph_blocks(text: Column) -> Column:
 
 # --- Markdown -------------------------------------------------------------------------------
 
-_FENCE = r"^ {0,3}(`{3,}|~{3,})(.*)$"
-_ATX = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$"
-_ATX_LINE = r"^ {0,3}#{1,6}(?:[ \t]|$)"
-_RULE = r"^ {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$"
-_UNDERLINE = r"^ {0,3}(?:=+|-+)[ \t]*$"
+# Patterns on a line without its leading white space; how far it is indented is a number.
+_ATX = r"^(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$"
+_ATX_LINE = r"^#{1,6}(?:[ \t]|$)"
+_FENCE = r"^(`{3,}|~{3,})(.*)$"
+_RULE = r"^([-*_])[ \t]*(?:\1[ \t]*){2,}$"
+_UNDERLINE = r"^(?:=+|-+)[ \t]*$"
+_ITEM = r"^(?:[-*+]|\d{1,9}[.)])[ \t]+(?=\S)"
+_QUOTE = r"^(?: {0,3}> ?)+"
 # Cheap first test: only such lines can be anything but text.
-_SPECIAL = r"^\s*[#=*_+0-9-]"
-_ITEM = r"^\s*(?:[-*+]|\d{1,9}[.)])[ \t]+(?=\S)"
-_STATE = "struct<open:int,mark:string,info:string,found:array<struct<s:int,e:int,info:string,closed:boolean>>>"
-_STACK = ("struct<stack:array<struct<level:int,text:string>>,"
-          "found:array<struct<pos:int,path:array<string>>>>")
+_SPECIAL = r"^[#=*_+0-9`~-]"
+_LINE = "struct<i:int,kind:string,new:boolean,text:string,info:string,listed:boolean>"
+_SEEN = (f"struct<mark:string,fence_indent:int,fence_quoted:boolean,list_indent:int,prev:string,"
+         f"last:string,quoted:boolean,line:{_LINE}>")
+_FOLD = (f"struct<seen:{_SEEN},done:array<array<array<{_LINE}>>>,"
+         f"recent:array<array<{_LINE}>>,block:array<array<{_LINE}>>,tail:array<{_LINE}>>")
+#: Folded lines are kept in batches, so that adding one never copies all before it.
+FOLD_BATCH = 128
+
+# The entities that are written out.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
+             ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&amp;", "&"))
 
 
 def inline_text(text: Column) -> Column:
-    """Text without emphasis marks, code ticks, links and backslash escapes."""
+    """Text without emphasis marks, code ticks, links, autolinks, entities and escapes."""
     return let(text, lambda raw: strip(
-        F.when(raw.rlike(r"[*_`\[\\]"), _without_marks(raw)).otherwise(raw)))
+        F.when(raw.rlike(r"[*_`\[\\<&]"), _without_marks(raw)).otherwise(raw)))
 
 
 def _without_marks(text: Column) -> Column:
@@ -107,190 +117,251 @@ def _without_marks(text: Column) -> Column:
         (r"`+([^`]+)`+", "$1"),
         (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
         (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+        (r"<((?:https?|ftp|mailto):[^\s<>]*)>", "$1"),
         (r"(\*\*|(?<!\w)__)(?=\S)(.+?)(?<=\S)\1", "$2"),
         (r"(?<![\w*])\*(?=\S)([^*\n]+?)(?<=\S)\*(?![\w*])", "$1"),
         (r"(?<![\w_])_(?=\S)([^_\n]+?)(?<=\S)_(?![\w_])", "$1"),
         (r"\\([!-/:-@\[-`{-~])", "$1"),
     ):
         text = F.regexp_replace(text, pattern, kept)
+    for name, letter in _ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(letter))
     return text
 
 
-def _fences(lines: Column) -> Column:
-    """Fenced code ranges as 0-based ``(s, e, info, closed)``; an open fence runs to the end.
+def _line_forms(lines: Column) -> Column:
+    """What each line could be by itself: its indentation, quote marks and form."""
 
-    Only the fence lines are folded, in order: a fence closes on a run of the same character at
-    least as long, with nothing after it.
-    """
-    marks = F.filter(indexed(lines), lambda line: line["v"].rlike(_FENCE))
-
-    def step(acc: Column, line: Column) -> Column:
-        run = F.regexp_extract(line["v"], _FENCE, 1)
-        rest = strip(F.regexp_extract(line["v"], _FENCE, 2))
-        opened = acc["open"] >= 0
-        # An info text with a backtick cannot follow a backtick fence.
-        opens = ~opened & ~(run.startswith("`") & rest.contains("`"))
-        closes = (
-            opened & (F.substring(run, 1, 1) == F.substring(acc["mark"], 1, 1))
-            & (F.length(run) >= F.length(acc["mark"])) & (rest == "")
+    def form(core: Column) -> Column:
+        return (
+            F.when(is_blank(core), "blank")
+            .when(~core.rlike(_SPECIAL), "text")
+            .when(core.rlike(_ATX_LINE), "heading")
+            .when(core.rlike(_FENCE), "fence")
+            .when(core.rlike(_UNDERLINE), "underline")
+            .when(core.rlike(_RULE), "rule")
+            .when(core.rlike(_ITEM), "item")
+            .otherwise("text")
         )
-        done = F.array(F.struct(acc["open"].alias("s"), line["i"].cast("int").alias("e"),
-                                acc["info"].alias("info"), F.lit(True).alias("closed")))
-        return F.struct(
-            F.when(opens, line["i"].cast("int")).when(closes, -1).otherwise(acc["open"]).alias(
-                "open"),
-            F.when(opens, run).otherwise(acc["mark"]).alias("mark"),
-            F.when(opens, rest).otherwise(acc["info"]).alias("info"),
-            F.when(closes, F.concat(acc["found"], done)).otherwise(acc["found"]).alias("found"),
-        ).cast(_STATE)
 
-    def finish(acc: Column) -> Column:
-        tail = F.array(F.struct(acc["open"].alias("s"), (F.size(lines) - 1).alias("e"),
-                                acc["info"].alias("info"), F.lit(False).alias("closed")))
-        return F.when(acc["open"] >= 0, F.concat(acc["found"], tail)).otherwise(acc["found"])
+    def facts(v: Column, i: Column, body: Column, quoted: Column) -> Column:
+        return let(F.regexp_extract(body, r"^[ \t]*", 0), lambda lead: let(
+            F.substring(body, F.length(lead) + 1, F.length(body)), lambda core: F.struct(
+                i.cast("int").alias("i"), v.alias("v"), body.alias("body"), core.alias("core"),
+                F.length(F.replace(lead, F.lit("\t"), F.lit("    "))).alias("indent"),
+                quoted.alias("quoted"), form(core).alias("form"))))
 
-    start = F.struct(F.lit(-1).alias("open"), F.lit("").alias("mark"), F.lit("").alias("info"),
-                     F.array().alias("found")).cast(_STATE)
-    return F.aggregate(marks, start, step, finish)
+    def of(v: Column, i: Column) -> Column:
+        quoted = F.ltrim(v).startswith(">") & v.rlike(r"^ {0,3}>")
+        return F.when(quoted, facts(v, i, F.regexp_replace(v, _QUOTE, ""), F.lit(True))).otherwise(
+            facts(v, i, v, F.lit(False)))
 
+    return F.transform(lines, of)
 
-def _line_kinds(lines: Column, fences: Column) -> Column:
-    """``array<struct<i, v, kind>>``; kind 'setext' underlines a paragraph above it."""
 
-    def kind(i: Column, v: Column) -> Column:
-        fenced = (F.size(fences) > 0) & F.exists(fences, lambda f: (i >= f["s"]) & (i <= f["e"]))
-        return (
-            F.when(fenced, "fence")
-            .when(is_blank(v), "blank")
-            .when(~v.rlike(_SPECIAL), "text")
-            .when(v.rlike(_ATX_LINE), "heading")
-            .when(v.rlike(_UNDERLINE), "underline")
-            .when(v.rlike(_RULE), "rule")
-            .when(v.rlike(_ITEM), "item")
-            .otherwise("text")
-        )
+def _gathered(acc: Column) -> tuple[Column, Column, Column, Column]:
+    """``done, recent, block, tail`` with the line last seen.
 
-    first = F.transform(
-        lines, lambda v, i: F.struct(i.alias("i"), v.alias("v"), kind(i, v).alias("kind"))
+    A line goes to the tail of its block; a full tail joins the block, and a finished block the
+    recent ones, so adding a line never copies all before it.
+    """
+    line = acc["seen"]["line"]
+    some, fresh = line.isNotNull(), F.coalesce(line["new"], F.lit(False))
+    one, closed = F.array(line), F.array(F.flatten(F.concat(acc["block"], F.array(acc["tail"]))))
+    long, full = F.size(acc["tail"]) >= FOLD_BATCH, F.size(acc["recent"]) >= FOLD_BATCH
+    return (
+        F.when(fresh & full, F.concat(acc["done"], F.array(acc["recent"]))).otherwise(acc["done"]),
+        F.when(fresh & full, closed).when(fresh, F.concat(acc["recent"], closed)).otherwise(
+            acc["recent"]),
+        F.when(fresh, F.array().cast(f"array<array<{_LINE}>>"))
+        .when(some & long, F.concat(acc["block"], F.array(acc["tail"]))).otherwise(acc["block"]),
+        F.when(some & (fresh | long), one).when(some, F.concat(acc["tail"], one)).otherwise(
+            acc["tail"]),
     )
 
-    def settle(raw: Column) -> Column:
-        def final(line: Column) -> Column:
-            above = F.get(raw, line["i"] - 1)["kind"]
-            dashes = line["v"].rlike(_RULE)
-            return (
-                F.when(line["kind"] != "underline", line["kind"])
-                .when((line["i"] > 0) & (above == "text"), "setext")
-                .when(dashes, "rule")
-                .otherwise("text")
-            )
-
-        return F.transform(
-            raw, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v"), final(x).alias("kind"))
-        )
-
-    return let(first, settle)
 
+def _fold_line(acc: Column, x: Column) -> Column:
+    """The line before goes to its block, and this one is seen.
 
-def _markdown_raw(lines: Column, fences: Column, kinds: Column) -> Column:
-    """Blocks without section paths, in line order, empty ones dropped."""
+    What is bound by ``let`` is copied, so only the small state is; what is gathered stays outside.
+    """
+    done, recent, block, tail = _gathered(acc)
+    return F.struct(_see_line(acc["seen"], x).alias("seen"), done.alias("done"),
+                    recent.alias("recent"), block.alias("block"), tail.alias("tail"))
+
+
+def _see_line(acc: Column, x: Column) -> Column:
+    """One line in the state before it: open fence, open list item, kind of the line above."""
+    run = F.when(x["form"] == "fence", F.regexp_extract(x["core"], _FENCE, 1)).otherwise("")
+    rest = F.when(x["form"] == "fence", strip(F.regexp_extract(x["core"], _FENCE, 2))).otherwise("")
+    fenced = (acc["mark"] != "") & (~acc["fence_quoted"] | x["quoted"])
+    closes = (
+        fenced & (x["form"] == "fence") & (F.length(run) >= F.length(acc["mark"]))
+        & (F.substring(run, 1, 1) == F.substring(acc["mark"], 1, 1)) & (rest == ""))
+    blank, prev = x["form"] == "blank", acc["prev"]
+    open_text = prev.isin("text", "item")
+    listing = acc["list_indent"] >= 0
+    # A line left of an item's content ends the list, unless it continues a paragraph.
+    outside = listing & ~blank & (x["indent"] < acc["list_indent"]) & (x["form"] != "item")
+    leaves = outside & (~open_text | x["form"].isin("heading", "fence", "rule", "underline")
+                        | (x["quoted"] & ~acc["quoted"]))
+    base = F.when(listing & (x["indent"] >= acc["list_indent"]), acc["list_indent"]).otherwise(0)
+    near = (x["indent"] - base) <= 3
+    same = x["quoted"] == acc["quoted"]
+    # An ordered item interrupts a paragraph only if it is number one.
+    item = (x["form"] == "item") & (near | listing) & ~(
+        (prev == "text") & ~listing & x["core"].rlike(r"^\d") & ~x["core"].rlike(r"^1[.)]"))
+    opens = (x["form"] == "fence") & near & ~(run.startswith("`") & rest.contains("`"))
+    kind = (
+        F.when(closes, "close").when(fenced, "fence").when(blank, "blank")
+        .when(~near & ~open_text & ~(item & listing), "code")
+        .when((x["form"] == "heading") & near, "heading")
+        .when(opens, "open")
+        .when((x["form"] == "underline") & near & (prev == "text") & same & ~outside, "setext")
+        .when(x["form"].isin("rule", "underline") & near & x["core"].rlike(_RULE), "rule")
+        .when(item, "item")
+        .otherwise("text")
+    )
 
-    def starts_block(line: Column) -> Column:
-        above = F.when(line["i"] > 0, F.get(kinds, line["i"] - 1)["kind"]).otherwise("")
-        return (
-            line["kind"].isin("heading", "item")
-            | ((line["kind"] == "fence") & F.exists(fences, lambda f: f["s"] == line["i"]))
-            | ((line["kind"] == "text") & ~above.isin("text", "item"))
+    def built(k: Column) -> Column:
+        fresh = (
+            k.isin("heading", "open", "item")
+            | ((k == "code") & (acc["last"] != "code"))
+            | ((k == "text") & (~open_text | (x["quoted"] & ~acc["quoted"])))
         )
-
-    def ends_block(line: Column) -> Column:
-        below = F.coalesce(F.get(kinds, line["i"] + 1)["kind"], F.lit(""))
-        return (
-            line["kind"].isin("heading", "setext")
-            | ((line["kind"] == "fence") & F.exists(fences, lambda f: f["e"] == line["i"]))
-            | (line["kind"].isin("text", "item") & ~below.isin("text", "setext"))
+        raw = F.when(acc["fence_quoted"], x["body"]).otherwise(x["v"])
+        text = (
+            F.when(k == "fence", F.regexp_replace(raw, F.concat(
+                F.lit("^ {0,"), acc["fence_indent"].cast("string"), F.lit("}")), F.lit("")))
+            .when(k == "code", F.substring(x["body"], base + 5, F.length(x["body"])))
+            .when(k == "item", F.regexp_replace(x["core"], _ITEM, ""))
+            .when(k.isin("blank", "rule", "close", "open"), "")
+            .otherwise(strip(x["core"]))
         )
+        width = F.length(F.regexp_extract(x["core"], _ITEM, 0))
+        line = F.struct(
+            x["i"].alias("i"), k.alias("kind"), fresh.alias("new"), text.alias("text"),
+            F.when(k == "open", rest).otherwise(F.when(k == "setext", x["core"])).alias("info"),
+            ((k == "item") | (listing & ~leaves & (k == "text"))).alias("listed")).cast(_LINE)
+        return F.struct(
+            F.when(k == "open", run).when(k == "fence", acc["mark"]).otherwise("").alias("mark"),
+            F.when(k == "open", x["indent"]).otherwise(acc["fence_indent"]).alias("fence_indent"),
+            F.when(k == "open", x["quoted"]).otherwise(acc["fence_quoted"]).alias("fence_quoted"),
+            F.when(k == "item", x["indent"] + width)
+            .when(leaves & ~k.isin("fence", "close"), -1).otherwise(acc["list_indent"])
+            .alias("list_indent"),
+            k.alias("prev"),
+            F.when(k == "blank", acc["last"]).otherwise(k).alias("last"),
+            x["quoted"].alias("quoted"),
+            line.alias("line"),
+        ).cast(_SEEN)
+
+    return let(kind, built)
+
+
+def _line_groups(lines: Column) -> Column:
+    """``array<array<_LINE>>``: the lines of each block; what stands before the first is one too."""
+    seen = F.struct(
+        F.lit("").alias("mark"), F.lit(0).alias("fence_indent"), F.lit(False).alias("fence_quoted"),
+        F.lit(-1).alias("list_indent"), F.lit("blank").alias("prev"), F.lit("blank").alias("last"),
+        F.lit(False).alias("quoted"), F.lit(None).alias("line"))
+    start = F.struct(
+        seen.alias("seen"), F.array().alias("done"), F.array().alias("recent"),
+        F.array().alias("block"), F.array().alias("tail")).cast(_FOLD)
 
-    def make(s: Column, e: Column) -> Column:
-        fence = F.element_at(F.filter(fences, lambda f: f["s"] == s["i"]), 1)
-        under = (e["kind"] == "setext") & (s["kind"] == "text")
-        body_lines = F.slice(lines, s["i"] + 1, e["i"] - s["i"] + F.when(under, 0).otherwise(1))
-        code = F.array_join(
-            F.slice(lines, s["i"] + 2,
-                    F.greatest(e["i"] - s["i"] - F.when(fence["closed"], 1).otherwise(0),
-                               F.lit(0))),
-            "\n",
-        )
-        prose = F.array_join(F.transform(body_lines, strip), "\n")
+    def finish(acc: Column) -> Column:
+        done, recent, block, tail = _gathered(acc)
+        return F.concat(F.flatten(done), recent,
+                        F.array(F.flatten(F.concat(block, F.array(tail)))))
+
+    return F.aggregate(_line_forms(lines), start, _fold_line, finish)
+
+
+def _markdown_raw(groups: Column) -> Column:
+    """Blocks without section paths, in line order, empty ones dropped."""
+
+    def make(first: Column, part: Column) -> Column:
+        under = F.get(F.filter(part, lambda x: x["kind"] == "setext"), 0)["info"]
+        last = F.element_at(
+            F.filter(part, lambda x: ~x["kind"].isin("blank", "rule")), -1)["i"]
+        fence, code = first["kind"] == "open", first["kind"] == "code"
+        wanted = F.filter(part, lambda x: F.when(fence, x["kind"] == "fence").when(
+            code, x["i"] <= last).otherwise(x["kind"].isin("text", "item", "heading")))
+        joined = F.array_join(F.transform(wanted, lambda x: x["text"]), "\n")
+        heading = first["kind"] == "heading"
         text = (
-            F.when(s["kind"] == "fence", strip(code))
-            .when(s["kind"] == "heading", inline_text(F.regexp_extract(s["v"], _ATX, 2)))
-            .when(s["kind"] == "item", inline_text(F.regexp_replace(prose, _ITEM, "")))
-            .otherwise(inline_text(prose))
+            F.when(fence | code, strip(joined))
+            .when(heading, inline_text(F.regexp_extract(first["text"], _ATX, 2)))
+            .otherwise(inline_text(joined))
         )
         kind = (
-            F.when(s["kind"] == "fence", "code_block")
-            .when((s["kind"] == "heading") | under, "heading")
-            .when(s["kind"] == "item", "list_item")
+            F.when(fence | code, "code_block")
+            .when(heading | under.isNotNull(), "heading")
+            .when(first["listed"], "list_item")
             .otherwise("paragraph")
         )
-        level = F.when(s["kind"] == "heading", F.length(F.regexp_extract(s["v"], _ATX, 1))).when(
-            under, F.when(F.trim(e["v"]).startswith("="), 1).otherwise(2)
-        )
-        language = F.when(s["kind"] == "fence",
-                          F.nullif(F.regexp_extract(fence["info"], r"^\S+", 0), F.lit("")))
-        return F.struct(*_block(kind, text, s["i"] + 1, e["i"] + 1, level=level,
+        level = F.when(heading, F.length(F.regexp_extract(first["text"], _ATX, 1))).when(
+            under.isNotNull(), F.when(under.startswith("="), 1).otherwise(2))
+        language = F.when(fence, F.nullif(F.regexp_extract(first["info"], r"^\S+", 0), F.lit("")))
+        return F.struct(*_block(kind, text, first["i"] + 1, last + 1, level=level,
                                 language=language))
 
-    pairs = F.zip_with(F.filter(kinds, starts_block), F.filter(kinds, ends_block), make)
-    return F.filter(pairs, lambda b: F.length(b["text"]) > 0)
+    real = F.filter(groups, lambda part: F.coalesce(F.get(part, F.lit(0))["new"], F.lit(False)))
+    return F.filter(
+        F.transform(real, lambda part: let(F.get(part, F.lit(0)), lambda first: make(first, part))),
+        lambda b: F.length(b["text"]) > 0)
+
+
+_HEADS = "struct<stack:array<struct<level:int,text:string>>,path:array<string>,any:boolean>"
+_STACK = f"struct<heads:{_HEADS},done:array<array<array<string>>>,recent:array<array<string>>>"
 
 
 def _with_paths(blocks: Column) -> Column:
     """Give every block the texts of the open headings above it, itself included."""
-    heads = F.filter(indexed(blocks), lambda x: x["v"]["kind"] == "heading")
-
-    def push(acc: Column, head: Column) -> Column:
-        level = head["v"]["heading_level"]
-        kept = F.filter(acc["stack"], lambda x: x["level"] < level)
-        grown = F.concat(kept, F.array(F.struct(level.alias("level"),
-                                                head["v"]["text"].alias("text"))))
-        return let(grown, lambda stack: F.struct(
-            stack.alias("stack"),
-            F.concat(acc["found"], F.array(F.struct(
-                head["i"].cast("int").alias("pos"),
-                F.transform(stack, lambda x: x["text"]).alias("path")))).alias("found"),
-        )).cast(_STACK)
-
-    empty = F.struct(F.array().alias("stack"), F.array().alias("found")).cast(_STACK)
-    sections = F.concat(
-        F.array(F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("path"))),
-        F.aggregate(heads, empty, push, lambda acc: acc["found"]),
-    )
 
-    def spread(found: Column) -> Column:
-        def section(part: Column, i: Column) -> Column:
-            last = F.coalesce(F.get(found, i + 1)["pos"], F.size(blocks))
-            return F.transform(
-                F.slice(blocks, part["pos"] + 1, last - part["pos"]),
-                lambda b: F.struct(*_block(b["kind"], b["text"], b["start_line"], b["end_line"],
-                                           part["path"], b["heading_level"],
-                                           b["code_language"])),
-            )
+    def gathered(acc: Column) -> tuple[Column, Column]:
+        heads, full = acc["heads"], F.size(acc["recent"]) >= FOLD_BATCH
+        one = F.array(heads["path"])
+        return (
+            F.when(heads["any"] & full, F.concat(acc["done"], F.array(acc["recent"]))).otherwise(
+                acc["done"]),
+            F.when(~heads["any"], acc["recent"]).when(full, one).otherwise(
+                F.concat(acc["recent"], one)),
+        )
 
-        return F.flatten(F.transform(found, section))
+    def push(acc: Column, block: Column) -> Column:
+        level, heading, heads = block["heading_level"], block["kind"] == "heading", acc["heads"]
+        grown = F.concat(F.filter(heads["stack"], lambda x: x["level"] < level), F.array(
+            F.struct(level.alias("level"), block["text"].alias("text"))))
+        after = let(F.when(heading, grown).otherwise(heads["stack"]), lambda stack: F.struct(
+            stack.alias("stack"),
+            F.when(heading, F.transform(stack, lambda x: x["text"])).otherwise(heads["path"])
+            .alias("path"), F.lit(True).alias("any")).cast(_HEADS))
+        done, recent = gathered(acc)
+        return F.struct(after.alias("heads"), done.alias("done"), recent.alias("recent"))
 
-    return let(sections, spread)
+    def finish(acc: Column) -> Column:
+        done, recent = gathered(acc)
+        return F.concat(F.flatten(done), recent)
+
+    empty = F.struct(
+        F.struct(F.array().alias("stack"), F.array().alias("path"), F.lit(False).alias("any"))
+        .alias("heads"), F.array().alias("done"), F.array().alias("recent")).cast(_STACK)
+    paths = F.aggregate(blocks, empty, push, finish)
+    return F.zip_with(blocks, paths, lambda b, path: F.struct(*_block(
+        b["kind"], b["text"], b["start_line"], b["end_line"], path, b["heading_level"],
+        b["code_language"])))
 
 
 def markdown_blocks(text: Column) -> Column:
-    """Headings (# and underlined), paragraphs, list items and fenced code with section paths."""
-    return _numbered(
-        let(F.split(text, "\n"), lambda lines:
-            let(_fences(lines), lambda fences:
-                let(_line_kinds(lines, fences), lambda kinds:
-                    let(_markdown_raw(lines, fences, kinds), _with_paths))))
-    )
+    """Headings (# and underlined), paragraphs, list items and code with section paths.
+
+    Block quotes are read through: their inner blocks count as if they stood alone. Paragraphs
+    inside a list item are list items; code is fenced or indented. Work grows with the number of
+    lines: one fold classifies them, with what came before it in batches.
+    """
+    return _numbered(let(F.split(text, "\n"), lambda lines: let(_line_groups(lines), lambda groups:
+                     let(_markdown_raw(groups), _with_paths))))
 
 
 # --- CSV ------------------------------------------------------------------------------------
@@ -329,12 +400,20 @@ def csv_headers(values: Column) -> Column:
         .otherwise(v),
     )
 
-    def name(all_: Column, base: Column, i: Column) -> Column:
-        seen = F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda b: b == base))
-        return F.when(seen > 1, F.concat(base, F.lit(" ("), seen.cast("string"), F.lit(")"))
-                      ).otherwise(base)
+    def numbered(sorted_: Column) -> Column:
+        # Equal names stand together; the place within them is how often one was seen.
+        firsts = F.filter(indexed(sorted_), lambda x: (x["i"] == 0) | (
+            F.get(sorted_, x["i"] - 1)["base"] != x["v"]["base"]))
+        return F.flatten(let(firsts, lambda runs: F.transform(runs, lambda run, k: F.transform(
+            F.slice(sorted_, run["i"] + 1,
+                    F.coalesce(F.get(runs, k + 1)["i"], F.size(sorted_)) - run["i"]),
+            lambda x, n: F.struct(x["i"].alias("i"), F.when(n > 0, F.concat(
+                x["base"], F.lit(" ("), (n + 1).cast("string"), F.lit(")"))
+            ).otherwise(x["base"]).alias("name"))))))
 
-    return let(bases, lambda all_: F.transform(all_, lambda base, i: name(all_, base, i)))
+    placed = F.array_sort(F.transform(
+        bases, lambda base, i: F.struct(base.alias("base"), i.alias("i"))))
+    return F.transform(F.array_sort(let(placed, numbered)), lambda x: x["name"])
 
 
 def csv_parse(text: Column, max_rows: int = MAX_CSV_ROWS, max_columns: int = MAX_CSV_COLUMNS,
@@ -355,12 +434,23 @@ def csv_parse(text: Column, max_rows: int = MAX_CSV_ROWS, max_columns: int = MAX
             parts, lambda r: F.length(F.regexp_replace(r, r"[^\n]", ""))
             + F.when(r.endswith("\n"), 0).otherwise(1)
         )
+        ends = "struct<n:int,done:array<array<int>>,recent:array<int>>"
+
+        def add(acc: Column, b: Column) -> Column:
+            full, end = F.size(acc["recent"]) >= FOLD_BATCH, acc["n"] + b
+            return F.struct(
+                end.alias("n"),
+                F.when(full, F.concat(acc["done"], F.array(acc["recent"]))).otherwise(
+                    acc["done"]).alias("done"),
+                F.when(full, F.array(end)).otherwise(F.concat(acc["recent"], F.array(end)))
+                .alias("recent"))
+
         folded = F.aggregate(
             breaks,
-            F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends")),
-            lambda acc, b: F.struct((acc["n"] + b).alias("n"),
-                                    F.concat(acc["ends"], F.array(acc["n"] + b)).alias("ends")),
-            lambda acc: acc["ends"],
+            F.struct(F.lit(0).alias("n"), F.array().alias("done"), F.array().alias("recent"))
+            .cast(ends),
+            add,
+            lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["recent"]))),
         )
         plain = F.sequence(F.lit(1), F.size(parts))
         return F.when(F.contains(text, F.lit('"')), folded).otherwise(plain)
@@ -380,7 +470,10 @@ def csv_parse(text: Column, max_rows: int = MAX_CSV_ROWS, max_columns: int = MAX
         return let(rows, from_rows)
 
     def from_rows(rows: Column) -> Column:
-        return let(csv_headers(F.get(rows, F.lit(0))["values"]), lambda heads: finish(rows, heads))
+        # Too many columns are refused before their names are made.
+        names = F.get(rows, F.lit(0))["values"]
+        heads = F.when(F.size(names) > max_columns, names).otherwise(csv_headers(names))
+        return let(heads, lambda h: finish(rows, h))
 
     def finish(rows: Column, heads: Column) -> Column:
         data = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
@@ -395,7 +488,8 @@ def csv_parse(text: Column, max_rows: int = MAX_CSV_ROWS, max_columns: int = MAX
         )
         code = (
             F.when(width > max_columns, "resource_limit_exceeded")
-            .when(F.exists(data, lambda row: F.size(row["values"]) != width),
+            # The first offending record decides: one of another width, or one row too many.
+            .when(F.exists(F.slice(data, 1, max_rows), lambda row: F.size(row["values"]) != width),
                   "malformed_document")
             .when(F.size(data) > max_rows, "resource_limit_exceeded")
         )

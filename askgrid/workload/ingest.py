@@ -147,14 +147,44 @@ def _a8(spark, d):
 
 
 def markdown(spark, d):
-    """Documents as Markdown: two headings, a list, a fence, then the whole text."""
+    """Documents as Markdown: headings, a list with a second paragraph, a fence, a quote, indented
+    code, then all lines of the text without the characters that have a meaning."""
+    plain = F.array_join(F.transform(F.split("text", "\n"), lambda line: F.concat(
+        F.lit("L "), F.regexp_replace(line, r"[^\p{L}\p{N} .,]", ""))), "\n")
     text = F.concat(
-        F.lit("# "), "source", F.lit("\n\n- *first* "), "lang", F.lit("\n- second\n\n## Text **of** "),
-        "lang", F.lit("\n\n```sql\nselect 1;\n\n# no heading\n```\n\n"), "text")
-    return spaced(spark, d).select("doc_id", text.alias("text"))
-
-
-@R.add("a9_segment_markdown")
+        F.lit("# "), "source", F.lit("\n\n- *first* "), "lang",
+        F.lit("\n- second\n\n  more &amp; more\n\n## Text **of** "), "lang",
+        F.lit("\n\n```sql\nselect 1;\n\n# no heading\n```\n\n> quoted <https://x.y/"), "lang",
+        F.lit(">\n> line\n\n    indented\n\n"), plain)
+    return data.documents(spark, d).select("doc_id", text.alias("text"))
+
+
+MARKDOWN_SQL = r"""
+with d as (
+  select doc_id, source, lang, list_transform(string_split(text, chr(10)), lambda l:
+    trim('L ' || regexp_replace(l, '[^\p{L}\p{N} .,]', '', 'g'))) as lines from documents),
+blocks as (
+  select doc_id, unnest([
+    {'o': 0, 'k': 'heading', 's': 1, 'e': 1, 'h': 1, 'c': null, 't': source},
+    {'o': 1, 'k': 'list_item', 's': 3, 'e': 3, 'h': null, 'c': null, 't': 'first ' || lang},
+    {'o': 2, 'k': 'list_item', 's': 4, 'e': 4, 'h': null, 'c': null, 't': 'second'},
+    {'o': 3, 'k': 'list_item', 's': 6, 'e': 6, 'h': null, 'c': null, 't': 'more & more'},
+    {'o': 4, 'k': 'heading', 's': 8, 'e': 8, 'h': 2, 'c': null, 't': 'Text of ' || lang},
+    {'o': 5, 'k': 'code_block', 's': 10, 'e': 14, 'h': null, 'c': 'sql',
+      't': 'select 1;' || chr(10) || chr(10) || '# no heading'},
+    {'o': 6, 'k': 'paragraph', 's': 16, 'e': 17, 'h': null, 'c': null,
+      't': 'quoted https://x.y/' || lang || chr(10) || 'line'},
+    {'o': 7, 'k': 'code_block', 's': 19, 'e': 19, 'h': null, 'c': null, 't': 'indented'},
+    {'o': 8, 'k': 'paragraph', 's': 21, 'e': 20 + len(lines), 'h': null, 'c': null,
+      't': array_to_string(lines, chr(10))}]) as b,
+    source, lang from d)
+select doc_id, b.o as ordinal, b.k as kind, b.s as start_line, b.e as end_line,
+  b.h as heading_level, b.c as code_language, sha256(b.t) as text_sha256,
+  case when b.o < 4 then source else source || ' > Text of ' || lang end as section
+from blocks"""
+
+
+@R.add("a9_segment_markdown", MARKDOWN_SQL)
 def _a9(spark, d):
     return segment.segment_markdown(markdown(spark, d)).select(
         "doc_id", "ordinal", "kind", "start_line", "end_line", "heading_level", "code_language",

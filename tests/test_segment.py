@@ -130,3 +130,40 @@ def test_with_blocks_by_format(spark):
     out = segment.with_blocks(df).selectExpr("doc_id", "coalesce(size(blocks), -1)", "parse_code")
     assert rows(out) == [(1, 2, None), (2, 1, None), (3, 1, None), (4, -1, "unsupported_type"),
                          (5, 0, "empty_content")]
+
+
+def short(spark, text):
+    return [b[:4] for b in blocks(spark, text)]
+
+
+def test_markdown_containers_and_code(spark):
+    assert short(spark, "> quoted\n> more\n\nplain\n> again") == [
+        ("paragraph", "quoted\nmore", 1, 2), ("paragraph", "plain", 4, 4),
+        ("paragraph", "again", 5, 5)]
+    assert short(spark, "- one\n\n  second para\n\n  - nested\n    tail\n\nout") == [
+        ("list_item", "one", 1, 1), ("list_item", "second para", 3, 3),
+        ("list_item", "nested\ntail", 5, 6), ("paragraph", "out", 8, 8)]
+    assert short(spark, "    code a\n\n    code b\nnot\n    lazy") == [
+        ("code_block", "code a\n\ncode b", 1, 3), ("paragraph", "not\nlazy", 4, 5)]
+    assert short(spark, "> ```py\n> x\n> ```\nafter") == [
+        ("code_block", "x", 1, 3), ("paragraph", "after", 4, 4)]
+    assert short(spark, "para\n2. not item\n\n2) item") == [
+        ("paragraph", "para\n2. not item", 1, 2), ("list_item", "item", 4, 4)]
+    assert short(spark, "a &amp;&lt; <https://a.b/c>") == [("paragraph", "a &< https://a.b/c", 1, 1)]
+
+
+def test_long_blocks_and_many_blocks_keep_their_lines(spark):
+    many = blocks(spark, "\n".join(f"# h{i}" for i in range(400)))
+    assert [b[1] for b in many] == [f"h{i}" for i in range(400)]
+    assert all(b[4] == (b[1],) for b in many)
+    lines = [f"word {i}" for i in range(700)]
+    assert short(spark, "\n".join(lines)) == [("paragraph", "\n".join(lines), 1, 700)]
+
+
+def test_csv_first_offender_decides_and_repeated_names(spark):
+    assert csv_case(spark, "a,b\n1,2\n3,4\n5", max_rows=1)[1] == ["resource_limit_exceeded"]
+    assert csv_case(spark, "a,b\n1\n3,4\n5,6", max_rows=1)[1] == ["malformed_document"]
+    wide = ",".join(["a"] * 3000)
+    assert csv_case(spark, wide + "\n" + wide)[1] == ["resource_limit_exceeded"]
+    good, _ = segment.segment_csv(docs(spark, "x,,x,x\n1,2,3,4"))
+    assert good.first()["text"] == "x: 1\n列 2: 2\nx (2): 3\nx (3): 4"
