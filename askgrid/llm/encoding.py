@@ -38,7 +38,7 @@ _PLAIN = re.compile(rb"[ \n]?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _PROBES = ("word", " word", "Word", " Fröhlich", "été", " ça", "straße", "a", " I")
 
 CACHED_BYTES = 48
-CACHED_UNITS = 200_000
+CACHED_UNITS = 100_000
 
 
 def load_tokenizer(file: str):
@@ -246,7 +246,7 @@ def tidy(run):
     return wrapped
 
 
-def slices(texts: pa.Array, most: int = 4 << 20):
+def slices(texts: pa.Array, most: int = 2 << 20):
     """``(start, length)`` pieces of a text array holding about ``most`` bytes each, or one text."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     total, start = np.cumsum(sizes), 0

@@ -33,6 +33,8 @@ SIMILARITY = 0.8
 BANDS = 26
 ROWS = 5
 CELL_MEMBERS = 1_000
+#: Text per signature batch: its rounds cost the same for a small one.
+SLICE_BYTES = 4 << 20
 _COLUMNS = 4_096
 _MASK = (1 << 44) - 1
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -141,7 +143,7 @@ def _signatures(words: int, bands: int, rows: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, size in slices(batch.column(2)):
+            for first, size in slices(batch.column(2), SLICE_BYTES):
                 hashes, doc = shingles(batch.column(2).slice(first, size), words)
                 packed = (doc.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20))
                 packed.sort()
