@@ -57,6 +57,56 @@ def build_ivf(chunks: DataFrame, n_lists: int, seed: int = 7, max_iter: int = 10
     )
 
 
+def _nearest(centroids: np.ndarray, lists: int):
+    """A function of vector columns: the ids of the ``lists`` nearest centroids, nearest first.
+
+    Similarities are compared at 12 decimals, ties go to the smaller id. A vector that cannot be
+    compared gets the first lists, where the search leaves it out.
+    """
+    unit = centroids / np.linalg.norm(centroids, axis=1, keepdims=True)
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def nearest(vectors: pd.Series) -> pd.Series:
+        matrix = np.zeros((len(vectors), unit.shape[1]))
+        for row, vector in enumerate(vectors):
+            if vector is not None and len(vector) == unit.shape[1]:
+                matrix[row] = np.asarray(vector, np.float64)
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scores = np.nan_to_num(np.round(matrix / norms @ unit.T, 12), nan=-2.0)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :lists]
+        return pd.Series(order.astype(np.int32).tolist())
+
+    return nearest
+
+
+def assign_lists(chunks: DataFrame, centroids: np.ndarray) -> IvfIndex:
+    """An index over ``chunks`` with given centroids: also how new chunks join existing lists."""
+    if not 1 <= len(centroids) <= MAX_LISTS:
+        raise ValueError(f"the number of centroids must be between 1 and {MAX_LISTS}")
+    ids = _nearest(np.asarray(centroids, np.float64), 1)(as_double(F.col("embedding")))
+    return IvfIndex(chunks.withColumn("list_id", F.get(ids, F.lit(0))),
+                    np.asarray(centroids, np.float64))
+
+
+def write_ivf(index: IvfIndex, path: str, mode: str = "overwrite") -> None:
+    """Store the chunks in one folder per list and the centroids as a table beside them.
+
+    With ``mode="append"`` chunks assigned to the stored centroids are added.
+    """
+    spark = index.chunks.sparkSession
+    index.chunks.write.mode(mode).partitionBy("list_id").parquet(f"{path}/chunks")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
+    spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/centroids")
+
+
+def read_ivf(spark, path: str) -> IvfIndex:
+    """A stored index; only the centroids, at most ``MAX_LISTS``, come to the driver."""
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()
+    return IvfIndex(spark.read.parquet(f"{path}/chunks"), np.array([r["centroid"] for r in rows]))
+
+
 def probe_lists(queries: DataFrame, index: IvfIndex, nprobe: int) -> DataFrame:
     """One row per (query, probed list): the ``nprobe`` nearest centroids."""
     nprobe = min(nprobe, index.n_lists)
@@ -64,15 +114,7 @@ def probe_lists(queries: DataFrame, index: IvfIndex, nprobe: int) -> DataFrame:
         return queries.withColumn(
             "list_id", F.explode(F.sequence(F.lit(0), F.lit(index.n_lists - 1)))
         )
-    centroids = index.centroids / np.linalg.norm(index.centroids, axis=1, keepdims=True)
-    shared = queries.sparkSession.sparkContext.broadcast(centroids)
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def nearest(vectors: pd.Series) -> pd.Series:
-        scores = np.stack(vectors.to_numpy()) @ shared.value.T
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :nprobe]
-        return pd.Series(order.astype(np.int32).tolist())
-
+    nearest = _nearest(index.centroids, nprobe)
     return queries.withColumn("list_id", F.explode(nearest(as_double(F.col("query_vector")))))
 
 
@@ -129,5 +171,5 @@ def ranks_contiguous(candidates: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-__all__ = ["IvfIndex", "ann_recall", "build_ivf", "probe_lists", "ranks_contiguous",
-           "topk_ivf"]
+__all__ = ["IvfIndex", "ann_recall", "assign_lists", "build_ivf", "probe_lists",
+           "ranks_contiguous", "read_ivf", "topk_ivf", "write_ivf"]

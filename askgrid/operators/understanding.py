@@ -195,13 +195,17 @@ def apply_intents(requests: DataFrame, calls: DataFrame, parsed: DataFrame, **kw
 
 
 def bind_scope(decisions: DataFrame, routes: DataFrame) -> DataFrame:
-    """Attach ``slugs`` configured for the chosen route; ``routes`` has at most three rows.
+    """Attach ``slugs`` configured for the chosen route.
+
+    Of several rows for a route the smallest list counts, so at most one row per known route is
+    sent to the tasks and no decision is multiplied.
 
     The slug lists are trimmed, lower-cased and deduplicated. A fallback decision carries no
     slugs, so it searches every compatible knowledge base.
     """
     slugs = F.array_distinct(F.transform("knowledge_base_slugs", lambda s: F.lower(strip(s))))
-    tree = routes.where(F.col("route").isin(*ROUTES)).select("route", slugs.alias("_slugs"))
+    tree = routes.where(F.col("route").isin(*ROUTES)).groupBy("route").agg(
+        F.min(slugs).alias("_slugs"))
     return (
         decisions.join(F.broadcast(tree), "route", "left")
         .withColumn(

@@ -13,8 +13,7 @@ from check import TABLES, rows_of
 SQL = all_sql()
 # Expressible only through Spark's own hash, a trained index, or many pages of SQL; these have
 # brute-force or equality tests elsewhere.
-WITHOUT_SQL = {"a12_a13_a14_chunk_documents", "c6_topk_ivf",
-               "c7_ann_recall"}
+WITHOUT_SQL = {"a12_a13_a14_chunk_documents"}
 
 
 @pytest.fixture(scope="module")
