@@ -20,7 +20,8 @@ from askgrid.functions.text import strip
 TARGET_TOKENS = 400
 OVERLAP_TOKENS = 64
 SECTION_CHARS = 500
-_PACK = "struct<done:array<array<int>>,starts:array<int>,open:boolean,tokens:int,lone:boolean,path:array<string>>"
+_PACK = ("struct<done:array<array<int>>,starts:array<int>,open:boolean,tokens:int,lone:boolean,"
+         "path:array<string>>")
 
 
 def _check(target: int, overlap: int) -> None:
@@ -99,7 +100,8 @@ def pack_starts(blocks: Column, counts: Column, target: int, gap: int) -> Column
         )
 
     start = F.struct(
-        F.array().alias("done"), F.array().alias("starts"), F.lit(False).alias("open"), F.lit(0).alias("tokens"),
+        F.array().alias("done"), F.array().alias("starts"), F.lit(False).alias("open"),
+        F.lit(0).alias("tokens"),
         F.lit(False).alias("lone"), F.array().alias("path"),
     ).cast(_PACK)
     return F.aggregate(placed, start, step, lambda acc: F.flatten(

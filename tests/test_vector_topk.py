@@ -92,3 +92,44 @@ def test_ivf_refills_starved_queries(spark, vectors):
     assert found(ivf.topk_ivf(strict, index, 60, nprobe=1)) == want
     short = ivf.topk_ivf(strict, index, 60, nprobe=1, refill=False)
     assert short.count() < len(want)
+
+
+def test_stored_index_takes_new_chunks_and_given_centroids(spark, vectors, tmp_path):
+    c, q, cm, qm = vectors
+    index = ivf.assign_lists(c.where("chunk_id < 200"), cm[::40])
+    ivf.write_ivf(index, str(tmp_path / "index"))
+    stored = ivf.read_ivf(spark, str(tmp_path / "index"))
+    assert np.allclose(stored.centroids, cm[::40])
+    more = ivf.assign_lists(c.where("chunk_id >= 200"), stored.centroids)
+    ivf.write_ivf(more, str(tmp_path / "index"), mode="append")
+    stored = ivf.read_ivf(spark, str(tmp_path / "index"))
+    assert stored.chunks.count() == 300
+    assert found(ivf.topk_ivf(q, stored, K, nprobe=8)) == brute(cm, qm, K)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_damaged_vectors_are_listed_and_not_ranked(spark, limit):
+    from askgrid.operators.vector_topk import vector_violations
+
+    chunks = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]),
+         (6, [None, 1.0]), (7, [0.5, 0.5])], "chunk_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.1]), (2, [2.0]), (3, None), (4, [0.0, 0.0])],
+                                    "query_id long, query_vector array<double>")
+    got = found(topk_cosine(queries, chunks, 5, broadcast_bytes=limit))
+    assert got == [(1, 1, 1), (1, 2, 7), (2, 1, 2)]
+    codes = {r["chunk_id"]: r["code"]
+             for r in vector_violations(chunks, "chunk_id", "embedding", 2).collect()}
+    assert codes == {2: "dimension_mismatch", 3: "vector_missing", 4: "zero_norm",
+                     5: "not_finite", 6: "not_finite"}
+
+
+def test_facts_are_the_same_by_broadcast_and_by_shuffle(spark, vectors):
+    from askgrid.operators.vector_topk import attach_facts
+
+    c, q, _, _ = vectors
+    top = topk_cosine(q, c, K)
+    facts = c.select("chunk_id", "section")
+    small, large = attach_facts(top, facts), attach_facts(top, facts, rows=0)
+    assert found(small) == found(large) == found(top)
+    assert small.columns == large.columns
