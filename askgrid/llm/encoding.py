@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 
 # Byte classes: 1 plain white space, 2 ASCII letter, 4 mark, 0 all else.
 _CLASS = bytearray(256)
@@ -248,7 +248,7 @@ def tidy(run):
 
 def slices(texts: pa.Array, most: int = 2 << 20):
     """``(start, length)`` pieces of a text array holding about ``most`` bytes each, or one text."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     total, start = np.cumsum(sizes), 0
     while start < len(sizes):
         before = total[start - 1] if start else 0
