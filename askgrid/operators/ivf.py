@@ -118,6 +118,28 @@ def probe_lists(queries: DataFrame, index: IvfIndex, nprobe: int) -> DataFrame:
     return queries.withColumn("list_id", F.explode(nearest(as_double(F.col("query_vector")))))
 
 
+def probes_for_recall(queries: DataFrame, exact: DataFrame, index: IvfIndex,
+                      target: float = 0.9) -> int:
+    """The smallest ``nprobe`` that finds at least ``target`` of the rows of ``exact``.
+
+    ``exact`` is the exact result for ``queries``, a sample of the batch to be searched. Each of its
+    hits is found from the probe on that reaches its list, so one count per place (at most
+    ``MAX_LISTS`` rows) tells the recall of every ``nprobe``. Without hits all lists are probed.
+    """
+    places = queries.select("query_id", F.posexplode(
+        _nearest(index.centroids, index.n_lists)(as_double(F.col("query_vector")))
+    ).alias("_place", "list_id"))
+    counts = dict(
+        exact.select("query_id", "chunk_id")
+        .join(index.chunks.select("chunk_id", "list_id"), "chunk_id")
+        .join(places, ["query_id", "list_id"])
+        .groupBy("_place").agg(F.count(F.lit(1))).collect())
+    found = np.cumsum([counts.get(place, 0) for place in range(index.n_lists)])
+    if not found[-1]:
+        return index.n_lists
+    return int(np.argmax(found >= target * found[-1])) + 1
+
+
 def topk_ivf(queries: DataFrame, index: IvfIndex, k: int = 20, nprobe: int = 8,
              refill: bool = True) -> DataFrame:
     """Exact ranking inside the probed lists; ``nprobe`` is the search effort.
@@ -172,4 +194,4 @@ def ranks_contiguous(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 __all__ = ["IvfIndex", "ann_recall", "assign_lists", "build_ivf", "probe_lists",
-           "ranks_contiguous", "read_ivf", "topk_ivf", "write_ivf"]
+           "probes_for_recall", "ranks_contiguous", "read_ivf", "topk_ivf", "write_ivf"]

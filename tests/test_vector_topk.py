@@ -3,6 +3,7 @@ import pytest
 
 from askgrid.operators import ivf
 from askgrid.operators.vector_topk import cell_topk, scope_column, topk_cosine
+from askgrid.workload import retrieval
 
 K = 7
 
@@ -84,6 +85,36 @@ def test_ivf_with_all_lists_is_exact_and_split_lists_agree(vectors):
     assert recall.count() == len(qm)
 
 
+def test_probes_follow_the_wanted_recall(spark):
+    rng = np.random.default_rng(4)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 12)))],
+                              "query_id long, query_vector array<double>")
+    few = None
+    for size in (300, 3000):  # every 30th vector is a centroid: 10 lists, then 100
+        vectors = rng.normal(size=(size, 12))
+        c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)],
+                                  "chunk_id long, embedding array<float>")
+        exact, index = topk_cosine(q, c, K), ivf.assign_lists(c, vectors[::30])
+
+        def recall(nprobe):
+            found = ivf.topk_ivf(q, index, K, nprobe=nprobe, refill=False)
+            return ivf.ann_recall(found, exact, K).agg({"recall": "avg"}).first()[0]
+
+        nprobe = ivf.probes_for_recall(q, exact, index, 0.9)
+        few = few or nprobe
+        assert recall(nprobe) >= 0.9 > recall(nprobe - 1)
+    assert nprobe > few and recall(few) < 0.9  # a fixed number loses neighbours as lists grow
+    assert ivf.probes_for_recall(q, exact.limit(0), index, 0.9) == index.n_lists
+
+
+def test_too_many_given_centroids_are_an_error(vectors, monkeypatch):
+    c, _, cm, _ = vectors
+    monkeypatch.setattr(ivf, "MAX_LISTS", 3)
+    monkeypatch.setattr(retrieval.data, "chunks", lambda spark, d: c)
+    with pytest.raises(ValueError, match="centroids"):
+        retrieval._given_index(c.sparkSession, "")
+
+
 def test_ivf_refills_starved_queries(spark, vectors):
     c, q, cm, qm = vectors
     index = ivf.build_ivf(c, n_lists=6)
