@@ -3,9 +3,10 @@
 Leaves are paths of a tree (domain, language, source). A node's capacity is the sum of its leaves',
 a leaf's is its tokens times the epochs it may be repeated. From the root down, a node shares its
 budget among its children in proportion to their weights; what a child cannot take goes to its
-siblings by weight, until all are served or full. As no node is given more than it can hold,
-shortages are settled among siblings before anything returns to an ancestor. All amounts are whole
-tokens in integer arithmetic.
+siblings by weight, until all are served or full. Leaves with a node of weight 0 on their path take
+nothing and count for no capacity. As no node is given more than it can hold, shortages are settled
+among siblings before anything returns to an ancestor, and up to rounding the whole budget is dealt
+where the leaves can hold it. All amounts are whole tokens in integer arithmetic.
 
 A leaf takes whole epochs and a token-prefix of one more. An epoch's order is a seeded hash of the
 ids, so the prefix is a threshold on that hash. It is found without sorting a leaf in one place:
@@ -76,6 +77,7 @@ def allocate(leaves: DataFrame, levels: Sequence[str], weights: Mapping[tuple, i
              budget: int, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``levels..., tokens, allocated`` for every leaf (``levels..., tokens``).
 
+    All leaves count for the capacity of their nodes: see ``allocate_all`` for weights of 0.
     ``weights`` maps paths (tuples from the root) to whole numbers of at least 0; a node that is not
     named has weight 1. It is a parameter, small by nature.
     """
@@ -103,6 +105,27 @@ def allocate(leaves: DataFrame, levels: Sequence[str], weights: Mapping[tuple, i
     return leaves.alias("l").join(given.alias("g"), same).select("l.*", "g.allocated")
 
 
+def allocate_all(leaves: DataFrame, levels: Sequence[str], weights: Mapping[tuple, int],
+                 budget: int, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``allocate`` among the leaves whose whole path has a positive weight; 0 for the others.
+
+    The amounts sum up to the budget or to what these leaves can hold, whichever is less, but for
+    less than one token for each child of a node by rounding down.
+    """
+    levels, spark, able = list(levels), leaves.sparkSession, leaves
+    for depth in range(1, len(levels) + 1):
+        closed = [tuple(path) for path, w in weights.items()
+                  if len(path) == depth and int(w) == 0]
+        table = spark.createDataFrame(closed, ", ".join(f"_k{i} string" for i in range(depth)))
+        match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(levels[:depth])]
+        able = able.join(F.broadcast(table), match, "left_anti")
+    given = allocate(able, levels, weights, budget, max_epochs).select(
+        *[F.col(k).alias(f"_{k}") for k in levels], F.col("allocated").alias("_allocated"))
+    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in levels]
+    return leaves.join(given, match, "left").select(
+        *leaves.columns, F.coalesce("_allocated", F.lit(0).cast("bigint")).alias("allocated"))
+
+
 def leaf_cuts(documents: DataFrame, levels: Sequence[str], weights: Mapping[tuple, int],
               budget_share: float, max_epochs: int, seed: int) -> DataFrame:
     """``levels..., tokens, allocated, epochs, cut``: how much of each leaf is taken.
@@ -114,7 +137,8 @@ def leaf_cuts(documents: DataFrame, levels: Sequence[str], weights: Mapping[tupl
     levels = list(levels)
     leaves = written(documents.groupBy(*levels).agg(F.sum("tokens").alias("tokens")))
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
-    taken = written(allocate(leaves, levels, weights, int(total * budget_share), max_epochs).select(
+    shares = allocate_all(leaves, levels, weights, int(total * budget_share), max_epochs)
+    taken = written(shares.select(
         *levels, "tokens", "allocated",
         F.expr("if(tokens > 0, allocated div tokens, 0)").alias("epochs"),
         F.expr("if(tokens > 0, allocated % tokens, 0)").alias("rest")))

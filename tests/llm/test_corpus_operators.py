@@ -242,6 +242,43 @@ def test_allocation_settles_among_siblings_first(spark):
         assert got == {k: want[k] for k in leaves}
 
 
+def test_budgets_pass_by_weightless_nodes(spark):
+    leaves = {("web", "en", "a"): 100, ("web", "en", "b"): 1000, ("web", "de", "a"): 500,
+              ("books", "en", "c"): 50, ("books", None, "c"): 20, ("code", "en", None): 4000,
+              ("code", "en", "d"): 900, ("news", "en", "e"): 300}
+    weights = {("web",): 5, ("books",): 4, ("web", "en", "a"): 9, ("web", "de"): 0,
+               ("code", "en", "d"): 0, ("news", "en"): 0}
+    closed = [("web", "de", "a"), ("code", "en", "d"), ("news", "en", "e")]
+    able = {k: n for k, n in leaves.items() if k not in closed}
+    table = spark.createDataFrame([(*k, v) for k, v in leaves.items()],
+                                  "d string, l string, s string, tokens bigint")
+    for budget in (0, 7, 300, 2000, 5000, 10**9):
+        got = {(r.d, r.l, r.s): r.allocated for r in mixing.allocate_all(
+            table, ["d", "l", "s"], weights, budget, 1).collect()}
+        want = {(): budget}
+        for depth in (1, 2, 3):
+            for parent in {k[:depth - 1] for k in able}:
+                nodes = {}
+                for k, n in able.items():
+                    if k[:depth - 1] == parent:
+                        nodes[k[:depth]] = (nodes.get(k[:depth], (0,))[0] + n,
+                                            weights.get(k[:depth], 1))
+                want.update({k: int(v) for k, v in fill(want[parent], nodes).items()})
+        assert got == {k: want.get(k, 0) if k in able else 0 for k in leaves}
+        most = min(budget, sum(able.values()))
+        assert most - len(want) <= sum(got.values()) <= most
+
+
+def test_mix_deals_the_whole_budget_beside_a_weightless_leaf(spark):
+    # The closed leaf holds a third of all words: its parent's share goes to the other domain.
+    docs = spark.createDataFrame(
+        [(i, *leaf, "w " * 10) for i, leaf in enumerate(
+            [("code", "en", "x")] * 300 + [("code", "en", "y")] * 100 + [("web", "en", "z")] * 500)],
+        "doc_id bigint, domain string, lang string, source string, text string")
+    taken = mixing.mix(docs, ["domain", "lang", "source"], {("code", "en", "x"): 0}, 0.6, 1)
+    assert taken.count() == 540
+
+
 def test_prefixes_are_the_longest_that_fit(spark):
     rng = random.Random(2)
     rows = [(i if i % 50 else None, "en", f"s{min(i % 7, 2)}", "w " * rng.randrange(0, 60))
