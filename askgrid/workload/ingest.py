@@ -146,17 +146,28 @@ def _a8(spark, d):
         "doc_id", "ordinal", "start_line", "end_line", F.sha2("text", 256).alias("text_sha256"))
 
 
-def markdown(spark, d):
-    """Documents as Markdown: headings, a list with a second paragraph, a fence, a quote, indented
-    code, then all lines of the text without the characters that have a meaning."""
-    plain = F.array_join(F.transform(F.split("text", "\n"), lambda line: F.concat(
-        F.lit("L "), F.regexp_replace(line, r"[^\p{L}\p{N} .,]", ""))), "\n")
-    text = F.concat(
+def markdown_head():
+    """Markdown ahead of a text: headings, a list with a second paragraph, a fence, a quote and
+    indented code."""
+    return F.concat(
         F.lit("# "), "source", F.lit("\n\n- *first* "), "lang",
         F.lit("\n- second\n\n  more &amp; more\n\n## Text **of** "), "lang",
         F.lit("\n\n```sql\nselect 1;\n\n# no heading\n```\n\n> quoted <https://x.y/"), "lang",
-        F.lit(">\n> line\n\n    indented\n\n"), plain)
-    return data.documents(spark, d).select("doc_id", text.alias("text"))
+        F.lit(">\n> line\n\n    indented\n\n"))
+
+
+def markdown(spark, d):
+    """Documents as Markdown: the head, then all lines of the text without the characters that have
+    a meaning, so that SQL can follow."""
+    plain = F.array_join(F.transform(F.split("text", "\n"), lambda line: F.concat(
+        F.lit("L "), F.regexp_replace(line, r"[^\p{L}\p{N} .,]", ""))), "\n")
+    return data.documents(spark, d).select(
+        "doc_id", F.concat(markdown_head(), plain).alias("text"))
+
+
+def whole_markdown(spark, d):
+    """Documents as Markdown: the head, then the whole text unaltered, in paragraphs."""
+    return spaced(spark, d).select("doc_id", F.concat(markdown_head(), "text").alias("text"))
 
 
 MARKDOWN_SQL = r"""
@@ -184,14 +195,23 @@ select doc_id, b.o as ordinal, b.k as kind, b.s as start_line, b.e as end_line,
 from blocks"""
 
 
-@R.add("a9_segment_markdown", MARKDOWN_SQL)
-def _a9(spark, d):
-    return segment.segment_markdown(markdown(spark, d)).select(
+def _markdown_blocks(docs):
+    return segment.segment_markdown(docs).select(
         "doc_id", "ordinal", "kind", "start_line", "end_line", "heading_level", "code_language",
         F.array_join("section_path", " > ").alias("section"),
         F.sha2("text", 256).alias("text_sha256"))
 
 
+@R.add("a9_segment_markdown", MARKDOWN_SQL)
+def _a9(spark, d):
+    return _markdown_blocks(markdown(spark, d))
+
+
+def a9_segment_markdown_whole(spark, d):
+    """Whole texts have marks of all kinds: a test compares with brute force on small documents."""
+    return _markdown_blocks(whole_markdown(spark, d))
+
+
 @R.add("a10_segment_csv", r"""
 with base as (select doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') as t, source,
   len(string_split(text, chr(10))) as n from documents)
@@ -294,7 +314,7 @@ def _a14(spark, d):
 
 @R.add("a12_a13_a14_chunk_documents")
 def _a12c(spark, d):
-    blocks = markdown(spark, d).withColumn("blocks", segment.markdown_blocks(F.col("text")))
+    blocks = whole_markdown(spark, d).withColumn("blocks", segment.markdown_blocks(F.col("text")))
     return chunking.chunk_documents(blocks, target=120, overlap=20).select(
         "doc_id", "chunk_index", "token_count", "overlap_tokens", "content_sha256", "section",
         "block_start_ordinal", "block_end_ordinal")

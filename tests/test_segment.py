@@ -167,3 +167,27 @@ def test_csv_first_offender_decides_and_repeated_names(spark):
     assert csv_case(spark, wide + "\n" + wide)[1] == ["resource_limit_exceeded"]
     good, _ = segment.segment_csv(docs(spark, "x,,x,x\n1,2,3,4"))
     assert good.first()["text"] == "x: 1\n列 2: 2\nx (2): 3\nx (3): 4"
+
+
+def test_whole_texts_are_segmented_and_chunked(spark, tmp_path):
+    import hashlib
+
+    from askgrid.workload import ingest
+
+    text = "One - (two)! a@b\n# Own *title*\nthree & four\n- item\nfive | six"
+    spark.createDataFrame([(1, text, "s", "en"), (2, "a-b\nc\nd\ne", "s", "en")],
+                          "doc_id long, text string, source string, lang string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = rows(ingest.a9_segment_markdown_whole(spark, str(tmp_path)).where("ordinal >= 8"),
+               "doc_id", "ordinal", "kind", "start_line", "end_line", "section", "text_sha256")
+    outer = "s > Text of en"
+    assert got == [(*row, hashlib.sha256(body.encode()).hexdigest()) for *row, body in [
+        (1, 10, "paragraph", 23, 23, "Own title", "three & four"),
+        (1, 11, "list_item", 25, 26, "Own title", "item\nfive | six"),
+        (1, 8, "paragraph", 21, 21, outer, "One - (two)! a@b"),
+        (1, 9, "heading", 22, 22, "Own title", "Own title"),
+        (2, 8, "paragraph", 21, 23, outer, "a-b\nc\nd"),
+        (2, 9, "paragraph", 25, 25, outer, "e")]]
+    chunks = ingest.R.queries["a12_a13_a14_chunk_documents"](spark, str(tmp_path))
+    assert {r["doc_id"]: r["last"] for r in chunks.groupBy("doc_id").agg(
+        {"block_end_ordinal": "max"}).toDF("doc_id", "last").collect()} == {1: 11, 2: 9}
