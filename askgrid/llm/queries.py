@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.llm import fingerprints, html_text, mixing, near_dedup, packing, quality
-from askgrid.llm import segment_search, warc
+from askgrid.llm import conversation_repair, decontaminate, fill_middle, fingerprints, html_text
+from askgrid.llm import mixing, near_dedup, packing, quality, segment_search, warc
 from askgrid.llm import token_counts as counts
 from askgrid.llm import token_files as files
 from askgrid.plans.shared import shared_folder
@@ -203,6 +203,207 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(_table(spark, folder, "pages"))
 
 
+# --- conversations ------------------------------------------------------------------------------
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults drawn from the place of each row; nulls become one space."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" "))
+                             for c in ("conv_id", "turn")])
+    text = F.coalesce("text", F.lit(" "))
+    return (
+        rows.withColumn("fault", F.crc32(key) % 20).where("fault <> 0")
+        .select(
+            "conv_id", "turn",
+            F.when(F.col("fault") == 4, "user").otherwise(F.coalesce("role", F.lit(" ")))
+            .alias("role"),
+            F.when(F.col("fault") == 1, "").when(
+                F.col("fault") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+            .alias("text"),
+            F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1)))
+            .alias("copy"))
+        .drop("copy"))
+
+
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    rows = _table(spark, folder, "conversations")
+    plan = conversation_repair.plan_repairs(damaged(rows))
+    return conversation_repair.repair_report(plan, rows)
+
+
+def _op11_sql() -> str:
+    """The same edits by a recursion over rows that carries cost, letters and text per state."""
+    cost = {"D": conversation_repair.DELETE, "I": conversation_repair.INSERT,
+            "R": conversation_repair.REROLE, "K": conversation_repair.KEEP}
+    order = "turn nulls first, role, sha256(text), copy"
+    states = "esua"  # nothing, system, user, assistant
+
+    def grown(state: str, letter: str, then: str, role: str, text: str, extra: str = "0") -> str:
+        line = f"{role} || ':' || {text}"
+        joined = f"{state}.l || case when {state}.n > 0 then chr(10) else '' end || {line}"
+        return (f"{{'c': {state}.c + {cost[letter]} + {extra}, 'a': {state}.a || '{letter}', "
+                f"'n': {state}.n + 1, 'l': {joined}}}")
+
+    far = "{'c': 1000000000, 'a': '', 'n': 0, 'l': ''}"
+
+    def inserted(prefix: str) -> str:
+        """States after at most one insertion: two in a row never pay."""
+        return ", ".join([
+            f"{prefix}e as e, {prefix}s as s",
+            f"least({prefix}u, {grown(prefix + 'e', 'I', 'u', QUOTED[0], EMPTY)}, "
+            f"{grown(prefix + 's', 'I', 'u', QUOTED[0], EMPTY)}, "
+            f"{grown(prefix + 'a', 'I', 'u', QUOTED[0], EMPTY)}) as u",
+            f"least({prefix}a, {grown(prefix + 'u', 'I', 'a', QUOTED[1], EMPTY)}) as a"])
+
+    QUOTED, EMPTY = ("'user'", "'assistant'"), "''"
+    gone = {q: f"{{'c': i.{q}.c + {cost['D']}, 'a': i.{q}.a || 'D', 'n': i.{q}.n, 'l': i.{q}.l}}"
+            for q in states}
+    cut = "r.cut::int"
+
+    def kept(state: str, initial: str) -> str:
+        way = grown(f"i.{state}", "K", "", "r.role", "r.text", cut)
+        return f"case when r.dead or left(r.role, 1) <> '{initial}' then {far} else {way} end"
+
+    def turned(state: str, role: str) -> str:
+        way = grown(f"i.{state}", "R", "", role, "r.text", cut)
+        return f"case when r.dead then {far} else {way} end"
+
+    to_user = ", ".join([kept(q, "u") for q in "esa"] + [turned(q, QUOTED[0]) for q in "esa"])
+    return rf"""
+with recursive c0 as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k
+  from conversations),
+crc_table as (
+  select i, list_reduce(list_prepend(i::bigint, range(8)), lambda x, y:
+    xor(x >> 1, (x & 1) * 3988292384)) as t from range(256) g(i)),
+crc_list as (select list(t order by i) as ts from crc_table),
+c1 as (
+  select conv_id, turn, role, text, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda x:
+      ascii(x)::bigint)),
+    lambda x, y: xor(x >> 8, ts[(xor(x, y) & 255) + 1]))) % 20 as fault
+  from c0, crc_list),
+d as (
+  select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+    case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end
+      as text, unnest(range(case when fault = 3 then 2 else 1 end)) as copy
+  from c1 where fault <> 0),
+n as (select *, row_number() over (partition by conv_id order by {order}) as i from d),
+f as (
+  select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank,
+    i > min(i) over (partition by conv_id, role, text) as copied,
+    not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') as cut,
+    lag(left(role, 1)) over (partition by conv_id order by i) as earlier
+  from n),
+r as materialized (select *, blank or copied as dead from f),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+    count(*) filter (blank) as blank, count(*) filter (copied and not blank) as duplicate,
+    count(*) filter (cut and not dead) as truncated,
+    count(*) filter (i > 1 and earlier || left(role, 1) not in ('su', 'ua', 'au')) as illegal,
+    max(i) as rows
+  from r group by 1),
+walk as (
+  select conv_id, 0::bigint as step, {{'c': 0, 'a': '', 'n': 0, 'l': ''}} as e, {far} as s,
+    {far} as u, {far} as a from counts
+  union all
+  select i.conv_id, i.step + 1, {gone['e']}, least({gone['s']}, {kept('e', 's')}),
+    least({gone['u']}, {to_user}), least({gone['a']}, {kept('u', 'a')}, {turned('u', QUOTED[1])})
+  from (select conv_id, step, {inserted('')} from walk) i
+  join r on r.conv_id is not distinct from i.conv_id and r.i = i.step + 1),
+ended as (
+  select w.conv_id, least(e, least(w.a, {grown('w.u', 'I', 'a', QUOTED[1], EMPTY)})) as best
+  from walk w join counts c on c.conv_id is not distinct from w.conv_id and w.step = c.rows)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank,
+  coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(best.c, 0)::bigint as cost,
+  coalesce(best.a, '') as audit, sha256(coalesce(best.l, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counts c on c.conv_id is not distinct from o.conv_id
+left join ended e on e.conv_id is not distinct from o.conv_id"""
+
+
+# --- evaluation leaks and training forms ----------------------------------------------------------
+
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie inside passages of the benchmark."""
+    found = decontaminate.find_contamination(_table(spark, folder, "documents"),
+                                             _table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP12_SQL = rf"""
+with words as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (
+  select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+frames as (
+  select distinct item, least(len(w), {decontaminate.WIDTH}) as size,
+    array_to_string(w[i:i + size - 1], ' ') as frame
+  from (select item, w, unnest(range(1, greatest(len(w) - {decontaminate.WIDTH}, 0) + 2)) as i
+        from items where len(w) > 0)),
+places as (
+  select r, i, size, array_to_string(w[i:i + size - 1], ' ') as frame
+  from (select r, w, unnest(range(1, len(w) + 1)) as i from words),
+    (select distinct size from frames)
+  where i + size - 1 <= len(w)),
+hits as (select r, i, size, item from places join frames using (size, frame)),
+found as (
+  select r, count(distinct item) as n_items,
+    sha256(string_agg(distinct item, ',' order by item)) as items_sha256 from hits group by 1),
+covered as (
+  select r, count(distinct place) as n_hit
+  from (select r, unnest(range(i, i + size)) as place from (select distinct r, i, size from hits))
+  group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
+  n_hit is not null as contaminated
+from words left join found using (r) left join covered using (r)"""
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a fill-in-the-middle example, and the text rebuilt from it."""
+    made = fill_middle.fill_in_middle(_table(spark, folder, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP13_SQL = rf"""
+with t as (
+  select doc_id, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as w,
+    sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+h as (
+  select *, len(w)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+    ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from t),
+c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+        or h3 % 100 >= {fill_middle.PLAIN_FROM} then 'plain'
+      when h4 % 100 < {fill_middle.SUFFIX_FIRST_BELOW} then 'spm' else 'psm' end as form from h),
+p as (
+  select *, array_to_string(w[1:a], '') as prefix, array_to_string(w[a + 1:b], '') as middle,
+    array_to_string(w[b + 1:], '') as suffix from c)
+select doc_id, n, form,
+  case when form <> 'plain' then length(prefix) end as prefix_chars,
+  case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text
+    when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from p"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_near_duplicates": op2_near_duplicates,
@@ -214,6 +415,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_html_text": op10_html_text,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_decontamination": op12_decontamination,
+    "op13_fill_middle": op13_fill_middle,
 }
 
-SQL: dict[str, str] = {"op1_mixing": _op1_sql(), "op7_segment_search": OP7_SQL, "op9_warc": OP9_SQL}
+SQL: dict[str, str] = {
+    "op1_mixing": _op1_sql(),
+    "op7_segment_search": OP7_SQL,
+    "op9_warc": OP9_SQL,
+    "op11_conversation_repair": _op11_sql(),
+    "op12_decontamination": OP12_SQL,
+    "op13_fill_middle": OP13_SQL,
+}
