@@ -1,8 +1,8 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of all test items.
 
 Texts are normalised to words (``A-Z`` lowered; letters, digits and all non-ASCII characters make
-words). Every word of the benchmark becomes one symbol, every window of ten words a pattern of ten
-symbols, and a document a string of symbols that the automaton reads once. A match ends at a word
+words). Every word of the benchmark becomes a symbol, every window of ten words a pattern of ten symbols,
+and a document a string of symbols that the automaton reads once. A match ends at a word
 number; word numbers map back to code-point offsets of the original text.
 
 The automaton is sent to every task, so its size is checked first: a benchmark of more than
@@ -13,6 +13,7 @@ never shuffled and never paired with items.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -27,7 +28,8 @@ from askgrid.llm.encoding import tidy
 from askgrid.plans.shared import written
 
 WIDTH = 10
-MOST_WORDS = 400_000
+#: Below the ``ALPHABET ** DIGITS`` symbols; an automaton takes up to 2 kB for each of them.
+MOST_WORDS = 100_000
 MOST_BYTES = 32 << 20
 #: Longer items are windowed in overlapping pieces.
 PIECE_WORDS = 10_000
@@ -40,8 +42,11 @@ _BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A
     else 0x20 for b in range(256))
 _IS_WORD = np.array([b != 0x20 for b in _BYTES])
-#: The symbol of all words that no item has; symbols from 1 on are benchmark words.
+#: Characters of a word's symbol, and how many different ones each place has.
+DIGITS, ALPHABET = 3, 64
+#: What stands for a word that no item has.
 _OTHER = "\x00"
+_UNKNOWN = _OTHER * DIGITS
 
 #: A passage: the words ``first`` to ``last`` (numbers from 0), code points ``start`` up to ``stop``.
 _FIELDS = ("first", "last", "start", "stop")
@@ -65,25 +70,36 @@ def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Scanner:
-    """The automaton over the windows of ``(item, words)`` rows."""
+    """The automaton over the windows of ``(item, words)`` rows.
+
+    The symbol of a word is ``DIGITS`` characters, one of each of as many disjoint alphabets: nodes
+    then have few children, and matches start and end at whole words.
+    """
 
     def __init__(self, items: Sequence[tuple[str, Sequence[bytes]]], width: int = WIDTH):
         self.symbols: dict[bytes, str] = {}
         windows: dict[str, set[str]] = {}
         for item, words in items:
             code = "".join(self._symbol(w) for w in words)
-            for i in range(max(len(code) - width, 0) + 1 if code else 0):
-                windows.setdefault(code[i:i + width], set()).add(item)
+            for i in range(max(len(words) - width, 0) + 1 if words else 0):
+                windows.setdefault(code[i * DIGITS:(i + width) * DIGITS], set()).add(item)
         self.automaton = ahocorasick.Automaton()
         for window, owners in windows.items():
-            self.automaton.add_word(window, (len(window), tuple(owners)))
+            self.automaton.add_word(window, (len(window) // DIGITS, tuple(owners)))
         if windows:
             self.automaton.make_automaton()
-        self.empty = not windows
+        # No match holds a word that no item has: such words only reset the automaton, so only
+        # stretches without them are read, if the shortest window fits.
+        shortest = min(map(len, windows), default=DIGITS)
+        self.stretches = re.compile(f"[^{_OTHER}]{{{shortest},}}").finditer if windows else None
 
     def _symbol(self, word: bytes) -> str:
         if word not in self.symbols:
-            self.symbols[word] = chr(len(self.symbols) + 1)
+            number, digits = len(self.symbols), []
+            for place in range(DIGITS):
+                number, digit = divmod(number, ALPHABET)
+                digits.append(chr(1 + place * ALPHABET + digit))
+            self.symbols[word] = "".join(digits)
         return self.symbols[word]
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -91,19 +107,22 @@ class Scanner:
         words = words_of(text)
         runs: list[tuple[int, int]] = []
         items: set[str] = set()
-        if self.empty or not words:
+        if self.stretches is None or not words:
             return len(words), runs, items
         get = self.symbols.get
+        code = "".join([get(w, _UNKNOWN) for w in words])
         seen: set[int] = set()
-        for last, value in self.automaton.iter("".join([get(w, _OTHER) for w in words])):
-            size, owners = value
-            first = last - size + 1
-            while runs and runs[-1][1] >= first - 1:  # touching runs become one
-                first = min(first, runs.pop()[0])
-            runs.append((first, last))
-            if id(value) not in seen:
-                seen.add(id(value))
-                items.update(owners)
+        for stretch in self.stretches(code):
+            for end, value in self.automaton.iter(code, *stretch.span()):
+                size, owners = value
+                last = end // DIGITS
+                first = last - size + 1
+                while runs and runs[-1][1] >= first - 1:  # touching runs become one
+                    first = min(first, runs.pop()[0])
+                runs.append((first, last))
+                if id(value) not in seen:
+                    seen.add(id(value))
+                    items.update(owners)
         return len(words), runs, items
 
 
