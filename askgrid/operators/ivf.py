@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -15,9 +15,13 @@ from pyspark.sql.types import ArrayType, IntegerType
 from askgrid.functions.lets import let
 from askgrid.functions.vectors import as_double, l2_norm
 from askgrid.plans.shared import written
-from askgrid.operators.vector_topk import _used_filters, cell_topk, scope_column
+from askgrid.operators.vector_topk import _used_filters, cell_topk, scope_column, unit_rows
 
 MAX_LISTS = 65_536
+#: Centroids are trained on about so many rows, picked by a hash of their id.
+TRAIN_ROWS = 65_536
+#: Scores held at a time while lists are picked: rows of a block times lists.
+BLOCK_SCORES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -37,45 +41,75 @@ def _unit(column: str):
                lambda v: let(l2_norm(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
-def build_ivf(chunks: DataFrame, n_lists: int, seed: int = 7, max_iter: int = 10) -> IvfIndex:
-    """Cluster the unit vectors and give each chunk the id of its nearest centroid.
+def training_sample(chunks: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """At most about ``rows`` usable rows with their unit vector ``unit``, written once.
 
-    Training and assignment run in the ML library over partitions; the driver sees only the
-    ``n_lists`` centroids, whose number is checked.
+    Which rows is decided by a hash of ``chunk_id``, so a repeated task picks the same.
     """
+    usable = chunks.select("chunk_id", "embedding").where(
+        F.coalesce(l2_norm(F.col("embedding")), F.lit(0.0)) > 0)
+    every = max(1, -(-usable.count() // rows))
+    return written(usable.where(F.pmod(F.xxhash64("chunk_id"), F.lit(every)) == 0)
+                   .select("chunk_id", _unit("embedding").alias("unit")))
+
+
+def train_centroids(sample: DataFrame, n_lists: int, seed: int = 7, max_iter: int = 10
+                    ) -> np.ndarray:
+    """Centroids of the unit vectors of a sample; there may be fewer than ``n_lists``."""
     if not 1 <= n_lists <= MAX_LISTS:
         raise ValueError(f"n_lists must be between 1 and {MAX_LISTS}")
-    features = chunks.withColumn("_features", array_to_vector(_unit("embedding")))
+    features = sample.select(array_to_vector("unit").alias("features"))
+    model: KMeansModel = KMeans(k=n_lists, seed=seed, maxIter=max_iter).fit(features)
+    return np.asarray(model.clusterCenters())
+
+
+def build_ivf(chunks: DataFrame, n_lists: int, seed: int = 7, max_iter: int = 10) -> IvfIndex:
+    """Centroids trained on a bounded sample, and each chunk with the id of its nearest one.
+
+    Training runs in the ML library over partitions; the driver sees only the centroids, whose
+    number is checked.
+    """
     if n_lists == 1:
-        mean = np.zeros((1, 1))
-        return IvfIndex(chunks.withColumn("list_id", F.lit(0)), mean)
-    model: KMeansModel = KMeans(
-        k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="list_id"
-    ).fit(features)
-    return IvfIndex(
-        model.transform(features).drop("_features"), np.asarray(model.clusterCenters())
-    )
+        return IvfIndex(chunks.withColumn("list_id", F.lit(0)), np.zeros((1, 1)))
+    return assign_lists(chunks, train_centroids(training_sample(chunks), n_lists, seed, max_iter))
+
+
+def nearest_ids(matrix: np.ndarray, unit: np.ndarray, lists: int) -> np.ndarray:
+    """Per row the ids of the ``lists`` most alike rows of ``unit``, best first.
+
+    Similarities are compared at 12 decimals, ties go to the smaller id. Only the wanted lists are
+    ordered, and only ``BLOCK_SCORES`` scores exist at a time.
+    """
+    out = np.empty((len(matrix), lists), np.int32)
+    step = max(1, BLOCK_SCORES // len(unit))
+    for start in range(0, len(matrix), step):
+        scores = np.nan_to_num(np.round(matrix[start:start + step] @ unit.T, 12), nan=-2.0)
+        if lists == 1:
+            out[start:start + step, 0] = scores.argmax(axis=1)
+            continue
+        cut = scores.shape[1] - lists
+        floors = np.partition(scores, cut, axis=1)[:, cut]
+        rows, ids = np.nonzero(scores >= floors[:, None])
+        order = np.lexsort((ids, -scores[rows, ids], rows))
+        rows, ids = rows[order], ids[order]
+        place = np.arange(rows.size) - np.searchsorted(rows, rows)
+        keep = place < lists
+        out[start + rows[keep], place[keep]] = ids[keep]
+    return out
 
 
 def _nearest(centroids: np.ndarray, lists: int):
     """A function of vector columns: the ids of the ``lists`` nearest centroids, nearest first.
 
-    Similarities are compared at 12 decimals, ties go to the smaller id. A vector that cannot be
-    compared gets the first lists, where the search leaves it out.
+    A vector that cannot be compared gets the first lists, where the search leaves it out.
     """
     unit = centroids / np.linalg.norm(centroids, axis=1, keepdims=True)
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def nearest(vectors: pd.Series) -> pd.Series:
-        matrix = np.zeros((len(vectors), unit.shape[1]))
-        for row, vector in enumerate(vectors):
-            if vector is not None and len(vector) == unit.shape[1]:
-                matrix[row] = np.asarray(vector, np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scores = np.nan_to_num(np.round(matrix / norms @ unit.T, 12), nan=-2.0)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :lists]
-        return pd.Series(order.astype(np.int32).tolist())
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def nearest(vectors: pa.Array) -> pa.Array:
+        ids = nearest_ids(unit_rows(vectors, unit.shape[1]), unit, lists)
+        offsets = np.arange(len(ids) + 1, dtype=np.int32) * lists
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.ravel()))
 
     return nearest
 
@@ -92,10 +126,12 @@ def assign_lists(chunks: DataFrame, centroids: np.ndarray) -> IvfIndex:
 def write_ivf(index: IvfIndex, path: str, mode: str = "overwrite") -> None:
     """Store the chunks in one folder per list and the centroids as a table beside them.
 
-    With ``mode="append"`` chunks assigned to the stored centroids are added.
+    Rows are gathered by list first, so that tasks do not write a file each for every list; a list
+    with very many rows is split by adaptive execution. With ``mode="append"`` chunks assigned to
+    the stored centroids are added.
     """
     spark = index.chunks.sparkSession
-    index.chunks.write.mode(mode).partitionBy("list_id").parquet(f"{path}/chunks")
+    index.chunks.hint("rebalance", "list_id").write.mode(mode).partitionBy("list_id").parquet(f"{path}/chunks")
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
     spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.mode(
         "overwrite").parquet(f"{path}/centroids")
@@ -193,5 +229,6 @@ def ranks_contiguous(candidates: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-__all__ = ["IvfIndex", "ann_recall", "assign_lists", "build_ivf", "probe_lists",
-           "probes_for_recall", "ranks_contiguous", "read_ivf", "topk_ivf", "write_ivf"]
+__all__ = ["IvfIndex", "ann_recall", "assign_lists", "build_ivf", "nearest_ids", "probe_lists",
+           "probes_for_recall", "ranks_contiguous", "read_ivf", "topk_ivf", "train_centroids",
+           "training_sample", "write_ivf"]

@@ -64,6 +64,11 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
         return matrix / norms
 
 
+def unit_rows(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
+    """Vectors scaled to length 1 as rows; those that cannot be compared are rows of NaN."""
+    return _unit(_matrix(column, dimension))
+
+
 class _Batch:
     """A query batch: unit vectors in groups that share one filter and one dimension.
 
@@ -210,15 +215,13 @@ def scan_topk(chunks: DataFrame, batch: pa.Table, filters: Sequence[str], k: int
     return _ranked(chunks.mapInArrow(scan, ddl), k, MERGE_SHARDS if many else 1)
 
 
-def cell_topk(chunks: DataFrame, queries: DataFrame, k: int, bucket: str | None = None,
-              slab_rows: int = SLAB_ROWS) -> DataFrame:
-    """Top-k by cells of bounded size; with ``bucket``, only equal buckets are compared.
+def cells(chunks: DataFrame, queries: DataFrame, bucket: str | None, slab_rows: int
+          ) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides dealt into cells of bounded size, and the columns that name a cell.
 
     Slab counts come from row counts per bucket (pre-aggregated); each side is copied once per
     slab of the other side, the least any exact comparison of both needs.
     """
-    filters = _used_filters(queries)
-    ddl, schema = _output(chunks, queries)
     chunks, queries = (
         (chunks.withColumn("_bucket", F.lit(0)), queries.withColumn("_bucket", F.lit(0)))
         if bucket is None
@@ -258,6 +261,15 @@ def cell_topk(chunks: DataFrame, queries: DataFrame, k: int, bucket: str | None
 
     left = place(chunks, "chunk_id", "_cn", "_qn", "_cs", "_qs")
     right = place(queries, "query_id", "_qn", "_cn", "_qs", "_cs")
+    return left, right, ["_bucket", "_cs", "_qs"]
+
+
+def cell_topk(chunks: DataFrame, queries: DataFrame, k: int, bucket: str | None = None,
+              slab_rows: int = SLAB_ROWS) -> DataFrame:
+    """Top-k by cells of bounded size; with ``bucket``, only equal buckets are compared."""
+    filters = _used_filters(queries)
+    ddl, schema = _output(chunks, queries)
+    left, right, keys = cells(chunks, queries, bucket, slab_rows)
 
     def cell(part: pa.Table, batch: pa.Table) -> pa.Table:
         if not part.num_rows or not batch.num_rows:
@@ -267,7 +279,6 @@ def cell_topk(chunks: DataFrame, queries: DataFrame, k: int, bucket: str | None
             top.add(piece)
         return top.result(schema)
 
-    keys = ["_bucket", "_cs", "_qs"]
     partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, ddl)
     return _ranked(partial, k)
 
