@@ -44,13 +44,18 @@ def _unit(column: str):
 def training_sample(chunks: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """At most about ``rows`` usable rows with their unit vector ``unit``, written once.
 
-    Which rows is decided by a hash of ``chunk_id``, so a repeated task picks the same.
+    Which rows is decided by a hash of ``chunk_id``, so a repeated task picks the same. Usable are
+    vectors with a direction that have the commonest length.
     """
-    usable = chunks.select("chunk_id", "embedding").where(
-        F.coalesce(l2_norm(F.col("embedding")), F.lit(0.0)) > 0)
-    every = max(1, -(-usable.count() // rows))
-    return written(usable.where(F.pmod(F.xxhash64("chunk_id"), F.lit(every)) == 0)
-                   .select("chunk_id", _unit("embedding").alias("unit")))
+    norm = F.coalesce(l2_norm(F.col("embedding")), F.lit(0.0))
+    usable = chunks.select("chunk_id", "embedding").where((norm > 0) & (norm < float("inf")))
+    facts = usable.agg(F.count(F.lit(1)).alias("n"),
+                       F.mode(F.size("embedding"), True).alias("dimension")).first()
+    every = max(1, -(-facts["n"] // rows))
+    return written(
+        usable.where((F.size("embedding") == F.lit(facts["dimension"]))
+                     & (F.pmod(F.xxhash64("chunk_id"), F.lit(every)) == 0))
+        .select("chunk_id", _unit("embedding").alias("unit")))
 
 
 def train_centroids(sample: DataFrame, n_lists: int, seed: int = 7, max_iter: int = 10

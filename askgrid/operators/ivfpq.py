@@ -203,12 +203,13 @@ def build_pq(chunks: DataFrame, n_lists: int | None = None, groups: int = GROUPS
     """An index over all ``chunks`` (``chunk_id, embedding`` and filter attributes).
 
     Centroids and codebooks come from at most about ``TRAIN_ROWS`` rows; every chunk is encoded.
-    The driver sees centroids, codebooks and one count per list.
+    The driver sees centroids, codebooks and one count per list. Vectors without direction or of
+    another length than most are in no list; an empty table gives an index that finds nothing.
     """
     sample = training_sample(chunks)
-    rows = chunks.count()
-    wanted = min(n_lists or default_lists(rows), MAX_LISTS, max(1, sample.count() // 4))
-    centroids = train_centroids(sample, wanted, seed)
+    known = sample.count()
+    wanted = min(n_lists or default_lists(chunks.count()), MAX_LISTS, max(1, known // 4))
+    centroids = train_centroids(sample, wanted, seed) if known else np.zeros((1, 1))
     groups = min(groups, centroids.shape[1])
     codebooks = _train_codebooks(sample, centroids, groups, rounds, seed)
     codes = written(encode_chunks(chunks, centroids, codebooks, groups)
