@@ -1,40 +1,81 @@
 """Stateful run fold: live event streams to terminal run rows, same rules as the batch fold.
 
-One state per run. Events are applied in ``seq`` order (0, 1, 2, ...); those that arrive early
-wait in the state. The first terminal event or protocol error closes the run and emits its row;
-a run still open ``timeout`` after its first event fails with ``global_timeout``.
+State per run, in typed variables, so that an event touches only what it changes:
+
+* ``head``: a small struct with the next sequence number and what was seen so far;
+* ``parts``: the texts of the content events, appended and read back once, for the answer;
+* ``waiting``: events that arrived before their turn, by sequence number;
+* an event-time timer at the run's time limit, which also ends the life of a closed run's state.
+
+Events are applied in ``seq`` order (0, 1, 2, ...). A frame of a run's events is applied as a whole,
+by array operations over its kinds. The first terminal event or protocol error closes the run and
+emits its row; a run still open ``timeout`` after its first event fails with ``global_timeout``.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from askgrid.operators.runs import CANCELLED_CODE, INTERNAL_ERROR, PROTOCOL_ERROR
+from askgrid.operators.runs import (CANCELLED_CODE, DONE_FIELDS, INTERNAL_ERROR, PROTOCOL_ERROR,
+                                    TERMINAL_KINDS)
 
 # Fixed value: seconds a run may stay open.
 RUN_TIMEOUT_SECONDS = 120
 TIMEOUT_CODE = "global_timeout"
+_TRACE = ("array<struct<stage:string,duration_ms:double,candidate_count:bigint,"
+          "degradation_reason:string,decision:string>>")
+_TRACE_FIELDS = ("stage", "duration_ms", "candidate_count", "degradation_reason", "decision")
 OUTPUT = (
     "run_id bigint, conversation_id bigint, status string, answer string, "
     "source_chunk_ids array<string>, intent_route string, model_id string, "
-    "finish_reason string, input_tokens bigint, output_tokens bigint, error_code string, "
-    "late_events bigint"
+    "finish_reason string, input_tokens bigint, output_tokens bigint, "
+    f"trace {_TRACE}, error_code string, late_events bigint"
 )
-_COLUMNS = [part.strip().split(" ")[0] for part in OUTPUT.split(", ")]
-_STATE = "body string, deadline bigint, closed boolean, late bigint"
+_COLUMNS = ["run_id", "conversation_id", "status", "answer", "source_chunk_ids", "intent_route",
+            "model_id", "finish_reason", "input_tokens", "output_tokens", "trace", "error_code",
+            "late_events"]
+_NUMBERS = ("run_id", "conversation_id", "input_tokens", "output_tokens", "late_events")
+_KEPT = [f for f in DONE_FIELDS if f != "outcome"]
+_EVENT = ["seq", "kind", "text", "source_ids", *DONE_FIELDS]
+_WAITING = ("kind string, text string, source_ids array<string>, outcome string, "
+            "intent_route string, model_id string, finish_reason string, input_tokens bigint, "
+            f"output_tokens bigint, trace {_TRACE}")
+_HEAD = ("next bigint, conversation_id bigint, deadline bigint, closed boolean, late bigint, "
+         "waiting bigint, parts bigint, guided boolean, guidance string, sources array<string>")
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def _clean(value):
-    """Arrow value to JSON value."""
+    """A frame's cell as a plain value."""
     if value is None or value is pd.NA or (isinstance(value, float) and value != value):
         return None
-    if hasattr(value, "tolist"):
-        return value.tolist()
+    if isinstance(value, np.ndarray):
+        return [_clean(v) for v in value]
+    if hasattr(value, "asDict"):
+        return tuple(_clean(v) for v in value)
+    if isinstance(value, dict):
+        return {k: _clean(v) for k, v in value.items()}
+    if isinstance(value, np.generic):
+        return value.item()
+    return value
+
+
+def _stored(name: str, value):
+    """A cell as a state value: whole numbers may come as floats beside nulls."""
+    value = _clean(value)
+    if value is None:
+        return None
+    if name in _NUMBERS:
+        return int(value)
+    if name == "trace":
+        entries = (tuple(t.values()) if isinstance(t, dict) else tuple(t) for t in value)
+        return [(s, d, None if n is None else int(n), *rest) for s, d, n, *rest in entries]
     return value
 
 
@@ -42,9 +83,9 @@ def _filled(text) -> bool:
     return bool(text and text.strip())
 
 
-def _fits(body: dict, end: dict, answer) -> bool:
+def _fits(end: dict, answer, sources) -> bool:
     """Same consistency rules as ``operators.runs.completion_is_valid``."""
-    route, sources = end["intent_route"], body["sources"] or []
+    route, sources = end["intent_route"], sources or []
     answered = _filled(answer) and _filled(end["model_id"]) and _filled(end["finish_reason"])
     if end["outcome"] == "completed":
         right = (route == "knowledge_base" and sources) or (
@@ -58,108 +99,187 @@ def _fits(body: dict, end: dict, answer) -> bool:
             and not sources and empty)
 
 
-def _new_body() -> dict:
-    return {"next": 0, "waiting": {}, "parts": [], "guidance": None, "sources": None,
-            "conversation_id": None}
+def _row(key, head: dict, fields: dict) -> pd.DataFrame:
+    full = {"run_id": key, "conversation_id": head["conversation_id"],
+            "late_events": head["late"], **fields}
+    if full.get("trace") is not None:
+        full["trace"] = [dict(zip(_TRACE_FIELDS, t)) for t in full["trace"]]
+    frame = pd.DataFrame([{c: full.get(c) for c in _COLUMNS}])
+    for column in _NUMBERS:
+        frame[column] = frame[column].astype("Int64")
+    return frame
+
 
+class RunFold(StatefulProcessor):
+    """One run per key; see the module's description."""
 
-def _apply(body: dict, event: dict) -> dict | None:
-    """Apply the next event in order; a terminal row (without ids) once the run is decided."""
-    kind = event["kind"]
-    if kind == "content":
-        if body["guidance"] is not None:
-            return {"status": "failed", "error_code": PROTOCOL_ERROR}
-        body["parts"].append(event["text"])
-    elif kind == "guidance":
-        if body["guidance"] is not None or body["parts"]:
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", _HEAD)
+        self.parts = handle.getListState("parts", "text string")
+        self.waiting = handle.getMapState("waiting", "seq bigint", _WAITING)
+
+    def _load(self) -> dict:
+        names = [part.strip().split(" ")[0] for part in _HEAD.split(", ")]
+        stored = self.head.get()
+        if stored is None:
+            return {**dict.fromkeys(names), "next": 0, "closed": False, "late": 0, "waiting": 0,
+                    "parts": 0, "guided": False}
+        return dict(zip(names, stored))
+
+    def _store(self, head: dict) -> None:
+        self.head.update(tuple(head.values()))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
+                        ) -> Iterator[pd.DataFrame]:
+        head = self._load()
+        for frame in rows:
+            terminal = self._take(head, frame)
+            if terminal is not None:
+                yield _row(key[0], head, terminal)
+                # What follows is only counted, until the timer ends the state.
+                head.update(late=0, guidance=None, sources=None, parts=0, waiting=0)
+                self.parts.clear()
+                self.waiting.clear()
+        self._store(head)
+
+    def _take(self, head: dict, frame: pd.DataFrame) -> dict | None:
+        """Apply a frame of events as far as their order allows; a terminal row once decided."""
+        if head["closed"]:
+            head["late"] += len(frame)
+            return None
+        known = frame["conversation_id"].dropna()
+        if head["conversation_id"] is None and len(known):
+            head["conversation_id"] = int(known.iloc[0])
+        begun = int(frame["ts"].min().timestamp() * 1000) + self.timeout_ms
+        if head["deadline"] is None or begun < head["deadline"]:
+            if head["deadline"] is not None:
+                self.handle.deleteTimer(head["deadline"])
+            self.handle.registerTimer(begun)
+            head["deadline"] = begun
+        frame = frame.sort_values("seq", kind="stable", ignore_index=True)
+        seq = frame["seq"].to_numpy(np.int64)
+        fresh = (seq >= head["next"]) & np.append(True, seq[1:] != seq[:-1])
+        head["late"] += int((~fresh).sum())  # repeats of applied or given events
+        frame, seq = frame[fresh].reset_index(drop=True), seq[fresh]
+        while True:
+            ready = int((seq == head["next"] + np.arange(seq.size)).cumprod().sum())
+            if ready:
+                terminal = self._apply(head, frame[:ready])
+                frame, seq = frame[ready:].reset_index(drop=True), seq[ready:]
+                if terminal is not None:
+                    head["closed"] = True
+                    head["late"] += len(frame) + head["waiting"]
+                    return terminal
+            early = self._earlier(head)
+            if early is None:
+                break
+            terminal = self._apply(head, early)
+            if terminal is not None:
+                head["closed"] = True
+                head["late"] += len(frame) + head["waiting"]
+                return terminal
+        for record in frame[_EVENT].to_dict("records"):
+            at = (int(record.pop("seq")),)
+            if self.waiting.containsKey(at):
+                head["late"] += 1
+            else:
+                self.waiting.updateValue(at, tuple(_stored(c, v) for c, v in record.items()))
+                head["waiting"] += 1
+        return None
+
+    def _earlier(self, head: dict) -> pd.DataFrame | None:
+        """The next event, if it is among those that came before their turn."""
+        at = (head["next"],)
+        if not head["waiting"] or not self.waiting.containsKey(at):
+            return None
+        event = dict(zip(_EVENT[1:], self.waiting.getValue(at)))
+        self.waiting.removeKey(at)
+        head["waiting"] -= 1
+        return pd.DataFrame([{"seq": at[0], **event}])
+
+    def _apply(self, head: dict, frame: pd.DataFrame) -> dict | None:
+        """Apply events that follow each other without a gap."""
+        kinds = frame["kind"].to_numpy()
+        ends = np.flatnonzero(np.isin(kinds, TERMINAL_KINDS))
+        stop = int(ends[0]) if ends.size else len(kinds)
+        kinds = kinds[:stop]
+        content = np.flatnonzero(kinds == "content")
+        guides = np.flatnonzero(kinds == "guidance")
+        guided, written = head["guided"], head["parts"] > 0
+        wrong = np.concatenate([
+            content[:1] if guided else content[content > guides[0]][:1] if guides.size else [],
+            guides[:1] if guided or written else
+            guides[(guides > content[0]) if content.size else np.zeros(guides.size, bool)][:1],
+            guides[1:2]])
+        if wrong.size:
+            # What comes after the first wrong event, in this frame, is late.
+            head["late"] += len(frame) - int(wrong.min()) - 1
             return {"status": "failed", "error_code": PROTOCOL_ERROR}
-        body["guidance"] = event["text"]
-    elif kind == "sources":
-        body["sources"] = event["source_ids"]
-    elif kind == "cancel":
-        return {"status": "cancelled", "error_code": CANCELLED_CODE}
-    elif kind == "error":
-        code = (event["text"] or "").strip()
-        usable = 1 <= len(code) <= 100
-        return {"status": "failed", "error_code": code if usable else INTERNAL_ERROR}
-    elif kind == "done":
-        answer = "".join(body["parts"]) if body["parts"] else body["guidance"]
-        if not _fits(body, event, answer):
+        texts = frame["text"]
+        if content.size:
+            self.parts.appendList([(_clean(t) or "",) for t in texts.iloc[content]])
+            head["parts"] += int(content.size)
+        if guides.size:
+            head.update(guided=True, guidance=_clean(texts.iloc[guides[0]]))
+        cited = np.flatnonzero(kinds == "sources")
+        if cited.size:
+            head["sources"] = _clean(frame["source_ids"].iloc[cited[-1]])
+        head["next"] += stop
+        if not ends.size:
+            return None
+        head["late"] += len(frame) - stop - 1
+        return self._end(head, {c: _stored(c, frame[c].iloc[stop]) for c in _EVENT})
+
+    def _end(self, head: dict, event: dict) -> dict:
+        if event["kind"] == "cancel":
+            return {"status": "cancelled", "error_code": CANCELLED_CODE}
+        if event["kind"] == "error":
+            code = (event["text"] or "").strip()
+            usable = 1 <= len(code) <= 100
+            return {"status": "failed", "error_code": code if usable else INTERNAL_ERROR}
+        answer = "".join(p[0] for p in self.parts.get()) if head["parts"] else head["guidance"]
+        if not _fits(event, answer, head["sources"]):
             return {"status": "failed", "error_code": INTERNAL_ERROR}
-        kept = {c: event[c] for c in ("intent_route", "model_id", "finish_reason",
-                                      "input_tokens", "output_tokens")}
         return {"status": event["outcome"], "answer": answer,
-                "source_chunk_ids": body["sources"] or [], **kept}
-    return None
-
+                "source_chunk_ids": list(head["sources"] or []), **{c: event[c] for c in _KEPT}}
 
-def _row(key, body: dict, fields: dict, late: int) -> pd.DataFrame:
-    full = {"run_id": key, "conversation_id": body["conversation_id"], "late_events": late,
-            **fields}
-    frame = pd.DataFrame([{c: full.get(c) for c in _COLUMNS}])
-    for column in ("run_id", "conversation_id", "input_tokens", "output_tokens", "late_events"):
-        frame[column] = frame[column].astype("Int64")
-    return frame
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        head = self._load()
+        self.head.clear()
+        self.parts.clear()
+        self.waiting.clear()
+        if not head["closed"]:
+            yield _row(key[0], head, {"status": "failed", "error_code": TIMEOUT_CODE})
+        elif head["late"]:
+            yield _row(key[0], head, {"status": "late_events"})
 
+    def close(self) -> None:
+        pass
 
-def _fold(timeout_ms: int):
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            text, _, closed, late = state.get
-            state.remove()
-            body = json.loads(text)
-            if not closed:
-                yield _row(key[0], body, {"status": "failed", "error_code": TIMEOUT_CODE}, late)
-            elif late:
-                yield _row(key[0], body, {"status": "late_events"}, late)
-            return
-        body, deadline, closed, late = _new_body(), None, False, 0
-        if state.exists:
-            text, deadline, closed, late = state.get
-            body = json.loads(text)
-        terminal = None
-        for batch in batches:
-            for record in batch.to_dict("records"):
-                if closed:
-                    late += 1
-                    continue
-                event = {k: _clean(v) for k, v in record.items() if k != "ts"}
-                begun = int(record["ts"].timestamp() * 1000) + timeout_ms
-                deadline = begun if deadline is None else min(deadline, begun)
-                body["conversation_id"] = event["conversation_id"]
-                body["waiting"][str(int(event["seq"]))] = event
-        while not closed and str(body["next"]) in body["waiting"]:
-            event = body["waiting"].pop(str(body["next"]))
-            body["next"] += 1
-            terminal = _apply(body, event)
-            if terminal is not None:
-                closed, late = True, late + len(body["waiting"])
-                body = {**_new_body(), "conversation_id": body["conversation_id"]}
-        state.update((json.dumps(body), deadline, closed, late))
-        # A closed run stays until its deadline only to recognise late events.
-        watermark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(deadline, watermark + 1))
-        if terminal is not None:
-            yield _row(key[0], body, terminal, late)
-            state.update((json.dumps(body), deadline, True, 0))
-            state.setTimeoutTimestamp(max(deadline, watermark + 1))
 
-    return fold
+def use_state_store(spark: SparkSession) -> None:
+    """Typed state lives in the embedded store on the workers' disks, not in their heaps."""
+    spark.conf.set(*STATE_STORE)
 
 
 def fold_runs_stream(events: DataFrame, delay: str = "30 seconds",
                      timeout_seconds: int = RUN_TIMEOUT_SECONDS) -> DataFrame:
     """Terminal run rows from a stream of run events with an event-time column ``ts``.
 
-    Output columns as in ``OUTPUT``. ``late_events`` counts what followed the terminal event; a
-    row of status ``late_events`` reports those that came in later batches.
+    Output columns as in ``OUTPUT``. ``late_events`` counts what came after the event that closed
+    the run, and repeats of a sequence number; a row of status ``late_events`` reports those of
+    later batches when the run's time limit has passed. Sets the session's state store (see
+    ``use_state_store``), which a query started from it then uses.
     """
-    columns = ["run_id", "conversation_id", "seq", "kind", "text", "outcome", "intent_route",
-               "model_id", "finish_reason", "input_tokens", "output_tokens", "source_ids", "ts"]
+    use_state_store(events.sparkSession)
+    columns = ["run_id", "conversation_id", *_EVENT, "ts"]
     return (
         events.select(*columns)
         .withWatermark("ts", delay)
         .groupBy("run_id")
-        .applyInPandasWithState(_fold(timeout_seconds * 1000), OUTPUT, _STATE, "append",
-                                GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(RunFold(timeout_seconds * 1000), OUTPUT, "append", "eventTime")
     )

@@ -1,8 +1,9 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from askgrid.operators.runs import EVENT_SCHEMA
+from askgrid.operators.runs import EVENT_SCHEMA, fold_runs
 from askgrid.streaming.ingest import (
     file_stream, ingest_batch, ingest_stream, read_active_chunks, read_heads, read_versions,
 )
@@ -59,6 +60,43 @@ def test_late_events_are_counted_not_applied(spark, tmp_path):
         ("completed", "a", 0), ("late_events", None, 2)]
 
 
+def random_run(rng, run):
+    """Events of a run: valid and broken orders, sometimes events after its end."""
+    kinds = [rng.choice(["begin", "content", "content", "content", "sources", "guidance"])
+             for _ in range(rng.randrange(1, 9))]
+    kinds += [rng.choice(["done", "done", "done", "error", "cancel"])]
+    kinds += ["content"] * rng.choice([0, 0, 2])
+    trace = [("retrieve", 2.5, 3, None, None), ("answer", 1.0, None, "slow", "kept")]
+    return [event(run, i, k, text=f"{run}-{i};", **(
+        {**DONE, "trace": trace} if k == "done" else {}), **(
+        {"source_ids": ["s", str(i)]} if k == "sources" else {})) for i, k in enumerate(kinds)]
+
+
+def test_stream_equals_the_batch_fold_over_shuffled_batches_and_restarts(spark, tmp_path):
+    rng = random.Random(17)
+    events = [at(e, rng.randrange(20)) for run in range(40) for e in random_run(rng, run)]
+    rng.shuffle(events)
+    cuts = sorted(rng.sample(range(len(events)), 5))
+    batches = [events[a:b] for a, b in zip([0, *cuts], [*cuts, len(events)])]
+    # Batches overlap in time by far more than a run lasts; a repeat is given twice.
+    batches[-1] = [*batches[-1], batches[0][0], at(event(99, 0, "begin"), 21)]
+    out = run_stream(spark, tmp_path, batches, delay="10 minutes", timeout_seconds=3600)
+    fields = ("run_id", "conversation_id", "status", "answer", "source_chunk_ids", "trace",
+              "model_id", "output_tokens", "error_code")
+    schema = EVENT_SCHEMA + ", ts timestamp"
+    want = fold_runs(spark.createDataFrame(events, schema).drop("ts"))
+    got = out.where("status <> 'late_events'")
+    assert rows(got, *fields) == rows(want, *fields)
+    assert {r.status for r in got.collect()} >= {"completed", "failed", "cancelled"}
+
+
+def test_a_long_run_is_one_answer(spark, tmp_path):
+    parts = [at(event(1, i, "content", f"{i};"), i % 30) for i in range(3000)]
+    done = at(event(1, 3000, "done", **DONE), 40)
+    out = run_stream(spark, tmp_path, [parts[1500:], parts[:1500], [done]], timeout_seconds=600)
+    assert out.first().answer == "".join(f"{i};" for i in range(3000))
+
+
 def test_ingest_versions_and_replays(spark, tmp_path):
     root = str(tmp_path / "kb")
     schema = ("knowledge_base_id string, source_key string, filename string, media_type string, "
