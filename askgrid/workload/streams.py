@@ -173,6 +173,9 @@ def _f8l(spark, d):
 
 # --- ingest ---------------------------------------------------------------------------------
 
+UPLOADS = 3
+
+
 def _uploads(rows):
     return rows.select(
         F.col("lang").alias("knowledge_base_id"), F.col("source").alias("source_key"),
@@ -193,9 +196,18 @@ select lang as knowledge_base_id, source as source_key, v as version_number,
     as active_chunks
 from docs""")
 def _h1(spark, d):
+    """Documents arrive by id in several micro-batches; the stream starts anew for each."""
     folder = shared_folder(spark)
-    _finish(ingest_stream(_uploads(stream_table(spark, d, "documents")), f"{folder}/kb",
-                          f"{folder}/state", available_now=True, dimension=64))
+    source = f"{folder}/in"
+    docs = table(spark, d, "documents")
+    first, last = (docs.agg(f("doc_id")).scalar() for f in (F.min, F.max))
+    place = F.floor((F.col("doc_id") - first) * UPLOADS / (last - first + 1))
+    for batch in range(UPLOADS):
+        docs.where(place == batch).write.parquet(f"{source}/b{batch}")
+        rows = spark.readStream.schema(docs.schema).option(
+            "recursiveFileLookup", "true").parquet(source)
+        _finish(ingest_stream(_uploads(rows), f"{folder}/kb", f"{folder}/state",
+                              available_now=True, dimension=64))
     counts = read_active_chunks(spark, f"{folder}/kb").groupBy("version_id").agg(
         F.count(F.lit(1)).alias("active_chunks"))
     return read_versions(spark, f"{folder}/kb").join(counts, "version_id", "left").select(
