@@ -173,7 +173,7 @@ def _f8l(spark, d):
 
 # --- ingest ---------------------------------------------------------------------------------
 
-UPLOADS = 3
+UPLOADS = 2
 
 
 def _uploads(rows):
