@@ -124,7 +124,7 @@ folded as (
 
 
 #: Events arrive up to half a day late, in so many batches with a restart after each.
-ARRIVALS, LATEST = 4, 12 * 3600
+ARRIVALS, LATEST = 2, 12 * 3600
 
 
 def _arrived(rows):
