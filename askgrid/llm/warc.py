@@ -11,6 +11,7 @@ will do. ``RECORDS_PER_FILE`` segments of bounded size bound the size of a file.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,8 +39,14 @@ _RECORD_ARROW = pa.schema([
     ("refers_to", pa.int64()), ("block", pa.binary())])
 
 
+#: The type of what is no whole record.
+DAMAGED = "damaged"
+
 # --- framing ------------------------------------------------------------------------------------
 
+_SIZE = re.compile(rb"[0-9A-Fa-f]+")
+
+
 def chunk_body(body: bytes, size: int = TRANSFER_CHUNK) -> bytes:
     """``body`` in chunked transfer framing."""
     out = []
@@ -56,11 +63,10 @@ def decode_chunked(framed: bytes) -> bytes | None:
         line = framed.find(b"\r\n", at)
         if line < 0:
             return None
-        try:
-            size = int(framed[at:line].split(b";")[0], 16)
-        except ValueError:
+        digits = framed[at:line].split(b";")[0].strip()
+        if not _SIZE.fullmatch(digits):  # no sign, so that reading always moves on
             return None
-        at = line + 2
+        size, at = int(digits, 16), line + 2
         if size == 0:
             return b"".join(out)
         if framed[at + size:at + size + 2] != b"\r\n":
@@ -177,27 +183,29 @@ def write_warc(
 
 # --- reading ------------------------------------------------------------------------------------
 
-def parse_records(archive: bytes) -> Iterator[dict]:
-    """The records of one unpacked archive, by their declared lengths."""
-    at, end = 0, len(archive)
-    while at < end:
-        stop = archive.find(b"\r\n\r\n", at)
-        if stop < 0 or not archive.startswith(b"WARC/", at):
-            raise ValueError(f"no record head at byte {at}")
-        head = {}
-        for line in archive[at:stop].split(b"\r\n")[1:]:
-            key, _, value = line.partition(b":")
-            head[key.decode("utf-8").strip().lower()] = value.decode("utf-8").strip()
-        lo = stop + 4
-        hi = lo + int(head["content-length"])
-        if hi > end:
-            raise ValueError(f"record at byte {at} is cut off")
-
-        def number(key: str) -> int | None:
-            return int(head[key]) if key in head else None
-
-        refers = head.get("warc-refers-to")
-        yield {
+_FIELDS = ("record_id", "origin_id", "segment", "total_length", "warc_type", "page_id", "url",
+           "payload_bytes", "payload_digest", "refers_to")
+_START = b"\r\n\r\nWARC/"
+
+
+def _record_at(archive: bytes, at: int) -> tuple[dict, int] | None:
+    """The record that starts at a byte and the byte behind it; None if it is damaged."""
+    stop = archive.find(b"\r\n\r\n", at)
+    if stop < 0 or not archive.startswith(b"WARC/", at):
+        return None
+    head = {}
+    for line in archive[at:stop].split(b"\r\n")[1:]:
+        key, _, value = line.partition(b":")
+        head[key.decode("utf-8", "replace").strip().lower()] = value.decode(
+            "utf-8", "replace").strip()
+
+    def number(key: str) -> int | None:
+        return int(head[key]) if key in head else None
+
+    refers = head.get("warc-refers-to")
+    try:
+        size = int(head["content-length"])
+        record = {
             "record_id": head.get("warc-record-id"),
             "origin_id": head.get("warc-segment-origin-id"),
             "segment": number("warc-segment-number"),
@@ -208,9 +216,32 @@ def parse_records(archive: bytes) -> Iterator[dict]:
             "payload_bytes": number("payload-length"),
             "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None,
             "refers_to": int(refers.rpartition(":")[2].rstrip(">")) if refers else None,
-            "block": archive[lo:hi],
         }
-        at = hi
+    except (KeyError, ValueError):
+        return None
+    lo, hi = stop + 4, stop + 4 + size
+    if size < 0 or hi > len(archive):
+        return None
+    return {**record, "block": archive[lo:hi]}, hi
+
+
+def parse_records(archive: bytes) -> Iterator[dict]:
+    """The records of one unpacked archive, by their declared lengths.
+
+    Bytes that are no whole record (a head without length or with odd numbers, a record cut off,
+    anything between records) are one record of type ``damaged`` up to the next record start.
+    """
+    at, end = 0, len(archive)
+    while at < end:
+        found = _record_at(archive, at)
+        if found is None:
+            following = archive.find(_START, at)
+            stop = end if following < 0 else following + 4
+            yield {**dict.fromkeys(_FIELDS), "warc_type": DAMAGED, "block": archive[at:stop]}
+            at = stop
+            continue
+        record, at = found
+        yield record
         while archive[at:at + 2] == b"\r\n":
             at += 2
 
@@ -222,7 +253,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed, unpacked = content.as_py(), []
             while packed:  # an archive may hold one gzip member or one for each record
                 member = zlib.decompressobj(31)
-                unpacked.append(member.decompress(packed))
+                try:
+                    unpacked.append(member.decompress(packed))
+                except zlib.error:  # what cannot be unpacked is a damaged record as it stands
+                    unpacked.append(packed)
+                    break
                 packed = member.unused_data
             held, size = [], 0
             for record in parse_records(b"".join(unpacked)):
@@ -249,7 +284,8 @@ def reassemble(records: DataFrame) -> DataFrame:
     """
     facts = ["warc_type", "page_id", "url", "payload_bytes", "payload_digest", "refers_to"]
     single = records.where("segment is null").select(
-        "record_id", *facts, F.array("block").alias("blocks"), F.lit(True).alias("complete"))
+        "record_id", *facts, F.array("block").alias("blocks"),
+        (~F.col("warc_type").eqNullSafe(DAMAGED)).alias("complete"))
     grouped = (
         records.where("segment is not null")
         .groupBy(F.coalesce("origin_id", "record_id").alias("record_id"))
@@ -302,7 +338,8 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> Dat
 
     Size and digest of a response are measured on its decoded payload, and ``valid`` says whether
     it is whole and agrees with the digest in its head; a revisit has those of its head. A record
-    that is not whole keeps its row, with null size and digest and ``valid`` false.
+    that is not whole keeps its row, with null size and digest and ``valid`` false; so does a damaged
+    stretch of an archive, as a record of type ``damaged``.
     """
     schema = ("page_id bigint, url string, payload_bytes bigint, payload_digest string, "
               "record_type string, refers_to bigint, valid boolean"

@@ -258,3 +258,34 @@ def test_damaged_segments_are_reported(spark):
     assert not records((1, None, a), (2, len(message) + 1, b))[0][0]
     assert not records((1, None, a), (3, len(message), b))[0][0]
     assert not records((1, None, a), (2, None, b))[0][0]
+
+
+def test_damaged_archives_become_rows(spark, tmp_path):
+    import gzip
+
+    assert warc.decode_chunked(b"-6\r\n" + b"x" * 20) is None
+    assert warc.decode_chunked(b"+3\r\nabc\r\n0\r\n\r\n") is None
+    assert warc.decode_chunked(b"3;a=b\r\nabc\r\n0\r\n\r\n") == b"abc"
+
+    def record(page, length=None, **more):
+        block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+        head = {"WARC-Type": "response", "page-id": page, "WARC-Payload-Digest":
+                "sha1:" + hashlib.sha1(b"body").hexdigest(),
+                "Content-Length": len(block) if length is None else length, **more}
+        lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v != "")
+        return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    archives = {
+        "good": record(1) + record(2),
+        "cut": record(3) + record(4, length=10_000),
+        "headless": record(5, length="") + record(6) + b"junk\r\n\r\n" + record(7),
+        "odd": record(8, length=-4) + record("x") + record(9),
+    }
+    for name, content in archives.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(gzip.compress(content))
+    (tmp_path / "broken.warc.gz").write_bytes(b"no archive at all")
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r.page_id for r in got if r.valid) == [1, 2, 3, 6, 7, 9]
+    bad = [r for r in got if not r.valid]
+    assert {r.record_type for r in bad} == {"damaged"} and len(bad) == 6
+    assert all(r.payload_bytes is None for r in bad)
