@@ -7,8 +7,8 @@ State per run, in typed variables, so that an event touches only what it changes
 * ``waiting``: events that arrived before their turn, by sequence number;
 * an event-time timer at the run's time limit, which also ends the life of a closed run's state.
 
-Events are applied in ``seq`` order (0, 1, 2, ...). A frame of a run's events is applied as a whole,
-by array operations over its kinds. The first terminal event or protocol error closes the run and
+Events are applied in ``seq`` order (0, 1, 2, ...); what one batch brings is put into the state
+once, at its end, and a run that ends within a batch never stores its texts. The first terminal event or protocol error closes the run and
 emits its row; a run still open ``timeout`` after its first event fails with ``global_timeout``.
 """
 
@@ -16,20 +16,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from askgrid.operators.runs import (CANCELLED_CODE, DONE_FIELDS, INTERNAL_ERROR, PROTOCOL_ERROR,
-                                    TERMINAL_KINDS)
+from askgrid.operators.runs import (CANCELLED_CODE, DONE_FIELDS, INTERNAL_ERROR,
+                                    PROTOCOL_ERROR)
 
 # Fixed value: seconds a run may stay open.
 RUN_TIMEOUT_SECONDS = 120
 TIMEOUT_CODE = "global_timeout"
 _TRACE = ("array<struct<stage:string,duration_ms:double,candidate_count:bigint,"
           "degradation_reason:string,decision:string>>")
-_TRACE_FIELDS = ("stage", "duration_ms", "candidate_count", "degradation_reason", "decision")
 OUTPUT = (
     "run_id bigint, conversation_id bigint, status string, answer string, "
     "source_chunk_ids array<string>, intent_route string, model_id string, "
@@ -39,7 +37,8 @@ OUTPUT = (
 _COLUMNS = ["run_id", "conversation_id", "status", "answer", "source_chunk_ids", "intent_route",
             "model_id", "finish_reason", "input_tokens", "output_tokens", "trace", "error_code",
             "late_events"]
-_NUMBERS = ("run_id", "conversation_id", "input_tokens", "output_tokens", "late_events")
+#: Events or texts of one run held before they go to the state.
+HELD = 10_000
 _KEPT = [f for f in DONE_FIELDS if f != "outcome"]
 _EVENT = ["seq", "kind", "text", "source_ids", *DONE_FIELDS]
 _WAITING = ("kind string, text string, source_ids array<string>, outcome string, "
@@ -51,34 +50,6 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _clean(value):
-    """A frame's cell as a plain value."""
-    if value is None or value is pd.NA or (isinstance(value, float) and value != value):
-        return None
-    if isinstance(value, np.ndarray):
-        return [_clean(v) for v in value]
-    if hasattr(value, "asDict"):
-        return tuple(_clean(v) for v in value)
-    if isinstance(value, dict):
-        return {k: _clean(v) for k, v in value.items()}
-    if isinstance(value, np.generic):
-        return value.item()
-    return value
-
-
-def _stored(name: str, value):
-    """A cell as a state value: whole numbers may come as floats beside nulls."""
-    value = _clean(value)
-    if value is None:
-        return None
-    if name in _NUMBERS:
-        return int(value)
-    if name == "trace":
-        entries = (tuple(t.values()) if isinstance(t, dict) else tuple(t) for t in value)
-        return [(s, d, None if n is None else int(n), *rest) for s, d, n, *rest in entries]
-    return value
-
-
 def _filled(text) -> bool:
     return bool(text and text.strip())
 
@@ -99,15 +70,10 @@ def _fits(end: dict, answer, sources) -> bool:
             and not sources and empty)
 
 
-def _row(key, head: dict, fields: dict) -> pd.DataFrame:
+def _row(key, head: dict, fields: dict) -> Row:
     full = {"run_id": key, "conversation_id": head["conversation_id"],
             "late_events": head["late"], **fields}
-    if full.get("trace") is not None:
-        full["trace"] = [dict(zip(_TRACE_FIELDS, t)) for t in full["trace"]]
-    frame = pd.DataFrame([{c: full.get(c) for c in _COLUMNS}])
-    for column in _NUMBERS:
-        frame[column] = frame[column].astype("Int64")
-    return frame
+    return Row(**{c: full.get(c) for c in _COLUMNS})
 
 
 class RunFold(StatefulProcessor):
@@ -133,121 +99,124 @@ class RunFold(StatefulProcessor):
     def _store(self, head: dict) -> None:
         self.head.update(tuple(head.values()))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
-                        ) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         head = self._load()
-        for frame in rows:
-            terminal = self._take(head, frame)
+        texts: list[str] = []  # content of this batch, not yet in the state
+        early: dict[int, Row] = {}  # events of this batch before their turn
+        terminal, begun = None, None
+        for row in rows:
+            if head["closed"]:
+                head["late"] += 1
+                continue
+            begun = row.at if begun is None else min(begun, row.at)
+            if head["conversation_id"] is None:
+                head["conversation_id"] = row.conversation_id
+            if row.seq < head["next"] or row.seq in early:
+                head["late"] += 1  # a repeat
+                continue
+            if row.seq > head["next"]:
+                early[row.seq] = row
+                if len(early) == HELD:
+                    self._wait(head, early)
+                continue
+            event = row
+            while event is not None and terminal is None:
+                terminal = self._apply(head, event, texts)
+                event = self._following(head, early)
             if terminal is not None:
-                yield _row(key[0], head, terminal)
-                # What follows is only counted, until the timer ends the state.
-                head.update(late=0, guidance=None, sources=None, parts=0, waiting=0)
+                head["closed"] = True
+                head["late"] += len(early) + head["waiting"] + (event is not None)
+            elif len(texts) >= HELD:
+                self._append(head, texts)
+        self._time(head, begun)
+        if terminal is None:
+            self._append(head, texts)
+            self._wait(head, early)
+        else:
+            yield _row(key[0], {**head}, terminal)
+            if head["parts"]:
                 self.parts.clear()
+            if head["waiting"]:
                 self.waiting.clear()
+            # What follows is only counted, until the timer ends the state.
+            head.update(late=0, guidance=None, sources=None, parts=0, waiting=0)
         self._store(head)
 
-    def _take(self, head: dict, frame: pd.DataFrame) -> dict | None:
-        """Apply a frame of events as far as their order allows; a terminal row once decided."""
-        if head["closed"]:
-            head["late"] += len(frame)
-            return None
-        known = frame["conversation_id"].dropna()
-        if head["conversation_id"] is None and len(known):
-            head["conversation_id"] = int(known.iloc[0])
-        begun = int(frame["ts"].min().timestamp() * 1000) + self.timeout_ms
-        if head["deadline"] is None or begun < head["deadline"]:
+    def _time(self, head: dict, begun: int | None) -> None:
+        """Set the timer to the limit after the earliest event."""
+        if begun is None:
+            return
+        deadline = begun + self.timeout_ms
+        if head["deadline"] is None or deadline < head["deadline"]:
             if head["deadline"] is not None:
                 self.handle.deleteTimer(head["deadline"])
-            self.handle.registerTimer(begun)
-            head["deadline"] = begun
-        frame = frame.sort_values("seq", kind="stable", ignore_index=True)
-        seq = frame["seq"].to_numpy(np.int64)
-        fresh = (seq >= head["next"]) & np.append(True, seq[1:] != seq[:-1])
-        head["late"] += int((~fresh).sum())  # repeats of applied or given events
-        frame, seq = frame[fresh].reset_index(drop=True), seq[fresh]
-        while True:
-            ready = int((seq == head["next"] + np.arange(seq.size)).cumprod().sum())
-            if ready:
-                terminal = self._apply(head, frame[:ready])
-                frame, seq = frame[ready:].reset_index(drop=True), seq[ready:]
-                if terminal is not None:
-                    head["closed"] = True
-                    head["late"] += len(frame) + head["waiting"]
-                    return terminal
-            early = self._earlier(head)
-            if early is None:
-                break
-            terminal = self._apply(head, early)
-            if terminal is not None:
-                head["closed"] = True
-                head["late"] += len(frame) + head["waiting"]
-                return terminal
-        for record in frame[_EVENT].to_dict("records"):
-            at = (int(record.pop("seq")),)
-            if self.waiting.containsKey(at):
+            self.handle.registerTimer(deadline)
+            head["deadline"] = deadline
+
+    def _append(self, head: dict, texts: list[str]) -> None:
+        if texts:
+            self.parts.appendList([(t,) for t in texts])
+            head["parts"] += len(texts)
+            texts.clear()
+
+    def _wait(self, head: dict, early: dict[int, Row]) -> None:
+        """Put events that came before their turn into the state."""
+        known = head["waiting"] > 0
+        for seq, row in early.items():
+            if known and self.waiting.containsKey((seq,)):
                 head["late"] += 1
-            else:
-                self.waiting.updateValue(at, tuple(_stored(c, v) for c, v in record.items()))
-                head["waiting"] += 1
-        return None
-
-    def _earlier(self, head: dict) -> pd.DataFrame | None:
-        """The next event, if it is among those that came before their turn."""
-        at = (head["next"],)
-        if not head["waiting"] or not self.waiting.containsKey(at):
+                continue
+            self.waiting.updateValue((seq,), tuple(row[c] for c in _EVENT[1:]))
+            head["waiting"] += 1
+        early.clear()
+
+    def _following(self, head: dict, early: dict[int, Row]) -> Row | None:
+        """The next event, if it came before its turn."""
+        at = head["next"]
+        if at in early:
+            return early.pop(at)
+        if not head["waiting"] or not self.waiting.containsKey((at,)):
             return None
-        event = dict(zip(_EVENT[1:], self.waiting.getValue(at)))
-        self.waiting.removeKey(at)
+        event = Row(**dict(zip(_EVENT[1:], self.waiting.getValue((at,)))))
+        self.waiting.removeKey((at,))
         head["waiting"] -= 1
-        return pd.DataFrame([{"seq": at[0], **event}])
-
-    def _apply(self, head: dict, frame: pd.DataFrame) -> dict | None:
-        """Apply events that follow each other without a gap."""
-        kinds = frame["kind"].to_numpy()
-        ends = np.flatnonzero(np.isin(kinds, TERMINAL_KINDS))
-        stop = int(ends[0]) if ends.size else len(kinds)
-        kinds = kinds[:stop]
-        content = np.flatnonzero(kinds == "content")
-        guides = np.flatnonzero(kinds == "guidance")
-        guided, written = head["guided"], head["parts"] > 0
-        wrong = np.concatenate([
-            content[:1] if guided else content[content > guides[0]][:1] if guides.size else [],
-            guides[:1] if guided or written else
-            guides[(guides > content[0]) if content.size else np.zeros(guides.size, bool)][:1],
-            guides[1:2]])
-        if wrong.size:
-            # What comes after the first wrong event, in this frame, is late.
-            head["late"] += len(frame) - int(wrong.min()) - 1
-            return {"status": "failed", "error_code": PROTOCOL_ERROR}
-        texts = frame["text"]
-        if content.size:
-            self.parts.appendList([(_clean(t) or "",) for t in texts.iloc[content]])
-            head["parts"] += int(content.size)
-        if guides.size:
-            head.update(guided=True, guidance=_clean(texts.iloc[guides[0]]))
-        cited = np.flatnonzero(kinds == "sources")
-        if cited.size:
-            head["sources"] = _clean(frame["source_ids"].iloc[cited[-1]])
-        head["next"] += stop
-        if not ends.size:
-            return None
-        head["late"] += len(frame) - stop - 1
-        return self._end(head, {c: _stored(c, frame[c].iloc[stop]) for c in _EVENT})
-
-    def _end(self, head: dict, event: dict) -> dict:
-        if event["kind"] == "cancel":
+        return event
+
+    def _apply(self, head: dict, event: Row, texts: list[str]) -> dict | None:
+        """Apply the event whose turn it is; the fields of a terminal row once decided."""
+        kind = event.kind
+        written = head["parts"] > 0 or bool(texts)
+        head["next"] += 1
+        if kind == "content":
+            if head["guided"]:
+                return {"status": "failed", "error_code": PROTOCOL_ERROR}
+            texts.append(event.text or "")
+        elif kind == "guidance":
+            if head["guided"] or written:
+                return {"status": "failed", "error_code": PROTOCOL_ERROR}
+            head.update(guided=True, guidance=event.text)
+        elif kind == "sources":
+            head["sources"] = event.source_ids
+        elif kind == "cancel":
             return {"status": "cancelled", "error_code": CANCELLED_CODE}
-        if event["kind"] == "error":
-            code = (event["text"] or "").strip()
+        elif kind == "error":
+            code = (event.text or "").strip()
             usable = 1 <= len(code) <= 100
             return {"status": "failed", "error_code": code if usable else INTERNAL_ERROR}
-        answer = "".join(p[0] for p in self.parts.get()) if head["parts"] else head["guidance"]
-        if not _fits(event, answer, head["sources"]):
-            return {"status": "failed", "error_code": INTERNAL_ERROR}
-        return {"status": event["outcome"], "answer": answer,
-                "source_chunk_ids": list(head["sources"] or []), **{c: event[c] for c in _KEPT}}
+        elif kind == "done":
+            answer = head["guidance"]
+            if written:
+                stored = (p[0] for p in self.parts.get()) if head["parts"] else ()
+                answer = "".join([*stored, *texts])
+            end = {c: event[c] for c in DONE_FIELDS}
+            if not _fits(end, answer, head["sources"]):
+                return {"status": "failed", "error_code": INTERNAL_ERROR}
+            return {"status": end["outcome"], "answer": answer,
+                    "source_chunk_ids": list(head["sources"] or []),
+                    **{c: end[c] for c in _KEPT}}
+        return None
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         head = self._load()
         self.head.clear()
         self.parts.clear()
@@ -278,8 +247,8 @@ def fold_runs_stream(events: DataFrame, delay: str = "30 seconds",
     use_state_store(events.sparkSession)
     columns = ["run_id", "conversation_id", *_EVENT, "ts"]
     return (
-        events.select(*columns)
+        events.select(*columns, F.unix_millis("ts").alias("at"))
         .withWatermark("ts", delay)
         .groupBy("run_id")
-        .transformWithStateInPandas(RunFold(timeout_seconds * 1000), OUTPUT, "append", "eventTime")
+        .transformWithState(RunFold(timeout_seconds * 1000), OUTPUT, "append", "eventTime")
     )
