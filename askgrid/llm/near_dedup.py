@@ -1,6 +1,8 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-A text is the set of its five-word shingles, weighted by ``1 + log2(occurrences)``. Every shingle is
+A text is the set of its five-word shingles, weighted by how often they occur: from 1 for one
+occurrence up to ``1 + REPEATS``, which no number of occurrences exceeds. Links are decided on plain
+sets, so weights that could grow would hide a pair of which one side repeats a line. Every shingle is
 a Poisson process with its weight as rate, whose arrivals fall on random registers; a register keeps
 the shingle of its earliest arrival, so two registers agree with the probability Jaccard similarity
 of the weighted sets. A shingle's arrivals are generated only until they come later than every
@@ -10,6 +12,7 @@ Equal texts are collapsed first. Signatures are cut into bands; texts that share
 bucket. No bucket is expanded into all its pairs: each member is verified against the bucket's leader, the
 links are contracted to components, and only where a bucket holds several components are members
 outside the leader's compared with the rest, in cells of bounded size that return links only.
+A text is known by its smallest id and its hash, so unlike texts that share an id stay apart.
 Verification is exact: the Jaccard similarity of the shingle sets must reach the threshold.
 """
 
@@ -21,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.llm.components import components
@@ -32,6 +35,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 26
 ROWS = 5
+#: How much the weight of a shingle can rise by repeats.
+REPEATS = 0.25
 CELL_MEMBERS = 1_000
 #: Text per signature batch: its rounds cost the same for a small one.
 SLICE_BYTES = 4 << 20
@@ -153,7 +158,7 @@ def _signatures(words: int, bands: int, rows: int):
                 packed = packed[fresh]
                 owner = (packed >> np.uint64(44)).astype(np.int64)
                 signature = prob_minhash(
-                    _mix(packed & np.uint64(_MASK)), 1.0 + np.log2(np.maximum(counts, 1)),
+                    _mix(packed & np.uint64(_MASK)), 1.0 + REPEATS * (1.0 - 1.0 / counts),
                     owner, size, bands * rows).reshape(size, bands, rows)
                 code = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _ODD[2],
                                        (size, bands)).copy()
@@ -228,7 +233,7 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 def _cell_links(similarity: float):
     """Links between the two sides of a cell: for each member one per component it reaches."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -238,17 +243,19 @@ def _cell_links(similarity: float):
             hashes = table.column("hashes").combine_chunks()
             offsets = hashes.offsets.to_numpy()
             flat = hashes.values.to_numpy(zero_copy_only=False)
-            sides.append((table.column("id").to_numpy(), table.column("root").to_numpy(),
+            sides.append((table.column("id").to_pylist(), table.column("root").to_pylist(),
                           [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]))
         (ids_x, root_x, x), (ids_y, root_y, y) = sides
-        if len(set(root_x.tolist()) | set(root_y.tolist())) == 1:
+        number = {root: i for i, root in enumerate({*root_x, *root_y})}
+        if len(number) == 1:
             return schema.empty_table()
+        root_x, root_y = (np.array([number[r] for r in roots]) for roots in (root_x, root_y))
         shared = _overlaps(x, y)
         total = np.array([s.size for s in x])[:, None] + np.array([s.size for s in y]) - shared
         row, column = np.nonzero(
             (shared >= similarity * total - 1e-9) & (root_x[:, None] != root_y))
         pairs = {(int(r), int(root_y[c])): int(c) for r, c in zip(row, column)}
-        ends = [(int(ids_x[r]), int(ids_y[c])) for (r, _), c in pairs.items()]
+        ends = [(ids_x[r], ids_y[c]) for (r, _), c in pairs.items()]
         return pa.table([[min(e) for e in ends], [max(e) for e in ends]], schema=schema)
 
     return run
@@ -257,53 +264,54 @@ def _cell_links(similarity: float):
 def _missing_links(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links that the stars did not see, from ``band, id, root, outside``.
 
-    Only buckets with members outside the leader's component take part. A bucket of many members
-    becomes several cells: both sides are dealt to slabs by hash and each pair of slabs is a task.
+    Only buckets with members outside the leader's component take part. Members outside are dealt to
+    slabs by hash, and so are all members; each pair of slabs is a task. A bucket with few members
+    outside copies its members only as often as those fill slabs.
     """
     mixed = placed.groupBy("band").agg(
-        F.ceil(F.count(F.lit(1)) / CELL_MEMBERS).cast("int").alias("slabs"),
-        F.bool_or("outside").alias("any")).where("any").drop("any")
-    rows = placed.join(mixed, "band").join(sets, "id").select(
-        "band", "id", "root", "outside", "hashes", "slabs",
-        F.pmod(F.xxhash64("id"), F.col("slabs")).cast("int").alias("own"),
-        F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("other"))
+        F.ceil(F.count_if("outside") / CELL_MEMBERS).cast("int").alias("lefts"),
+        F.ceil(F.count(F.lit(1)) / CELL_MEMBERS).cast("int").alias("rights")).where("lefts > 0")
+    rows = placed.join(mixed, "band").join(sets, "id")
+
+    def own(slabs: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(slabs)).cast("int")
+
+    def every(slabs: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(slabs) - 1))
+
     left = rows.where("outside").select(
-        "band", F.col("own").alias("i"), F.col("other").alias("j"), "id", "root", "hashes")
+        "band", own("lefts").alias("i"), every("rights").alias("j"), "id", "root", "hashes")
+    # Columns of its own, or the two sides of the cogroup count as one.
     right = rows.select(
-        *[F.col(c).alias(n) for c, n in (("band", "band"), ("other", "i"), ("own", "j"),
-                                         ("id", "id"), ("root", "root"), ("hashes", "hashes"))])
+        F.col("band").alias("band"), every("lefts").alias("i"), own("rights").alias("j"),
+        F.col("id").alias("id"), F.col("root").alias("root"), F.col("hashes").alias("hashes"))
     cell = ["band", "i", "j"]
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(
-        _cell_links(similarity), "a bigint, b bigint").distinct()
+        _cell_links(similarity), "a binary, b binary").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    similarity: float = SIMILARITY,
-    words: int = WORDS,
-    bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """``doc_id, class_id`` of every row; a class is named by its smallest id.
+def _node(doc_id: Column, text_key: Column) -> Column:
+    """16 bytes that sort by id, then by text hash."""
+    flipped = doc_id.bitwiseXOR(F.lit(-(1 << 63)))
+    return F.unhex(F.concat(F.lpad(F.hex(flipped), 16, "0"), F.substring(text_key, 1, 16)))
 
-    Two texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of at
-    least ``similarity``; a class is a component of links. Equal texts are always in one class, so
-    empty texts (and nulls, which count as empty) are one class. Different texts without any word
-    are not linked. A row with a null id has the class of the equal texts that have ids, else null.
-    Repeated rows are copies. Ids name texts: an id that comes with several texts is compared by
-    one of them. Other columns are not read. An empty table gives no rows.
-    """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
-                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+def _id_of(node: Column) -> Column:
+    flipped = F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("bigint")
+    return flipped.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def _classes(texts: DataFrame, similarity: float, words: int, bands: int, rows: int
+             ) -> tuple[DataFrame, DataFrame]:
+    """Of ``doc_id, text``: ``doc_id, text_key`` of every row, ``text_key, id, root`` of every text."""
     keyed = texts.select("doc_id", F.md5("text").alias("text_key"), "text")
     signed = written(keyed.mapInArrow(
         _signatures(words, bands, rows),
         "doc_id bigint, text_key string, bands array<bigint>"))
     # One text each: copies meet before anything is compared, summed up ahead of the shuffle.
     originals = written(signed.groupBy("text_key").agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
+        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).select(
+        "text_key", _node(F.col("doc_id"), F.col("text_key")).alias("id"), "bands"))
     entries = originals.where("id is not null").select("id", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(
         F.count(F.lit(1)).alias("members"),
@@ -313,8 +321,9 @@ def near_duplicates(
 
     involved = met.select("id").distinct()
     sets = written(
-        texts.join(involved, texts["doc_id"] == involved["id"]).select("id", "text")
-        .dropDuplicates(["id"]).mapInArrow(_sets(words), "id bigint, hashes array<bigint>"))
+        keyed.select(_node(F.col("doc_id"), F.col("text_key")).alias("id"), "text")
+        .join(involved, "id").dropDuplicates(["id"])
+        .mapInArrow(_sets(words), "id binary, hashes array<bigint>"))
     spokes = met.where("id <> leader").select(
         F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     verified = written(_similarity(spokes, sets))
@@ -333,14 +342,52 @@ def near_duplicates(
                         .unionByName(more))
     classes = originals.select("text_key", "id").join(
         closed.select(F.col("node").alias("id"), "root"), "id", "left").select(
-        "text_key", F.coalesce("root", "id").alias("class_id"))
-    return signed.select("doc_id", "text_key").join(classes, "text_key").select(
-        "doc_id", "class_id")
+        "text_key", "id", F.coalesce("root", "id").alias("root"))
+    return signed.select("doc_id", "text_key"), classes
+
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each class: that of its smallest id. Rows with null ids stay."""
-    kept = near_duplicates(docs, id_col, **options).where("doc_id = class_id").select(
-        F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    similarity: float = SIMILARITY,
+    words: int = WORDS,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """``doc_id, class_id`` of every row; a class is named by its smallest id.
+
+    Two texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of at
+    least ``similarity``; a class is a component of links. Equal texts are always in one class, so
+    empty texts (and nulls, which count as empty) are one class. Different texts without any word
+    are not linked. A row with a null id has the class of the equal texts that have ids, else null.
+    Repeated rows are copies. Unlike texts that share an id are compared each, so their classes may
+    have the same name. Other columns are not read. An empty table gives no rows.
+    """
+    keys, classes = _classes(_texts(docs, id_col, text_col), similarity, words, bands, rows)
+    named = classes.select("text_key", _id_of(F.col("root")).alias("class_id"))
+    return keys.join(named, "text_key").select("doc_id", "class_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS,
+             rows: int = ROWS) -> DataFrame:
+    """``docs`` with one row of each class, that of its smallest id, and its own columns only.
+
+    Of unlike texts that share an id each is kept, of rows that repeat id and text one. Rows with
+    null ids stay.
+    """
+    _, classes = _classes(_texts(docs, id_col, text_col), similarity, words, bands, rows)
+    key = "_node"
+    while key in docs.columns:
+        key += "_"
+    kept = classes.where("id = root").select(F.col("id").alias(key))
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(key, _node(
+        F.col(id_col).cast("bigint"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    one = named.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -153,6 +153,58 @@ def test_links_outside_the_leaders_star_are_found(spark):
     assert got == classes_of(texts) and set(got.values()) == {0}
 
 
+def test_a_line_repeated_on_one_side_hides_no_pair(spark):
+    rng, texts = random.Random(11), {}
+    for pair in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        line = words[40:52]
+        texts[2 * pair] = " ".join(words)
+        texts[2 * pair + 1] = " ".join([*words[:-7], *line * 32])
+    alike = [jaccard(shingle_set(texts[i]), shingle_set(texts[i + 1])) for i in range(0, 600, 2)]
+    assert 0.8 <= min(alike) and max(alike) < 0.85
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 600, 2)) >= 297
+
+
+def test_unlike_texts_of_one_id_stay_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    docs = spark.createDataFrame(
+        [(1, a, "x"), (1, b, "x"), (1, b, "x"), (2, a + " z", "x"), (-(1 << 63), b + " z", "x"),
+         ((1 << 63) - 1, "c", "x")], "doc_id bigint, text string, _node string")
+    got = sorted((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(docs).collect())
+    low, high = -(1 << 63), (1 << 63) - 1
+    assert got == [(low, low), (1, low), (1, low), (1, 1), (2, 1), (high, high)]
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [
+        (low, b + " z"), (1, a), (high, "c")]
+
+
+def test_one_outsider_costs_no_copies_of_a_bucket(spark, monkeypatch):
+    """A bucket of many members and one outsider: every member meets it once."""
+    monkeypatch.setattr(near_dedup, "CELL_MEMBERS", 100)
+    members = 5_000
+    key = F.unhex(F.lpad(F.hex("id"), 32, "0"))
+    placed = spark.range(members).select(
+        F.lit(1).alias("band"), key.alias("id"),
+        F.when(F.col("id") == 7, key).otherwise(F.unhex(F.lpad(F.lit("0"), 32, "0"))).alias("root"),
+        (F.col("id") == 7).alias("outside"))
+    sets = spark.range(members).select(key.alias("id"), F.array(
+        F.lit(1), F.lit(2), F.lit(3)).cast("array<bigint>").alias("hashes"))
+    seen = spark.sparkContext.accumulator(0)
+    inner = near_dedup._cell_links(0.8)
+
+    def counting(left, right):
+        seen.add(right.num_rows)
+        return inner(left, right)
+
+    monkeypatch.setattr(near_dedup, "_cell_links", lambda similarity: counting)
+    links = near_dedup._missing_links(placed, sets, 0.8).collect()
+    assert seen.value == members and links
+    assert all(7 in (int(r.a.hex(), 16), int(r.b.hex(), 16)) for r in links)
+
+
 def test_op2_over_the_given_documents(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     got = {r.doc_id: r.class_id for r in queries.op2_near_duplicates(spark, FOLDER).collect()}
