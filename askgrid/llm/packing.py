@@ -1,7 +1,9 @@
 """Packing by cutting-stock column generation over a length histogram.
 
 Every document becomes pieces: as many full sequences as fit, and a rest. Piece lengths are counted
-in classes of ``unit`` tokens, which is all the driver sees (``capacity / unit`` numbers at most).
+in classes whose width grows with the length, exact up to 64 tokens and ``unit`` tokens at most, so
+that a class overstates its pieces by less than a thirtieth; their counts are all the driver sees
+(``capacity / unit`` and about a hundred more numbers at most).
 A linear program over patterns (how many pieces of each class share a sequence) is solved by column
 generation: the dual prices of the classes go into an unbounded knapsack, solved by dynamic
 programming, whose best pattern enters the basis until none is worth more than one sequence. The
@@ -25,32 +27,55 @@ from askgrid.plans.shared import written
 
 CAPACITY = 4096
 UNIT = 16
-MOST_PIVOTS = 4_000
+#: Length up to which classes are exact.
+EXACT = 64
+#: A pattern worth this little more than a sequence ends the program: it is within that share of the
+#: least number of sequences.
+GAP = 5e-4
+#: Pivots after which the linear program stops improving; its patterns hold every piece all the same,
+#: at worst with more padding.
+MOST_PIVOTS = 20_000
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "class int, part bigint, local_rank bigint")
 
 
-# --- the linear program (driver; sizes bounded by capacity / unit) ----------------------------
+# --- the linear program (driver; as many sizes as classes) -------------------------------------
+
+def class_of(length: np.ndarray, unit: int) -> np.ndarray:
+    """The length rounded up to its class: steps of 1 up to ``EXACT``, then 2, 4 ... ``unit``."""
+    out, step = np.array(length, np.int64), 1
+    while step < unit:
+        step *= 2
+        wide = length > EXACT * step // 2
+        out[wide] = -(-length[wide] // min(step, unit)) * min(step, unit)
+    return out
+
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack: how many of each item give the highest value within ``capacity``."""
+    """Unbounded knapsack: how many of each item give the highest value within ``capacity``.
+
+    Items enter one by one, small ones first; one that smaller ones already beat at its own size is
+    passed over. With sizes counted in rows of an item's size, the best of a column is a
+    running maximum, so an item costs one pass over all rooms.
+    """
     best = np.zeros(capacity + 1)
     taken = np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        fits = np.flatnonzero(sizes <= room)
-        if fits.size:
-            worth = best[room - sizes[fits]] + values[fits]
-            top = int(np.argmax(worth))
-            if worth[top] > best[room] + 1e-12:
-                best[room], taken[room] = worth[top], fits[top]
-    counts, room = np.zeros(sizes.size), capacity
-    while room > 0:
-        if taken[room] < 0:
-            room -= 1
-        else:
-            counts[taken[room]] += 1
-            room -= sizes[taken[room]]
+    for i in np.argsort(sizes, kind="stable"):
+        size = int(sizes[i])
+        if size > capacity or values[i] <= best[size] + 1e-12:
+            continue
+        rows = -(-(capacity + 1) // size)
+        grid = np.full(rows * size, -np.inf)
+        grid[:capacity + 1] = best
+        climb = (np.arange(rows) * values[i])[:, None]
+        grid = (np.maximum.accumulate(grid.reshape(rows, size) - climb, axis=0) + climb).ravel()
+        grid = grid[:capacity + 1]
+        better = grid > best + 1e-12
+        best[better], taken[better] = grid[better], i
+    counts, room = np.zeros(sizes.size), int(np.argmax(best))
+    while taken[room] >= 0:
+        counts[taken[room]] += 1
+        room -= int(sizes[taken[room]])
     return counts
 
 
@@ -69,7 +94,7 @@ def solve_patterns(demand: np.ndarray, sizes: np.ndarray, capacity: int):
             column[worst] = -1.0
         else:
             column, price = best_pattern(np.maximum(prices, 0), sizes, capacity), 1.0
-            if prices @ column <= 1.0 + 1e-7:
+            if prices @ column <= 1.0 + GAP:
                 break
         step = inverse @ column
         up = step > 1e-9
@@ -121,7 +146,7 @@ def _pieces(file: str, end_id: int, capacity: int, unit: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(file), TaskContext.get().partitionId()
-        seen = np.zeros(capacity // unit + 1, np.int64)
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for first, size in slices(batch.column(1)):
                 out = enc.ids(batch.column(1).slice(first, size))
@@ -135,7 +160,7 @@ def _pieces(file: str, end_id: int, capacity: int, unit: int):
                 length = np.minimum(tokens[doc] - start, capacity)
                 lo = offsets[doc] + start
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(lo, lo + length)]
-                kind = -(-length // unit)
+                kind = class_of(length, unit)
                 order = np.argsort(kind, kind="stable")
                 counts = np.bincount(kind, minlength=seen.size)
                 rank = np.empty(doc.size, np.int64)
@@ -179,8 +204,8 @@ def pack_documents(
     pieces = written(rows.mapInArrow(_pieces(file, end_id, capacity, unit), PIECES))
     per_part = pieces.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["class"]: r["n"] for r in per_part.groupBy("class").agg(
-        F.sum("n").alias("n")).collect()}  # at most capacity / unit rows
-    plan = plan_sequences(histogram, capacity // unit)
+        F.sum("n").alias("n")).collect()}  # one row per class
+    plan = plan_sequences(histogram, capacity)
 
     slots, base, used = [], 0, dict.fromkeys(histogram, 0)
     for counts, times in plan:

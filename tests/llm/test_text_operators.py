@@ -151,6 +151,15 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0), WORD).count() == 0
 
 
+@pytest.mark.parametrize("length", [3, 17, 33, 70, 300])
+def test_short_documents_fill_their_sequences(spark, length):
+    texts = {i: "word " * (length - 1) for i in range(2_000)}
+    docs = frame(spark, list(texts.items()))
+    rows = packing.pack_documents(docs, WORD).collect()
+    check_packed(rows, texts)
+    assert len({r.sequence_id for r in rows}) == -(-2_000 // (4096 // length))  # no fewer can do
+
+
 def test_op5_over_the_given_documents(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     assert check_packed(queries.op5_packing(spark, FOLDER).collect(), texts) > 0.95
