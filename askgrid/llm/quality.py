@@ -124,16 +124,17 @@ def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for first, size in slices(batch.column(0)):
             x = features(batch.column(0).slice(first, size))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(first, size),
+                [batch.column(1).slice(first, size), batch.column(2).slice(first, size),
                  pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(
-                     pa.list_(pa.float64()))], names=["good", "x"])
+                     pa.list_(pa.float64()))], names=["_id", "good", "x"])
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
     """Fit on the ``fit_rows`` labelled documents whose ids hash lowest.
 
-    Labels of one id are averaged; null ids and null labels are left out. Without labels, or with
+    Labels of one id are averaged; null ids and null labels are left out. Of rows that share an id,
+    the one with the smallest features counts. Without labels, or with
     labels of one class only, every document gets even evidence.
     """
     chosen = (
@@ -142,9 +143,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         .agg((F.avg(F.col(label_col).cast("double")) > 0.5).cast("double").alias("good"))
         .orderBy(F.xxhash64("_id"), "_id").limit(fit_rows))
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("text")).join(
-        F.broadcast(chosen), "_id").select("text", "good")
-    got = rows.mapInArrow(_with_features, "good double, x array<double>").limit(
-        2 * fit_rows).toPandas()
+        F.broadcast(chosen), "_id").select("text", "_id", "good")
+    got = rows.mapInArrow(_with_features, "_id bigint, good double, x array<double>").groupBy(
+        "_id").agg(F.min("x").alias("x"), F.first("good").alias("good")).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, FEATURES)
     order = np.lexsort(x.T[::-1])  # the same sums whatever order tasks end in
     return fit(x[order], got["good"].to_numpy(float)[order])

@@ -5,11 +5,11 @@ A vector is cut into segments; each keeps its mean and deviation. For any two ve
     q . x  <=  sum over segments of length * (mean_q * mean_x + deviation_q * deviation_x),
 
 which is the same statement as the lower bound of their distance by segment means and deviations,
-``|q - x|^2 = |q|^2 + |x|^2 - 2 q . x``. A task compares a block of queries with a block of vectors:
-a few segments give a first bound for all pairs and, from the exact scores of the most promising
-vectors, a threshold that the k-th best cannot be below; more segments thin out the pairs that are
-left; exact products decide among the survivors. Where most pairs survive a block, one dense product
-is cheaper than looking at them one by one; the answer is the same.
+``|q - x|^2 = |q|^2 + |x|^2 - 2 q . x``. A task compares a block of queries with the vectors of its
+cell. The exact scores of the vectors with the highest coarse bounds give each query a first
+threshold. Then come the vectors, block by block: coarse segments rule out pairs, finer ones rule out
+more of what is left, exact products decide among the survivors, and the k-th best score so far is
+carried into the next block as the threshold.
 
 Both sides are dealt to cells by hash, so cells have bounded sizes; each returns at most k rows per
 query, and the best k of those are the answer.
@@ -28,12 +28,14 @@ SEGMENTS = (4, 16)
 VECTOR_SLAB = 4_096
 QUERY_SLAB = 4_096
 BLOCK = 256
-#: Share of surviving pairs from which one dense product is cheaper.
-DENSE_SHARE = 0.05
+VECTOR_BLOCK = 512
+#: Allowance for rounding in the bounds, relative to the largest components.
+_SLACK = 1e-6
+_LONG = np.iinfo(np.int64)
 
 
 def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
-    """Rows whose inner product bounds that of the vectors: scaled means, then deviations."""
+    """Rows whose inner product bounds that of the vectors: scaled means, deviations, allowance."""
     d = vectors.shape[1]
     edges = np.linspace(0, d, min(segments, d) + 1).astype(int) if d else np.zeros(1, int)
     means, devs = [], []
@@ -41,54 +43,76 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
         part, root = vectors[:, lo:hi], np.sqrt(hi - lo)
         means.append(part.mean(axis=1) * root)
         devs.append(part.std(axis=1) * root)
-    return np.stack([*means, *devs], axis=1) if means else np.zeros((len(vectors), 1))
+    if not means:
+        return np.zeros((len(vectors), 1))
+    return np.stack([*means, *devs, np.abs(vectors).max(axis=1) * np.sqrt(d) * _SLACK], axis=1)
+
+
+def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of one vector with rows; sums beyond doubles by Python integers.
+
+    What even a long cannot hold counts as the nearest long.
+    """
+    large = np.abs(q).sum() * np.abs(x).max(axis=1, initial=0) >= 2.0**53
+    score = np.where(large, 0, x @ q).astype(np.int64)
+    for i in np.flatnonzero(large):
+        whole = sum(int(a) * int(b) for a, b in zip(q, x[i]))
+        score[i] = max(_LONG.min, min(_LONG.max, whole))
+    return score
 
 
 def _block_top(q: np.ndarray, q_stats: list, q_ids: np.ndarray, x: np.ndarray, x_stats: list,
-               x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the best k vectors (``x_ids`` ascending) of each query, and their scores."""
+               x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Places of the best k vectors (``x_ids`` ascending) of each query, their scores, and the
+    number of exact products that took."""
     n = len(x)
     own = np.searchsorted(x_ids, q_ids)
     own = np.where((own < n) & (x_ids[np.minimum(own, n - 1)] == q_ids), own, -1)
-    bound = q_stats[0] @ x_stats[0].T
-    has_own = np.flatnonzero(own >= 0)
-    bound[has_own, own[has_own]] = -np.inf
+    rows = cols = score = np.empty(0, np.int64)
+    floor, products = np.full(len(q), -np.inf), 0
     if n > k + 1:
+        bound = q_stats[0] @ x_stats[0].T
+        has_own = np.flatnonzero(own >= 0)
+        bound[has_own, own[has_own]] = -np.inf
         first = np.argpartition(bound, n - k, axis=1)[:, n - k:]
-        least = np.einsum("qd,qkd->qk", q, x[first]).min(axis=1)
-        alive = bound >= (least - 0.5)[:, None]  # scores are whole numbers
-    else:
-        least, alive = np.full(len(q), -np.inf), np.isfinite(bound)
-    # One whole number orders by score, then by smaller id.
-    if alive.mean() > DENSE_SHARE:
-        score = (q @ x.T).astype(np.int64)
-        key = score * n + (n - 1 - np.arange(n))
-        key[~alive] = np.iinfo(np.int64).min
-        if n > k:
-            top = np.argpartition(key, n - k, axis=1)[:, n - k:]
-        else:
-            top = np.broadcast_to(np.arange(n), key.shape)
-        rows = np.repeat(np.arange(len(q)), top.shape[1])
-        cols = top.ravel()
-        real = alive[rows, cols]
-        rows, cols = rows[real], cols[real]
-        return rows, cols, score[rows, cols]
-    rows, cols = np.nonzero(alive)
-    for level in range(1, len(q_stats)):
-        finer = np.einsum("pd,pd->p", q_stats[level][rows], x_stats[level][cols])
-        held = finer >= least[rows] - 0.5
-        rows, cols = rows[held], cols[held]
-    score = np.einsum("pd,pd->p", q[rows], x[cols]).astype(np.int64)
-    order = np.lexsort((cols, -score, rows))
-    rows, cols, score = rows[order], cols[order], score[order]
-    place = np.arange(rows.size) - np.searchsorted(rows, rows)
-    return rows[place < k], cols[place < k], score[place < k]
+        reach = np.abs(q).max(axis=1, initial=0) * np.abs(x).max(initial=0) * q.shape[1] * _SLACK**2
+        floor = np.einsum("qd,qkd->qk", q, x[first]).min(axis=1) - reach
+        # Beyond longs scores tie at the ends.
+        floor = np.where(floor <= _LONG.min, -np.inf, np.minimum(floor, 2.0**63 - 2048))
+        products = first.size
+    for lo in range(0, n, VECTOR_BLOCK):
+        block = slice(lo, lo + VECTOR_BLOCK)
+        alive = np.ones((len(q), len(x[block])), bool)
+        here = np.flatnonzero((own >= lo) & (own < lo + VECTOR_BLOCK))
+        alive[here, own[here] - lo] = False
+        # Scores are whole numbers: half a step below the threshold nothing can reach it.
+        for of_q, of_x in zip(q_stats, x_stats):
+            a, b = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+            alive[np.ix_(a, b)] &= of_q[a] @ of_x[block][b].T >= (floor[a] - 0.5)[:, None]
+        r, c = np.nonzero(alive)
+        if not r.size:
+            continue
+        asking, start = np.unique(r, return_index=True)
+        found = np.concatenate([
+            _exact(q[i], x[block][places]) for i, places in zip(asking, np.split(c, start[1:]))])
+        products += found.size
+        best = found >= floor[r] - 0.5
+        rows, cols = np.concatenate([rows, r[best]]), np.concatenate([cols, c[best] + lo])
+        score = np.concatenate([score, found[best]])
+        order = np.lexsort((cols, -1 - score, rows))  # ~score: no overflow at the least long
+        rows, cols, score = rows[order], cols[order], score[order]
+        place = np.arange(rows.size) - np.searchsorted(rows, rows)
+        best = place < k
+        rows, cols, score, place = rows[best], cols[best], score[best], place[best]
+        last = place == k - 1
+        floor[rows[last]] = np.maximum(floor[rows[last]], score[last])
+    return rows, cols, score, products
 
 
 def _matrix(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ids ascending, each once (the smallest of its vectors), and their rows."""
     ids = frame["vec_id"].to_numpy(np.int64)
-    vectors = np.array(frame["vector"].tolist(), np.float64).reshape(len(ids), -1)
+    vectors = np.stack(frame["vector"].to_numpy()).astype(np.float64).reshape(len(ids), -1)
     order = np.lexsort((*vectors.T[::-1], ids)) if vectors.shape[1] else np.argsort(ids)
     ids, vectors = ids[order], vectors[order]
     fresh = np.ones(len(ids), bool)
@@ -102,15 +126,12 @@ def _cell(k: int):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(np.int64)
         q_ids, q = _matrix(queries)
         x_ids, x = _matrix(vectors)
-        largest = float(np.abs(q).sum(axis=1).max(initial=0) * np.abs(x).max(initial=0))
-        if largest * (len(x) + 1) >= 2**53:
-            raise OverflowError("scores of vectors this long are not exact in double precision")
         q_stats = [segment_statistics(q, s) for s in SEGMENTS]
         x_stats = [segment_statistics(x, s) for s in SEGMENTS]
         out = []
         for lo in range(0, len(q), BLOCK):
             part = slice(lo, lo + BLOCK)
-            rows, cols, score = _block_top(
+            rows, cols, score, _ = _block_top(
                 q[part], [s[part] for s in q_stats], q_ids[part], x, x_stats, x_ids, k)
             out.append(pd.DataFrame({"query_id": q_ids[part][rows], "vec_id": x_ids[cols],
                                      "score": score}))
@@ -134,7 +155,8 @@ def topk_inner(
 
     Both tables have ``vec_id`` and ``vector`` (whole numbers as doubles, no nulls inside). A query
     is not compared with the vector of its own id, nor with vectors of another length. Ties go to
-    the smaller id. Of rows repeated with one id, the smallest vector counts, once.
+    the smaller id. Of rows repeated with one id, the smallest vector counts, once. Scores are exact
+    whatever their size; one that a long cannot hold counts as the nearest long.
     """
     vector_slabs = max(1, -(-vectors.count() // vector_slab))
     query_slabs = max(1, -(-queries.count() // query_slab))

@@ -236,6 +236,16 @@ def test_sites_shift_and_shrink(spark):
     assert got["bad", "new"] > got["bad", "p"]
 
 
+def test_repeated_ids_leave_the_fit_alone(spark):
+    rows = [(i, ("fine words here " if i % 2 else "X!!! ") * (3 + i % 5)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    once = quality.fit_model(docs, labels, fit_rows=50)
+    again = quality.fit_model(docs.unionByName(docs).unionByName(docs).repartition(7), labels,
+                              fit_rows=50)
+    assert np.array_equal(once.weights, again.weights) and once.weights.any()
+
+
 def test_quality_without_usable_labels(spark):
     docs = spark.createDataFrame(
         [(1, "a b c", "h", "en", 1.0), (None, None, None, None, 2.0), (1, "a b c", "h", "en", 1.0)],
@@ -398,13 +408,30 @@ def test_bounds_prune_smooth_vectors_and_lose_nothing():
     for level in stats:
         assert (level[:40] @ level.T >= exact - 1e-6).all()
     ids = np.arange(3000)
-    rows, cols, score = segment_search._block_top(
+    rows, cols, score, products = segment_search._block_top(
         smooth[:40], [s[:40] for s in stats], ids[:40], smooth, stats, ids, 20)
+    assert products < 0.3 * exact.size
     for q in range(40):
         order = sorted((-int(exact[q, i]), i) for i in range(3000) if i != q)[:20]
         assert sorted((-int(s), int(i)) for s, i in zip(score[rows == q], cols[rows == q])) == order
 
 
+def test_scores_beyond_doubles_are_exact(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-(1 << 24), 1 << 24, 6)]) for i in range(60)]
+    rows += [(100, [1e15] * 6), (120, [-1e15] * 6)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    got = {}
+    for r in segment_search.topk_embeddings(table, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    limit = (1 << 63) - 1
+    for q in (i for i in whole if i % 20 == 0):
+        scored = sorted((-max(-limit - 1, min(limit, sum(a * b for a, b in zip(whole[q], v)))), i)
+                        for i, v in whole.items() if i != q)
+        assert got[q] == [(i, -s) for s, i in scored[:5]]
+
+
 def test_op8_edits_and_estimates(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: r for r in queries.op8_fingerprints(spark, "/root/testdata/sf0.01").collect()}
