@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from askgrid.llm import mixing, near_dedup, packing, quality
-from askgrid.llm.queries import MIX_LEVELS, MIX_WEIGHTS, with_domain
+from askgrid.llm.queries import MIX_LEVELS, MIX_WEIGHTS, domain_of
 from askgrid.plans.shared import written
 
 MIX_SHARE = 0.8
@@ -29,9 +30,17 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by target weights, within one epoch."""
-    taken = mixing.mix(with_domain(docs), MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, max_epochs=1)
-    return taken.select(*docs.columns)
+    """Documents by target weights, within one epoch.
+
+    Columns have plain names meanwhile, so that a column of ``docs`` called like one of the tree or
+    of the operator (``domain``, ``epoch``) comes back as it was.
+    """
+    plain = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    tree = docs.toDF(*plain.values()).withColumn("domain", domain_of(F.col(plain["source"])))
+    taken = mixing.mix(
+        tree, [plain.get(c, c) if c != "domain" else c for c in MIX_LEVELS], MIX_WEIGHTS, MIX_SHARE,
+        max_epochs=1, id_col=plain["doc_id"], text_col=plain["text"])
+    return taken.select(*plain.values()).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
