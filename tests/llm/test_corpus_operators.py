@@ -517,3 +517,15 @@ def test_pipeline_stages(spark):
     ran = corpus_pipeline.run(spark, FOLDER)
     assert sorted(ran.select("doc_id", "start", "length").collect()) == sorted(
         (r.doc_id, r.start, r.length) for r in packed)
+
+
+def test_mixing_stage_leaves_clashing_columns_alone(spark):
+    rows = [(i, f"one two {i}", "en", f"src{i % 3}", "example.org", 7, None) for i in range(30)]
+    rows += [rows[0], (None, None, None, None, None, None, 1.5)]
+    docs = spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, domain string, epoch int, "
+        "_cut double")
+    got = corpus_pipeline.mix(spark, docs, FOLDER)
+    assert got.columns == docs.columns and written(got).count() > 10
+    assert got.exceptAll(docs).count() == 0
+    assert corpus_pipeline.mix(spark, docs.limit(0), FOLDER).count() == 0
