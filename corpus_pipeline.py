@@ -36,7 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of the operator (``domain``, ``epoch``) comes back as it was.
     """
     plain = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
-    tree = docs.toDF(*plain.values()).withColumn("domain", domain_of(F.col(plain["source"])))
+    tree = docs.select(*[docs[f"`{c}`"].alias(name) for c, name in plain.items()],
+                       domain_of(F.col("source")).alias("domain"))
     taken = mixing.mix(
         tree, [plain.get(c, c) if c != "domain" else c for c in MIX_LEVELS], MIX_WEIGHTS, MIX_SHARE,
         max_epochs=1, id_col=plain["doc_id"], text_col=plain["text"])
