@@ -103,10 +103,13 @@ def read_versions(spark: SparkSession, root: str) -> DataFrame:
 def ingest_batch(batch: DataFrame, epoch: int, root: str, dimension: int = 768,
                  load: Callable | None = None, codec: str | Codec = "words",
                  target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS,
-                 stream: str = "batches") -> None:
+                 stream: str = "batches", skip_unchanged: bool = True) -> None:
     """Ingest one batch of ``knowledge_base_id, source_key, filename, media_type, content,
     attempt_seq``; files whose hash equals that of the attempt before them are skipped.
 
+    Without ``skip_unchanged`` every attempt is an upload with a version of its own, as in the
+    reference, where only the import of a corpus compares hashes.
+
     ``stream`` names the source of ``epoch``; epochs of a stream rise, each is ingested once.
     """
     spark = batch.sparkSession
@@ -124,7 +127,8 @@ def ingest_batch(batch: DataFrame, epoch: int, root: str, dimension: int = 768,
                     "document_id": document_id(F.col("knowledge_base_id"), F.col("source_key")),
                 }).withColumn("bucket", commits.bucket_of("document_id", base.buckets))
                     .drop("parse_code", "content", "text"), staging)
-            change = _prepare(parsed, base, root, dimension, load, codec, target, overlap)
+            change = _prepare(parsed, base, root, dimension, load, codec, target, overlap,
+                              skip_unchanged)
             change = Change(change.token, change.added, {}, stream, epoch, change.read)
             done = commits.publish(spark, root, base, change)
             if done is not None:
@@ -137,7 +141,7 @@ def ingest_batch(batch: DataFrame, epoch: int, root: str, dimension: int = 768,
 
 
 def _prepare(parsed: DataFrame, base: Manifest, root: str, dimension: int, load, codec,
-             target: int, overlap: int) -> Change:
+             target: int, overlap: int, skip_unchanged: bool) -> Change:
     """Write the rows of a batch on top of ``base``; nothing is visible before it is published."""
     spark, token, number = parsed.sparkSession, commits.new_token(), base.number + 1
     buckets = [r["bucket"] for r in parsed.select("bucket").distinct().collect()]
@@ -148,12 +152,12 @@ def _prepare(parsed: DataFrame, base: Manifest, root: str, dimension: int, load,
     good = parsed.where(F.col("reject_code").isNull()).drop("bucket")
     stored = _heads(spark, root, base, buckets).drop("bucket")
     heads = stored.where("not deleted")
-    active = heads.where(F.col("active_sha256").isNotNull()).select(
-        *DOCUMENT_KEY, F.col("active_sha256").alias("content_sha256"),
-        F.col("active_version_id").alias("version_id"), F.lit("active").alias("status"))
-    facts, _ = plan_import(
-        active, good.select(*DOCUMENT_KEY, "filename", "attempt_seq", "content_sha256"),
-        order="attempt_seq")
+    facts = good.select(*DOCUMENT_KEY, "filename", "attempt_seq", "content_sha256")
+    if skip_unchanged:
+        active = heads.where(F.col("active_sha256").isNotNull()).select(
+            *DOCUMENT_KEY, F.col("active_sha256").alias("content_sha256"),
+            F.col("active_version_id").alias("version_id"), F.lit("active").alias("status"))
+        facts, _ = plan_import(active, facts, order="attempt_seq")
     numbers = heads.select("document_id", F.col("last_version").alias("version_number"))
     numbered = written(assign_versions(numbers, facts), f"{root}/staging/commit={token}")
     try:

@@ -195,3 +195,18 @@ def test_attempts_inside_a_batch_follow_each_other(spark, tmp_path):
     got = sorted((r.version_number, r.attempt_seq, r.status)
                  for r in read_versions(spark, root).collect())
     assert got == [(1, 0, "superseded"), (2, 2, "superseded"), (3, 4, "active")]
+
+
+def test_uploads_of_the_same_text_are_versions(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    schema = ("knowledge_base_id string, source_key string, filename string, media_type string, "
+              "content binary, attempt_seq bigint")
+    texts = [b"x", b"x", b"y", b"y"]
+    for epoch in range(2):
+        batch = spark.createDataFrame(
+            [("kb", "a", "a.txt", None, bytearray(t), 4 * epoch + i)
+             for i, t in enumerate(texts[:: 1 - 2 * epoch])], schema)
+        ingest_batch(batch, epoch, root, dimension=2, skip_unchanged=False)
+    assert rows(read_versions(spark, root), "version_number", "attempt_seq", "status") == [
+        (i + 1, i, "active" if i == 7 else "superseded") for i in range(8)]
+    assert read_active_chunks(spark, root).count() == 1
