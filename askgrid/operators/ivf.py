@@ -21,7 +21,7 @@ MAX_LISTS = 65_536
 #: Centroids are trained on about so many rows, picked by a hash of their id.
 TRAIN_ROWS = 65_536
 #: Scores held at a time while lists are picked: rows of a block times lists.
-BLOCK_SCORES = 1 << 22
+BLOCK_SCORES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,9 @@ def nearest_ids(matrix: np.ndarray, unit: np.ndarray, lists: int) -> np.ndarray:
     out = np.empty((len(matrix), lists), np.int32)
     step = max(1, BLOCK_SCORES // len(unit))
     for start in range(0, len(matrix), step):
-        scores = np.nan_to_num(np.round(matrix[start:start + step] @ unit.T, 12), nan=-2.0)
+        scores = matrix[start:start + step] @ unit.T
+        np.round(scores, 12, out=scores)
+        np.nan_to_num(scores, copy=False, nan=-2.0)
         if lists == 1:
             out[start:start + step, 0] = scores.argmax(axis=1)
             continue

@@ -35,6 +35,9 @@ SLAB_ROWS = 50_000
 #: Scans of more tasks than this merge their rows per query in two steps.
 ONE_STEP_TASKS = 256
 MERGE_SHARDS = 64
+#: Scores held at a time in a task, and queries they are for at most.
+BLOCK_SCORES = 1 << 19
+BLOCK_QUERIES = 1_024
 
 
 def scope_column(attribute: str) -> str:
@@ -114,6 +117,7 @@ class _TopK:
         self.rows: np.ndarray | None = None
         self.scores: np.ndarray | None = None
         self.ids: np.ndarray | None = None
+        self.floors = np.full(len(batch.ids), -np.inf)
 
     def add(self, block: pa.Table | pa.RecordBatch) -> None:
         if not block.num_rows:
@@ -124,6 +128,9 @@ class _TopK:
         for dimension in {group[1] for group in self.batch.groups}:
             vectors = _unit(_matrix(block.column("embedding"), dimension))
             by_dimension[dimension] = vectors, np.isfinite(vectors).all(axis=1)
+        # Scores of few rows at a time, but of enough that most are ruled out before a merge.
+        queries = min(BLOCK_QUERIES, max((len(g[2]) for g in self.batch.groups), default=1))
+        step = max(self.k, BLOCK_SCORES // queries)
         attributes = {f: _Attribute(block.column(f)) for f in self.batch.filters}
         for key, dimension, rows, matrix in self.batch.groups:
             vectors, mask = by_dimension[dimension]
@@ -132,14 +139,27 @@ class _TopK:
                     mask = mask & attributes[name].among(allowed)
             if not mask.any():
                 continue
-            some_ids = ids[mask]
-            scores = np.round(matrix @ vectors[mask].T, DECIMALS)
-            cut = max(scores.shape[1] - self.k, 0)
-            floors = np.partition(scores, cut, axis=1)[:, cut]
-            hit_rows, hit_columns = np.nonzero(scores >= floors[:, None])
-            self._merge(rows[hit_rows], scores[hit_rows, hit_columns], some_ids[hit_columns])
+            some_ids, some_vectors = ids[mask], vectors[mask]
+            for start in range(0, len(some_ids), step):
+                part_ids, part = some_ids[start:start + step], some_vectors[start:start + step]
+                hits = [self._hits(rows[at:at + BLOCK_QUERIES], matrix[at:at + BLOCK_QUERIES],
+                                   part_ids, part) for at in range(0, len(rows), BLOCK_QUERIES)]
+                self._merge(*(np.concatenate(column) for column in zip(*hits)))
+
+    def _hits(self, rows: np.ndarray, matrix: np.ndarray, ids: np.ndarray, vectors: np.ndarray
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, scores and ids that may be among the ``k`` best, ties with the last one included."""
+        scores = matrix @ vectors.T
+        np.round(scores, DECIMALS, out=scores)
+        cut = max(scores.shape[1] - self.k, 0)
+        floors = np.partition(scores, cut, axis=1)[:, cut]
+        hit_rows, hit_columns = np.nonzero(
+            scores >= np.maximum(floors, self.floors[rows])[:, None])
+        return rows[hit_rows], scores[hit_rows, hit_columns], ids[hit_columns]
 
     def _merge(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        if not len(rows):
+            return
         if self.rows is not None:
             rows = np.concatenate([self.rows, rows])
             scores = np.concatenate([self.scores, scores])
@@ -147,15 +167,19 @@ class _TopK:
         order = np.lexsort((ids, -scores, rows))
         rows, scores, ids = rows[order], scores[order], ids[order]
         first = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - first < self.k
+        place = np.arange(len(rows)) - first
+        keep = place < self.k
         self.rows, self.scores, self.ids = rows[keep], scores[keep], ids[keep]
+        # A query that has k rows needs no score below the last of them.
+        last = place == self.k - 1
+        self.floors[rows[last]] = scores[last]
 
     def result(self, schema: pa.Schema) -> pa.Table:
         if self.rows is None:
             return schema.empty_table()
         columns = [self.batch.ids[self.rows], self.ids, self.scores]
         return pa.table(
-            [pa.array(c.tolist(), type=f.type) for c, f in zip(columns, schema, strict=True)],
+            [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],
             schema=schema,
         )
 

@@ -1,8 +1,11 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from askgrid.operators import ivf
-from askgrid.operators.vector_topk import cell_topk, scope_column, topk_cosine
+from askgrid.operators.vector_topk import _Batch, _TopK, cell_topk, scope_column, topk_cosine
 from askgrid.workload import retrieval
 
 K = 7
@@ -164,3 +167,29 @@ def test_facts_are_the_same_by_broadcast_and_by_shuffle(spark, vectors):
     small, large = attach_facts(top, facts), attach_facts(top, facts, rows=0)
     assert found(small) == found(large) == found(top)
     assert small.columns == large.columns
+
+
+def peak_mb(work):
+    """MB that ``work`` holds at most; numpy reports its arrays."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_scan_holds_few_scores_whatever_the_block_and_the_batch():
+    rng = np.random.default_rng(5)
+    rows, queries = rng.normal(size=(8192, 16)), rng.normal(size=(2500, 16))
+    block = pa.table({"chunk_id": np.arange(8192), "embedding": rows.tolist()})
+    batch = _Batch(pa.table({"query_id": np.arange(2500), "query_vector": queries.tolist()}), [])
+    top = _TopK(batch, K)
+    # All scores of the block are 164 MB.
+    assert peak_mb(lambda: top.add(block)) < 50
+    got = top.result(pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()),
+                                ("similarity", pa.float64())]))
+    want = [i for _, _, i in brute(rows, queries[:20], K)]
+    assert got["chunk_id"].to_pylist()[:20 * K] == want
+    # Lists of all rows: 60 MB of scores at once before.
+    assert peak_mb(lambda: ivf.nearest_ids(rows, queries[:900], 1)) < 20
