@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.operators.ivf import nearest_ids, train_centroids, training_sample
+from askgrid.operators.ivf import BLOCK_SCORES, nearest_ids, train_centroids, training_sample
 from askgrid.operators.vector_topk import (DECIMALS, FILTERS, SLAB_ROWS, _Batch, _output, _ranked,
                                            _TopK, _used_filters, attach_facts, cells, scope_column,
                                            topk_cosine, unit_rows)
@@ -38,6 +38,8 @@ CODEWORDS = 256
 #: Depths that ``tune`` tries, in multiples of k.
 DEPTHS = (2, 3, 4, 5, 8, 12, 20, 40)
 TUNING_QUERIES = 64
+#: Rows that ``probe`` gives at a time: every one holds its query's vector.
+PROBED_ROWS = 4_096
 
 
 @dataclass(frozen=True)
@@ -64,6 +66,17 @@ class PqIndex:
 
 # --- training and encoding ------------------------------------------------------------------------
 
+def _nearest_words(points: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The nearest codeword of every point; only ``BLOCK_SCORES`` scores exist at a time."""
+    out = np.empty(len(points), np.int64)
+    step, half = max(1, BLOCK_SCORES // len(book)), (book**2).sum(axis=1) / 2
+    for start in range(0, len(points), step):
+        scores = points[start:start + step] @ book.T
+        scores -= half
+        out[start:start + step] = scores.argmax(axis=1)
+    return out
+
+
 def _lloyd(points: np.ndarray, words: int, rounds: int, seed: int) -> np.ndarray:
     """Codewords of a bounded sample; repeats where there are fewer different points."""
     rng = np.random.default_rng(seed)
@@ -72,7 +85,7 @@ def _lloyd(points: np.ndarray, words: int, rounds: int, seed: int) -> np.ndarray
         return different[np.arange(words) % len(different)]
     book = different[rng.choice(len(different), words, replace=False)]
     for _ in range(rounds):
-        owner = (points @ book.T - (book**2).sum(axis=1) / 2).argmax(axis=1)
+        owner = _nearest_words(points, book)
         counts = np.bincount(owner, minlength=words)
         sums = np.stack([np.bincount(owner, points[:, i], words)
                          for i in range(points.shape[1])], axis=1)
@@ -134,7 +147,7 @@ def encode(rows: np.ndarray, lists: np.ndarray, centroids: np.ndarray, codebooks
     for g in range(groups):
         book = codebooks[:, bounds[g]:bounds[g + 1]]
         part = residual[:, bounds[g]:bounds[g + 1]]
-        out[:, g] = (part @ book.T - (book**2).sum(axis=1) / 2).argmax(axis=1)
+        out[:, g] = _nearest_words(part, book)
     return out
 
 
@@ -302,11 +315,10 @@ def probe(queries: DataFrame, index: PqIndex, share: float, least: int) -> DataF
         filled = np.flatnonzero(sizes)
         for batch in batches:
             matrix = unit_rows(batch.column(0), centroids.shape[1])
-            every, chosen, places, done = [], [], [], []
-            for row, (lists, counts) in enumerate(zip(batch.column(1).to_pylist(),
-                                                      batch.column(2).to_pylist())):
+            for row, (lists, counts) in enumerate(zip(batch.column(1), batch.column(2))):
                 if not np.isfinite(matrix[row]).all():
                     continue
+                lists, counts = lists.as_py(), counts.as_py()
                 ids = filled if lists is None else np.array(lists, np.int64)
                 n = sizes[ids] if lists is None else np.array(counts, np.int64)
                 order = np.lexsort((ids, -np.round(centroids[ids] @ matrix[row], DECIMALS)))
@@ -314,16 +326,16 @@ def probe(queries: DataFrame, index: PqIndex, share: float, least: int) -> DataF
                 upto = np.cumsum(n)
                 need = max(share * n.sum(), min(least, n.sum()))
                 stop = int(np.searchsorted(upto, need - 1e-9)) + 1 if ids.size else 0
-                every += [row] * len(ids[:stop])
-                chosen += ids[:stop].tolist()
-                places += (upto[:stop] / max(n.sum(), 1)).tolist()
-                done += [stop >= ids.size] * len(ids[:stop])
-            part = batch.take(pa.array(every, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), *part.columns[3:], pa.array(chosen, pa.int32()),
-                 pa.array(sizes[chosen] if chosen else [], pa.int64()),
-                 pa.array(places, pa.float64()), pa.array(done, pa.bool_())],
-                names=["query_vector", *kept, "list_id", "size", "at", "covered"])
+                ids, at = ids[:stop], upto[:stop] / max(n.sum(), 1)
+                for start in range(0, len(ids), PROBED_ROWS):
+                    some = ids[start:start + PROBED_ROWS]
+                    part = batch.take(pa.array(np.full(len(some), row)))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), *part.columns[3:], pa.array(some, pa.int32()),
+                         pa.array(sizes[some], pa.int64()),
+                         pa.array(at[start:start + PROBED_ROWS], pa.float64()),
+                         pa.array(np.full(len(some), stop >= n.size), pa.bool_())],
+                        names=["query_vector", *kept, "list_id", "size", "at", "covered"])
 
     return rows.mapInArrow(run, ", ".join(
         [*(f"{c} {types[c]}" for c in ("query_vector", *kept)), "list_id int, size bigint",

@@ -6,6 +6,7 @@ import pytest
 from askgrid.operators import ivf, ivfpq
 from askgrid.operators.vector_topk import scope_column, topk_cosine
 from tests.conftest import rows as all_rows
+from tests.test_vector_topk import peak_mb
 
 K = 10
 
@@ -128,3 +129,19 @@ def test_nearest_ids_order_ties_by_id():
     unit = np.eye(4)[[0, 1, 0, 2, 0]]
     got = ivf.nearest_ids(np.array([[1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0]]), unit, 3)
     assert got.tolist() == [[0, 2, 4], [0, 1, 2]]
+
+
+def test_training_and_encoding_hold_few_scores():
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(40_000, 4))
+    # All scores of a round are 82 MB.
+    assert peak_mb(lambda: ivfpq._lloyd(points, 256, 1, 3)) < 25
+    book = rng.normal(size=(256, 4))
+    want = ((points[:, None] - book) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.array_equal(ivfpq._nearest_words(points, book), want)
+
+
+def test_every_query_probes_every_filled_list_at_full_share(built):
+    _, _, q, index = built
+    sizes = ivfpq.probe(q, index, 1.0, 0).groupBy("query_id").count()
+    assert {r["count"] for r in sizes.collect()} == {int((index.sizes > 0).sum())}
