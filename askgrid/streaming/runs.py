@@ -1,15 +1,21 @@
 """Stateful run fold: live event streams to terminal run rows, same rules as the batch fold.
 
-State per run, in typed variables, so that an event touches only what it changes:
-
-* ``head``: a small struct with the next sequence number and what was seen so far;
-* ``parts``: the texts of the content events, appended and read back once, for the answer;
-* ``waiting``: events that arrived before their turn, by sequence number;
-* an event-time timer at the run's time limit, which also ends the life of a closed run's state.
+A state key holds a bucket of runs, by a hash of the run id: calls to the state store, timers and
+the batches that leave a worker cost about a millisecond a key, so they are shared by its runs.
+State per bucket, in typed variables:
+
+* ``heads``: per run the next sequence number and what was seen so far, as parallel arrays, and the
+  time of the bucket's timer; read and written once per batch that touches the bucket;
+* ``parts``: the texts of the content events by run and number, appended, and read once for the
+  answer;
+* ``waiting``: events that arrived before their turn, by run and sequence number;
+* one event-time timer at the earliest time limit of its runs, which also ends the life of a closed
+  run's state.
 
 Events are applied in ``seq`` order (0, 1, 2, ...); what one batch brings is put into the state
-once, at its end, and a run that ends within a batch never stores its texts. The first terminal event or protocol error closes the run and
-emits its row; a run still open ``timeout`` after its first event fails with ``global_timeout``.
+at its end or when ``HELD`` events are held, and a run that ends before never stores its texts. The
+first terminal event or protocol error closes the run and emits its row; a run still open
+``timeout`` after its first event fails with ``global_timeout``.
 """
 
 from __future__ import annotations
@@ -37,15 +43,20 @@ OUTPUT = (
 _COLUMNS = ["run_id", "conversation_id", "status", "answer", "source_chunk_ids", "intent_route",
             "model_id", "finish_reason", "input_tokens", "output_tokens", "trace", "error_code",
             "late_events"]
-#: Events or texts of one run held before they go to the state.
+#: Events and texts of a bucket held before they go to the state.
 HELD = 10_000
+#: Runs are dealt into so many state keys; part of the stored state, so it stays as it is.
+BUCKETS = 4_096
 _KEPT = [f for f in DONE_FIELDS if f != "outcome"]
 _EVENT = ["seq", "kind", "text", "source_ids", *DONE_FIELDS]
 _WAITING = ("kind string, text string, source_ids array<string>, outcome string, "
             "intent_route string, model_id string, finish_reason string, input_tokens bigint, "
             f"output_tokens bigint, trace {_TRACE}")
-_HEAD = ("next bigint, conversation_id bigint, deadline bigint, closed boolean, late bigint, "
-         "waiting bigint, parts bigint, guided boolean, guidance string, sources array<string>")
+_HEAD = {"next": "bigint", "conversation_id": "bigint", "deadline": "bigint", "closed": "boolean",
+         "late": "bigint", "waiting": "bigint", "parts": "bigint", "guided": "boolean",
+         "guidance": "string", "sources": "array<string>"}
+_HEADS = "timer bigint, run_id array<bigint>, " + ", ".join(
+    f"{name} array<{kind}>" for name, kind in _HEAD.items())
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -76,115 +87,161 @@ def _row(key, head: dict, fields: dict) -> Row:
     return Row(**{c: full.get(c) for c in _COLUMNS})
 
 
+class _Run:
+    """A run while a batch is applied: its head, and what is not yet in the state."""
+
+    __slots__ = ("id", "head", "texts", "early", "terminal", "begun")
+
+    def __init__(self, run_id, head: dict):
+        self.id, self.head = run_id, head
+        self.texts: list[str] = []
+        self.early: dict[int, Row] = {}  # events before their turn
+        self.terminal: dict | None = None
+        self.begun: int | None = None
+
+
 class RunFold(StatefulProcessor):
-    """One run per key; see the module's description."""
+    """A bucket of runs per key; see the module's description."""
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", _HEAD)
-        self.parts = handle.getListState("parts", "text string")
-        self.waiting = handle.getMapState("waiting", "seq bigint", _WAITING)
+        self.heads = handle.getValueState("heads", _HEADS)
+        self.parts = handle.getMapState("parts", "run_id bigint, n bigint", "texts array<string>")
+        self.waiting = handle.getMapState("waiting", "run_id bigint, seq bigint", _WAITING)
 
-    def _load(self) -> dict:
-        names = [part.strip().split(" ")[0] for part in _HEAD.split(", ")]
-        stored = self.head.get()
+    def _load(self) -> tuple[int | None, dict]:
+        """The bucket's timer and the heads of its runs."""
+        stored = self.heads.get()
         if stored is None:
-            return {**dict.fromkeys(names), "next": 0, "closed": False, "late": 0, "waiting": 0,
-                    "parts": 0, "guided": False}
-        return dict(zip(names, stored))
-
-    def _store(self, head: dict) -> None:
-        self.head.update(tuple(head.values()))
+            return None, {}
+        timer, ids, *columns = stored
+        return timer, {run: dict(zip(_HEAD, values)) for run, values in zip(ids, zip(*columns))}
+
+    def _store(self, timer: int | None, heads: dict) -> None:
+        """Write the heads; the timer stands at the earliest time limit."""
+        due = min((h["deadline"] for h in heads.values()), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if not heads:
+            self.heads.clear()
+            return
+        self.heads.update((due, list(heads),
+                           *([h[name] for h in heads.values()] for name in _HEAD)))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        head = self._load()
-        texts: list[str] = []  # content of this batch, not yet in the state
-        early: dict[int, Row] = {}  # events of this batch before their turn
-        terminal, begun = None, None
+        timer, heads = self._load()
+        runs: dict[int, _Run] = {}
+        held = 0
         for row in rows:
-            if head["closed"]:
-                head["late"] += 1
-                continue
-            begun = row.at if begun is None else min(begun, row.at)
-            if head["conversation_id"] is None:
-                head["conversation_id"] = row.conversation_id
-            if row.seq < head["next"] or row.seq in early:
-                head["late"] += 1  # a repeat
-                continue
-            if row.seq > head["next"]:
-                early[row.seq] = row
-                if len(early) == HELD:
-                    self._wait(head, early)
+            run = runs.get(row.run_id)
+            if run is None:
+                if row.run_id not in heads:
+                    heads[row.run_id] = {
+                        **dict.fromkeys(_HEAD), "next": 0, "closed": False, "late": 0,
+                        "waiting": 0, "parts": 0, "guided": False}
+                run = runs[row.run_id] = _Run(row.run_id, heads[row.run_id])
+            held += self._take(run, row)
+            if held >= HELD:
+                for some in runs.values():
+                    if some.terminal is None:
+                        self._append(some)
+                        self._wait(some)
+                held = 0
+        ended = []
+        for run in runs.values():
+            self._limit(run)
+            if run.terminal is None:
+                self._append(run)
+                self._wait(run)
                 continue
-            event = row
-            while event is not None and terminal is None:
-                terminal = self._apply(head, event, texts)
-                event = self._following(head, early)
-            if terminal is not None:
-                head["closed"] = True
-                head["late"] += len(early) + head["waiting"] + (event is not None)
-            elif len(texts) >= HELD:
-                self._append(head, texts)
-        self._time(head, begun)
-        if terminal is None:
-            self._append(head, texts)
-            self._wait(head, early)
-        else:
-            yield _row(key[0], {**head}, terminal)
-            if head["parts"]:
-                self.parts.clear()
-            if head["waiting"]:
-                self.waiting.clear()
+            yield _row(run.id, {**run.head}, run.terminal)
+            ended.append((run.id, {**run.head}))
             # What follows is only counted, until the timer ends the state.
-            head.update(late=0, guidance=None, sources=None, parts=0, waiting=0)
-        self._store(head)
-
-    def _time(self, head: dict, begun: int | None) -> None:
-        """Set the timer to the limit after the earliest event."""
-        if begun is None:
-            return
-        deadline = begun + self.timeout_ms
-        if head["deadline"] is None or deadline < head["deadline"]:
-            if head["deadline"] is not None:
-                self.handle.deleteTimer(head["deadline"])
-            self.handle.registerTimer(deadline)
-            head["deadline"] = deadline
-
-    def _append(self, head: dict, texts: list[str]) -> None:
-        if texts:
-            self.parts.appendList([(t,) for t in texts])
-            head["parts"] += len(texts)
-            texts.clear()
-
-    def _wait(self, head: dict, early: dict[int, Row]) -> None:
+            run.head.update(late=0, guidance=None, sources=None, parts=0, waiting=0)
+        self._drop(ended)
+        self._store(timer, heads)
+
+    def _take(self, run: _Run, row: Row) -> int:
+        """Apply an event of a run or put it aside; 1 if it is held."""
+        head, seq = run.head, row.seq
+        if head["closed"]:
+            head["late"] += 1
+            return 0
+        run.begun = row.at if run.begun is None else min(run.begun, row.at)
+        if head["conversation_id"] is None:
+            head["conversation_id"] = row.conversation_id
+        if seq < head["next"] or seq in run.early:
+            head["late"] += 1  # a repeat
+            return 0
+        if seq > head["next"]:
+            run.early[seq] = row
+            return 1
+        event = row
+        while event is not None and run.terminal is None:
+            run.terminal = self._apply(run, event)
+            event = self._following(run)
+        if run.terminal is None:
+            return 1
+        head["closed"] = True
+        head["late"] += len(run.early) + head["waiting"] + (event is not None)
+        run.texts.clear()
+        run.early.clear()
+        return 0
+
+    def _limit(self, run: _Run) -> None:
+        """The time limit is counted from the earliest event."""
+        if run.begun is not None:
+            deadline, known = run.begun + self.timeout_ms, run.head["deadline"]
+            run.head["deadline"] = deadline if known is None else min(known, deadline)
+
+    def _append(self, run: _Run) -> None:
+        if run.texts:
+            self.parts.updateValue((run.id, run.head["parts"]), (list(run.texts),))
+            run.head["parts"] += 1
+            run.texts.clear()
+
+    def _wait(self, run: _Run) -> None:
         """Put events that came before their turn into the state."""
-        known = head["waiting"] > 0
-        for seq, row in early.items():
-            if known and self.waiting.containsKey((seq,)):
-                head["late"] += 1
+        known = run.head["waiting"] > 0
+        for seq, row in run.early.items():
+            if known and self.waiting.containsKey((run.id, seq)):
+                run.head["late"] += 1
                 continue
-            self.waiting.updateValue((seq,), tuple(row[c] for c in _EVENT[1:]))
-            head["waiting"] += 1
-        early.clear()
+            self.waiting.updateValue((run.id, seq), tuple(row[c] for c in _EVENT[1:]))
+            run.head["waiting"] += 1
+        run.early.clear()
 
-    def _following(self, head: dict, early: dict[int, Row]) -> Row | None:
+    def _following(self, run: _Run) -> Row | None:
         """The next event, if it came before its turn."""
-        at = head["next"]
-        if at in early:
-            return early.pop(at)
-        if not head["waiting"] or not self.waiting.containsKey((at,)):
+        at = run.head["next"]
+        if at in run.early:
+            return run.early.pop(at)
+        if not run.head["waiting"] or not self.waiting.containsKey((run.id, at)):
             return None
-        event = Row(**dict(zip(_EVENT[1:], self.waiting.getValue((at,)))))
-        self.waiting.removeKey((at,))
-        head["waiting"] -= 1
+        event = Row(**dict(zip(_EVENT[1:], self.waiting.getValue((run.id, at)))))
+        self.waiting.removeKey((run.id, at))
+        run.head["waiting"] -= 1
         return event
 
-    def _apply(self, head: dict, event: Row, texts: list[str]) -> dict | None:
+    def _drop(self, ended: list[tuple[int, dict]]) -> None:
+        """Remove the texts and waiting events of runs that are over."""
+        for run, head in ended:
+            for n in range(head["parts"]):
+                self.parts.removeKey((run, n))
+        gone = {run for run, head in ended if head["waiting"]}
+        if gone:
+            for at in [tuple(k) for k in self.waiting.keys() if k[0] in gone]:
+                self.waiting.removeKey(at)
+
+    def _apply(self, run: _Run, event: Row) -> dict | None:
         """Apply the event whose turn it is; the fields of a terminal row once decided."""
-        kind = event.kind
+        head, texts, kind = run.head, run.texts, event.kind
         written = head["parts"] > 0 or bool(texts)
         head["next"] += 1
         if kind == "content":
@@ -206,7 +263,8 @@ class RunFold(StatefulProcessor):
         elif kind == "done":
             answer = head["guidance"]
             if written:
-                stored = (p[0] for p in self.parts.get()) if head["parts"] else ()
+                stored = (t for n in range(head["parts"])
+                          for t in self.parts.getValue((run.id, n))[0])
                 answer = "".join([*stored, *texts])
             end = {c: event[c] for c in DONE_FIELDS}
             if not _fits(end, answer, head["sources"]):
@@ -217,14 +275,19 @@ class RunFold(StatefulProcessor):
         return None
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        head = self._load()
-        self.head.clear()
-        self.parts.clear()
-        self.waiting.clear()
-        if not head["closed"]:
-            yield _row(key[0], head, {"status": "failed", "error_code": TIMEOUT_CODE})
-        elif head["late"]:
-            yield _row(key[0], head, {"status": "late_events"})
+        timer, heads = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        ended = [(run, head) for run, head in heads.items()
+                 if head["deadline"] < now or head["deadline"] == timer]
+        for run, head in ended:
+            del heads[run]
+            if not head["closed"]:
+                yield _row(run, head, {"status": "failed", "error_code": TIMEOUT_CODE})
+            elif head["late"]:
+                yield _row(run, head, {"status": "late_events"})
+        self._drop(ended)
+        # The timer that fired is removed by the engine.
+        self._store(None, heads)
 
     def close(self) -> None:
         pass
@@ -247,8 +310,9 @@ def fold_runs_stream(events: DataFrame, delay: str = "30 seconds",
     use_state_store(events.sparkSession)
     columns = ["run_id", "conversation_id", *_EVENT, "ts"]
     return (
-        events.select(*columns, F.unix_millis("ts").alias("at"))
+        events.select(F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)).alias("bucket"), *columns,
+                      F.unix_millis("ts").alias("at"))
         .withWatermark("ts", delay)
-        .groupBy("run_id")
+        .groupBy("bucket")
         .transformWithState(RunFold(timeout_seconds * 1000), OUTPUT, "append", "eventTime")
     )

@@ -210,3 +210,23 @@ def test_uploads_of_the_same_text_are_versions(spark, tmp_path):
     assert rows(read_versions(spark, root), "version_number", "attempt_seq", "status") == [
         (i + 1, i, "active" if i == 7 else "superseded") for i in range(8)]
     assert read_active_chunks(spark, root).count() == 1
+
+
+def test_runs_of_one_bucket_share_its_state_and_its_timer(spark, tmp_path, monkeypatch):
+    from askgrid.streaming import runs as stream_runs
+
+    monkeypatch.setattr(stream_runs, "BUCKETS", 2)
+    begun = {run: 10 * run for run in range(30)}
+    first = [at(event(run, 1, "content", "b"), s) for run, s in begun.items()]
+    second = [at(event(run, 0, "content", "a"), s) for run, s in begun.items() if run % 3]
+    done = [at(event(run, 2, "done", **DONE), s + 1) for run, s in begun.items() if run % 3 == 1]
+    # The watermark ends at 250 s: what began before 190 s and is open has run out of time.
+    out = run_stream(spark, tmp_path, [first, second, done, [at(event(99, 0, "begin"), 850)]],
+                     delay="10 minutes", timeout_seconds=60)
+    want = {run: ("completed", "ab") if run % 3 == 1 else ("failed", None) for run in begun
+            if run % 3 == 1 or 10 * run + 60 < 250}
+    assert {r.run_id: (r.status, r.answer) for r in out.collect()} == want
+    # All runs lie under two state keys; the old fold had a key for each.
+    keys = spark.read.format("statestore").option("stateVarName", "heads").load(
+        str(tmp_path / "state"))
+    assert keys.count() <= 2
