@@ -12,7 +12,10 @@ WHITE_CHARS = (
     + "".join(chr(c) for c in range(0x2000, 0x200B))
     + "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Single characters below 256 become one table look-up in Java; the others are asked for only
+# between the least and the greatest of them.
+WHITE = (r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
+         r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]")
 
 # Control characters that make a text file binary: all below 32 except tab and line feed, and
 # 127 to 159.
@@ -25,12 +28,24 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITE_CHARS))
 
 
+def strip_line(col: Column) -> Column:
+    """``strip`` of a column that costs nothing to read again, such as a field.
+
+    Trimming a set of characters looks through the whole set at both ends; a text that begins and
+    ends with visible ASCII needs none. Bytes are found at once, characters by counting.
+    """
+    def visible(at: int) -> Column:
+        return F.substring(col.cast("binary"), at, 1).between(F.lit(b"!"), F.lit(b"~"))
+
+    return F.when(visible(1) & visible(-1), col).otherwise(strip(col))
+
+
 def rstrip(col: Column) -> Column:
     return F.rtrim(col, F.lit(WHITE_CHARS))
 
 
 def is_blank(col: Column) -> Column:
-    return strip(col) == ""
+    return F.ltrim(col, F.lit(WHITE_CHARS)) == ""
 
 
 def squeeze_case(col: Column) -> Column:

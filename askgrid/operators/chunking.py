@@ -44,7 +44,8 @@ def token_windows(tokens: Column, codec: Codec, target: int, overlap: int) -> Co
         part = F.slice(tokens, i * step + 1, F.lit(target))
         content = strip(F.array_join(part, codec.joiner))
         # Joined words split back into the same words; other codecs may lose edge blanks.
-        size = F.size(part) if codec.joiner == " " else F.size(codec.encode(content))
+        size = F.least(F.lit(target), n - i * step) if codec.joiner == " " else F.size(
+            codec.encode(content))
         return F.struct(
             content.alias("content"),
             size.cast("int").alias("token_count"),
@@ -74,13 +75,12 @@ def pack_starts(blocks: Column, counts: Column, target: int, gap: int) -> Column
     A heading or another section path starts a group. A block joins the open group while the
     joined text stays within ``target``; a lone heading keeps an oversized block with it.
     """
-    items = F.zip_with(blocks, counts, lambda b, n: F.struct(
-        b["kind"].alias("kind"), b["section_path"].alias("path"), n.alias("n")))
-    placed = F.transform(items, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    items = F.transform(blocks, lambda b, i: F.struct(
+        i.alias("i"), (b["kind"] == "heading").alias("heading"), b["section_path"].alias("path"),
+        F.get(counts, i).alias("n")))
 
-    def step(acc: Column, item: Column) -> Column:
-        x = item["x"]
-        heading = x["kind"] == "heading"
+    def step(acc: Column, x: Column) -> Column:
+        heading = x["heading"]
         room = acc["tokens"] + gap + x["n"] <= target
         fresh = ~acc["open"] | heading | (x["path"] != acc["path"])
         new = fresh | (~room & ~acc["lone"])
@@ -91,7 +91,7 @@ def pack_starts(blocks: Column, counts: Column, target: int, gap: int) -> Column
             F.when(new & full, F.concat(acc["done"], F.array(acc["starts"]))).otherwise(
                 acc["done"]).alias("done"),
             F.when(new, F.concat(F.when(full, F.array().cast("array<int>")).otherwise(
-                acc["starts"]), F.array(item["i"].cast("int")))).otherwise(
+                acc["starts"]), F.array(x["i"].cast("int")))).otherwise(
                 acc["starts"]).alias("starts"),
             F.when(new, fits).otherwise(room).alias("open"),
             F.when(new, x["n"]).otherwise(acc["tokens"] + gap + x["n"]).alias("tokens"),
@@ -104,7 +104,7 @@ def pack_starts(blocks: Column, counts: Column, target: int, gap: int) -> Column
         F.lit(0).alias("tokens"),
         F.lit(False).alias("lone"), F.array().alias("path"),
     ).cast(_PACK)
-    return F.aggregate(placed, start, step, lambda acc: F.flatten(
+    return F.aggregate(items, start, step, lambda acc: F.flatten(
         F.concat(acc["done"], F.array(acc["starts"]))))
 
 
@@ -122,43 +122,46 @@ def group_text(group: Column) -> Column:
     return F.array_join(F.transform(group, lambda b: b["text"]), "\n\n")
 
 
-def _group_chunks(group: Column, codec: Codec, target: int, overlap: int) -> Column:
+def _group_chunks(group: Column, counts: Column, codec: Codec, target: int, overlap: int
+                  ) -> Column:
     """Chunks of one group: itself if it fits, else windows over its tokens."""
-
-    def shape(text: Column, tokens: Column) -> Column:
-        whole = F.array(F.struct(
-            text.alias("content"), F.size(tokens).cast("int").alias("token_count"),
-            F.lit(0).cast("int").alias("overlap")))
-        return F.when(F.size(tokens) <= target, whole).otherwise(
-            token_windows(tokens, codec, target, overlap))
-
     first, last = F.element_at(group, 1), F.element_at(group, -1)
-    chunks = let(group_text(group), lambda text: let(codec.encode(text),
-                                                     lambda tokens: shape(text, tokens)))
-    return F.transform(
-        chunks,
-        lambda c: F.struct(
-            c["content"].alias("content"),
-            c["token_count"].alias("token_count"),
-            c["overlap"].alias("overlap_tokens"),
+
+    def chunk(content: Column, token_count: Column, overlap_tokens: Column) -> Column:
+        return F.struct(
+            content.alias("content"),
+            token_count.cast("int").alias("token_count"),
+            overlap_tokens.cast("int").alias("overlap_tokens"),
             first["ordinal"].alias("block_start_ordinal"),
             last["ordinal"].alias("block_end_ordinal"),
             F.array_min(F.transform(group, lambda b: b["start_line"])).alias("start_line"),
             F.array_max(F.transform(group, lambda b: b["end_line"])).alias("end_line"),
             first["section_path"].alias("section_path"),
             first["page_number"].alias("page_number"),
-        ),
-    )
+        )
+
+    def windows(tokens: Column) -> Column:
+        return F.transform(token_windows(tokens, codec, target, overlap),
+                           lambda w: chunk(w["content"], w["token_count"], w["overlap"]))
+
+    def whole(text: Column, n: Column) -> Column:
+        return F.array(chunk(text, n, F.lit(0)))
+
+    if codec.gap == 0:
+        # The counts of the blocks add up, so that only a group beyond the budget is encoded again.
+        return let(F.aggregate(counts, F.lit(0), lambda acc, n: acc + n), lambda n: F.when(
+            n <= target, whole(group_text(group), n)).otherwise(
+            let(codec.encode(group_text(group)), windows)))
+    return let(group_text(group), lambda text: let(codec.encode(text), lambda tokens: F.when(
+        F.size(tokens) <= target, whole(text, F.size(tokens))).otherwise(windows(tokens))))
 
 
 def _packed(df: DataFrame, codec: Codec, target: int) -> DataFrame:
-    """Add ``_starts`` to documents with a ``blocks`` array."""
+    """Add ``_starts``, and ``_counts`` where they add up, to documents with a ``blocks`` array."""
     if codec.gap is not None:
-        def starts(blocks: Column) -> Column:
-            counts = F.transform(blocks, lambda b: F.size(codec.encode(b["text"])).cast("int"))
-            return pack_starts(blocks, counts, target, codec.gap)
-
-        return df.withColumn("_starts", let(F.col("blocks"), starts))
+        counts = F.transform("blocks", lambda b: F.size(codec.encode(b["text"])).cast("int"))
+        return df.withColumn("_counts", counts).withColumn(
+            "_starts", pack_starts(F.col("blocks"), F.col("_counts"), target, codec.gap))
     encode = codec.encode_texts
     if encode is None:
         raise ValueError("a codec without additive counts needs encode_texts")
@@ -217,9 +220,10 @@ def chunk_documents(df: DataFrame, key: str = "doc_id", target: int = TARGET_TOK
     packed = _packed(df, kind, target)
     if kind.gap is None:
         return _chunk_user_codec(packed, key, kind, target, overlap)
-    groups = groups_of(F.col("blocks"), F.col("_starts"))
+    groups = F.arrays_zip(groups_of(F.col("blocks"), F.col("_starts")).alias("g"),
+                          groups_of(F.col("_counts"), F.col("_starts")).alias("n"))
     chunks = F.flatten(
-        F.transform(groups, lambda g: _group_chunks(g, kind, target, overlap))
+        F.transform(groups, lambda x: _group_chunks(x["g"], x["n"], kind, target, overlap))
     )
     return assemble_chunks(
         packed.select(key, F.posexplode(chunks).alias("chunk_index", "c")).select(

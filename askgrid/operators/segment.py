@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.functions.lets import computed_once, indexed, let
-from askgrid.functions.text import is_blank, rstrip, strip
+from askgrid.functions.text import is_blank, rstrip, strip, strip_line
 
 BLOCK = (
     "struct<ordinal:int,kind:string,text:string,start_line:int,end_line:int,"
@@ -96,8 +96,8 @@ _SPECIAL = r"^[#=*_+0-9`~-]"
 _LINE = "struct<i:int,kind:string,new:boolean,text:string,info:string,listed:boolean>"
 _SEEN = (f"struct<mark:string,fence_indent:int,fence_quoted:boolean,list_indent:int,prev:string,"
          f"last:string,quoted:boolean,line:{_LINE}>")
-_FOLD = (f"struct<seen:{_SEEN},done:array<array<array<{_LINE}>>>,"
-         f"recent:array<array<{_LINE}>>,block:array<array<{_LINE}>>,tail:array<{_LINE}>>")
+_FOLD = (f"struct<seen:{_SEEN},kept:struct<done:array<array<array<{_LINE}>>>,"
+         f"recent:array<array<{_LINE}>>,block:array<array<{_LINE}>>,tail:array<{_LINE}>>>")
 #: Folded lines are kept in batches, so that adding one never copies all before it.
 FOLD_BATCH = 128
 
@@ -108,8 +108,8 @@ _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&
 
 def inline_text(text: Column) -> Column:
     """Text without emphasis marks, code ticks, links, autolinks, entities and escapes."""
-    return let(text, lambda raw: strip(
-        F.when(raw.rlike(r"[*_`\[\\<&]"), _without_marks(raw)).otherwise(raw)))
+    return let(text, lambda raw: F.when(
+        raw.rlike(r"[*_`\[\\<&]"), strip(_without_marks(raw))).otherwise(strip_line(raw)))
 
 
 def _without_marks(text: Column) -> Column:
@@ -145,53 +145,87 @@ def _line_forms(lines: Column) -> Column:
         )
 
     def facts(v: Column, i: Column, body: Column, quoted: Column) -> Column:
-        return let(F.regexp_extract(body, r"^[ \t]*", 0), lambda lead: let(
-            F.substring(body, F.length(lead) + 1, F.length(body)), lambda core: F.struct(
-                i.cast("int").alias("i"), v.alias("v"), body.alias("body"), core.alias("core"),
-                F.length(F.replace(lead, F.lit("\t"), F.lit("    "))).alias("indent"),
-                quoted.alias("quoted"), form(core).alias("form"))))
+        core = F.ltrim(body, F.lit(" \t"))
+        lead = F.regexp_extract(body, r"^[ \t]*", 0)
+        indented = body.startswith(" ") | body.startswith("\t")
+        # Only the form is bound by ``let``: what it binds is copied.
+        return F.struct(
+            i.cast("int").alias("i"), v.alias("v"), body.alias("body"), core.alias("core"),
+            F.when(indented, F.length(F.replace(lead, F.lit("\t"), F.lit("    ")))).otherwise(0)
+            .alias("indent"), quoted.alias("quoted"), let(core, form).alias("form"))
 
     def of(v: Column, i: Column) -> Column:
         quoted = F.ltrim(v).startswith(">") & v.rlike(r"^ {0,3}>")
-        return F.when(quoted, facts(v, i, F.regexp_replace(v, _QUOTE, ""), F.lit(True))).otherwise(
-            facts(v, i, v, F.lit(False)))
+        return F.when(quoted, let(F.regexp_replace(v, _QUOTE, ""), lambda body: facts(
+            v, i, body, F.lit(True)))).otherwise(facts(v, i, v, F.lit(False)))
 
     return F.transform(lines, of)
 
 
-def _gathered(acc: Column) -> tuple[Column, Column, Column, Column]:
-    """``done, recent, block, tail`` with the line last seen.
+def _gathered(acc: Column) -> Column:
+    """``kept`` with the line last seen.
 
     A line goes to the tail of its block; a full tail joins the block, and a finished block the
     recent ones, so adding a line never copies all before it.
     """
-    line = acc["seen"]["line"]
+    line, kept = acc["seen"]["line"], acc["kept"]
     some, fresh = line.isNotNull(), F.coalesce(line["new"], F.lit(False))
-    one, closed = F.array(line), F.array(F.flatten(F.concat(acc["block"], F.array(acc["tail"]))))
-    long, full = F.size(acc["tail"]) >= FOLD_BATCH, F.size(acc["recent"]) >= FOLD_BATCH
+    one, closed = F.array(line), _closed(kept["block"], kept["tail"])
+    long, full = F.size(kept["tail"]) >= FOLD_BATCH, F.size(kept["recent"]) >= FOLD_BATCH
+    none = F.array().cast(f"array<array<{_LINE}>>")
+
+    def of(done: Column, recent: Column, block: Column, tail: Column) -> Column:
+        return F.struct(done.alias("done"), recent.alias("recent"), block.alias("block"),
+                        tail.alias("tail"))
+
+    done, recent, block, tail = (kept[name] for name in ("done", "recent", "block", "tail"))
     return (
-        F.when(fresh & full, F.concat(acc["done"], F.array(acc["recent"]))).otherwise(acc["done"]),
-        F.when(fresh & full, closed).when(fresh, F.concat(acc["recent"], closed)).otherwise(
-            acc["recent"]),
-        F.when(fresh, F.array().cast(f"array<array<{_LINE}>>"))
-        .when(some & long, F.concat(acc["block"], F.array(acc["tail"]))).otherwise(acc["block"]),
-        F.when(some & (fresh | long), one).when(some, F.concat(acc["tail"], one)).otherwise(
-            acc["tail"]),
+        F.when(~some, kept)
+        .when(~fresh & ~long, of(done, recent, block, F.array_append(tail, line)))
+        .when(~fresh, of(done, recent, F.concat(block, F.array(tail)), one))
+        .when(~full, of(done, F.array_append(recent, closed), none, one))
+        .otherwise(of(F.concat(done, F.array(recent)), F.array(closed), none, one))
     )
 
 
+def _closed(block: Column, tail: Column) -> Column:
+    """The lines of a finished block; few have more than one batch."""
+    return F.when(F.size(block) == 0, tail).otherwise(
+        F.flatten(F.concat(block, F.array(tail))))
+
+
 def _fold_line(acc: Column, x: Column) -> Column:
     """The line before goes to its block, and this one is seen.
 
     What is bound by ``let`` is copied, so only the small state is; what is gathered stays outside.
     """
-    done, recent, block, tail = _gathered(acc)
-    return F.struct(_see_line(acc["seen"], x).alias("seen"), done.alias("done"),
-                    recent.alias("recent"), block.alias("block"), tail.alias("tail"))
+    return F.struct(_see_line(acc["seen"], x).alias("seen"), _gathered(acc).alias("kept"))
 
 
 def _see_line(acc: Column, x: Column) -> Column:
-    """One line in the state before it: open fence, open list item, kind of the line above."""
+    """One line in the state before it: open fence, open list item, kind of the line above.
+
+    Most lines are blank or plain text outside fences and lists: those need no rule of Markdown,
+    and so few of the steps that the others take.
+    """
+    blank = x["form"] == "blank"
+    plain = (acc["mark"] == "") & (blank | (
+        (x["form"] == "text") & (acc["list_indent"] < 0) & ~x["quoted"] & (x["indent"] <= 3)))
+    line = F.struct(
+        x["i"].alias("i"), x["form"].alias("kind"),
+        (~blank & ~acc["prev"].isin("text", "item")).alias("new"),
+        F.when(blank, "").otherwise(strip_line(x["core"])).alias("text"),
+        F.lit(None).cast("string").alias("info"), F.lit(False).alias("listed"))
+    seen = F.struct(
+        F.lit("").alias("mark"), acc["fence_indent"].alias("fence_indent"),
+        acc["fence_quoted"].alias("fence_quoted"), acc["list_indent"].alias("list_indent"),
+        x["form"].alias("prev"), F.when(blank, acc["last"]).otherwise("text").alias("last"),
+        x["quoted"].alias("quoted"), line.alias("line"))
+    return F.when(plain, seen).otherwise(_see_marked_line(acc, x))
+
+
+def _see_marked_line(acc: Column, x: Column) -> Column:
+    """``_see_line`` of any line."""
     run = F.when(x["form"] == "fence", F.regexp_extract(x["core"], _FENCE, 1)).otherwise("")
     rest = F.when(x["form"] == "fence", strip(F.regexp_extract(x["core"], _FENCE, 2))).otherwise("")
     fenced = (acc["mark"] != "") & (~acc["fence_quoted"] | x["quoted"])
@@ -236,13 +270,13 @@ def _see_line(acc: Column, x: Column) -> Column:
             .when(k == "code", F.substring(x["body"], base + 5, F.length(x["body"])))
             .when(k == "item", F.regexp_replace(x["core"], _ITEM, ""))
             .when(k.isin("blank", "rule", "close", "open"), "")
-            .otherwise(strip(x["core"]))
+            .otherwise(strip_line(x["core"]))
         )
         width = F.length(F.regexp_extract(x["core"], _ITEM, 0))
         line = F.struct(
             x["i"].alias("i"), k.alias("kind"), fresh.alias("new"), text.alias("text"),
             F.when(k == "open", rest).otherwise(F.when(k == "setext", x["core"])).alias("info"),
-            ((k == "item") | (listing & ~leaves & (k == "text"))).alias("listed")).cast(_LINE)
+            ((k == "item") | (listing & ~leaves & (k == "text"))).alias("listed"))
         return F.struct(
             F.when(k == "open", run).when(k == "fence", acc["mark"]).otherwise("").alias("mark"),
             F.when(k == "open", x["indent"]).otherwise(acc["fence_indent"]).alias("fence_indent"),
@@ -254,7 +288,7 @@ def _see_line(acc: Column, x: Column) -> Column:
             F.when(k == "blank", acc["last"]).otherwise(k).alias("last"),
             x["quoted"].alias("quoted"),
             line.alias("line"),
-        ).cast(_SEEN)
+        )
 
     return let(kind, built)
 
@@ -266,13 +300,14 @@ def _line_groups(lines: Column) -> Column:
         F.lit(-1).alias("list_indent"), F.lit("blank").alias("prev"), F.lit("blank").alias("last"),
         F.lit(False).alias("quoted"), F.lit(None).alias("line"))
     start = F.struct(
-        seen.alias("seen"), F.array().alias("done"), F.array().alias("recent"),
-        F.array().alias("block"), F.array().alias("tail")).cast(_FOLD)
+        seen.alias("seen"), F.struct(
+            F.array().alias("done"), F.array().alias("recent"), F.array().alias("block"),
+            F.array().alias("tail")).alias("kept")).cast(_FOLD)
 
     def finish(acc: Column) -> Column:
-        done, recent, block, tail = _gathered(acc)
-        return F.concat(F.flatten(done), recent,
-                        F.array(F.flatten(F.concat(block, F.array(tail)))))
+        return let(_gathered(acc), lambda kept: F.concat(
+            F.flatten(kept["done"]), kept["recent"],
+            F.array(_closed(kept["block"], kept["tail"]))))
 
     return F.aggregate(_line_forms(lines), start, _fold_line, finish)
 
@@ -280,10 +315,10 @@ def _line_groups(lines: Column) -> Column:
 def _markdown_raw(groups: Column) -> Column:
     """Blocks without section paths, in line order, empty ones dropped."""
 
-    def make(first: Column, part: Column) -> Column:
-        under = F.get(F.filter(part, lambda x: x["kind"] == "setext"), 0)["info"]
-        last = F.element_at(
-            F.filter(part, lambda x: ~x["kind"].isin("blank", "rule")), -1)["i"]
+    def make(part: Column, end: Column) -> Column:
+        # A line under a heading is always the last of its block.
+        first, last = F.get(part, F.lit(0)), end["i"]
+        under = F.when(end["kind"] == "setext", end["info"])
         fence, code = first["kind"] == "open", first["kind"] == "code"
         wanted = F.filter(part, lambda x: F.when(fence, x["kind"] == "fence").when(
             code, x["i"] <= last).otherwise(x["kind"].isin("text", "item", "heading")))
@@ -306,9 +341,13 @@ def _markdown_raw(groups: Column) -> Column:
         return F.struct(*_block(kind, text, first["i"] + 1, last + 1, level=level,
                                 language=language))
 
+    def end(part: Column) -> Column:
+        """The last line with content, found once per block and not again for each of its lines."""
+        return F.element_at(F.filter(part, lambda x: ~x["kind"].isin("blank", "rule")), -1)
+
     real = F.filter(groups, lambda part: F.coalesce(F.get(part, F.lit(0))["new"], F.lit(False)))
     return F.filter(
-        F.transform(real, lambda part: let(F.get(part, F.lit(0)), lambda first: make(first, part))),
+        F.transform(real, lambda part: let(end(part), lambda last: make(part, last))),
         lambda b: F.length(b["text"]) > 0)
 
 
@@ -321,22 +360,22 @@ def _with_paths(blocks: Column) -> Column:
 
     def gathered(acc: Column) -> tuple[Column, Column]:
         heads, full = acc["heads"], F.size(acc["recent"]) >= FOLD_BATCH
-        one = F.array(heads["path"])
         return (
             F.when(heads["any"] & full, F.concat(acc["done"], F.array(acc["recent"]))).otherwise(
                 acc["done"]),
-            F.when(~heads["any"], acc["recent"]).when(full, one).otherwise(
-                F.concat(acc["recent"], one)),
+            F.when(~heads["any"], acc["recent"]).when(full, F.array(heads["path"])).otherwise(
+                F.array_append(acc["recent"], heads["path"])),
         )
 
     def push(acc: Column, block: Column) -> Column:
         level, heading, heads = block["heading_level"], block["kind"] == "heading", acc["heads"]
         grown = F.concat(F.filter(heads["stack"], lambda x: x["level"] < level), F.array(
             F.struct(level.alias("level"), block["text"].alias("text"))))
-        after = let(F.when(heading, grown).otherwise(heads["stack"]), lambda stack: F.struct(
-            stack.alias("stack"),
-            F.when(heading, F.transform(stack, lambda x: x["text"])).otherwise(heads["path"])
-            .alias("path"), F.lit(True).alias("any")).cast(_HEADS))
+        after = F.when(heading, let(grown, lambda stack: F.struct(
+            stack.alias("stack"), F.transform(stack, lambda x: x["text"]).alias("path"),
+            F.lit(True).alias("any")))).otherwise(F.struct(
+                heads["stack"].alias("stack"), heads["path"].alias("path"),
+                F.lit(True).alias("any")))
         done, recent = gathered(acc)
         return F.struct(after.alias("heads"), done.alias("done"), recent.alias("recent"))
 
@@ -360,8 +399,8 @@ def markdown_blocks(text: Column) -> Column:
     inside a list item are list items; code is fenced or indented. Work grows with the number of
     lines: one fold classifies them, with what came before it in batches.
     """
-    return _numbered(let(F.split(text, "\n"), lambda lines: let(_line_groups(lines), lambda groups:
-                     let(_markdown_raw(groups), _with_paths))))
+    # Only what is read twice is bound: each ``let`` copies the blocks once more.
+    return _numbered(let(_markdown_raw(_line_groups(F.split(text, "\n"))), _with_paths))
 
 
 # --- CSV ------------------------------------------------------------------------------------

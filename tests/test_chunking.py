@@ -137,3 +137,30 @@ def test_embedding_port_loads_once_per_worker_and_validates(spark):
     assert rows(out, "doc_id", "violation") == [(1, None), (2, "not_normalized")]
     counts = embedding.vector_count_violations(df, df.where("doc_id = 1"), "doc_id")
     assert rows(counts) == [(2, 1, 0)]
+
+
+def test_groups_within_the_budget_are_counted_not_encoded_again(spark):
+    from askgrid.functions.codecs import Codec
+
+    def encode(text):
+        joined = F.raise_error(F.lit("encoded again")).cast("array<string>")
+        return F.when(text.contains("\n\n"), joined).otherwise(WORDS.encode(text))
+
+    mine = Codec("w", "1", encode, " ", gap=0)
+    documents = [[("paragraph", "a b", ()), ("paragraph", "c", ()),
+                  ("paragraph", "d e f g h i j", ())]]
+    out = chunking.chunk_documents(as_blocks(spark, *documents), target=4, overlap=1, codec=mine)
+    assert rows(out, "content", "token_count", "overlap_tokens") == [
+        ("a b\n\nc", 3, 0), ("d e f g", 4, 0), ("g h i j", 4, 1)]
+
+
+def test_blanks_trimming_and_words_agree_on_all_characters(spark):
+    from askgrid.functions.text import WHITE, WHITE_CHARS, is_blank, strip, strip_line
+
+    found = spark.range(1, 0x10000).where("id not between 55296 and 57343").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    c, edged = F.col("c"), F.concat("c", F.lit("a b"), "c")
+    white = c.isin(list(WHITE_CHARS))
+    odd = (c.rlike(f"^{WHITE}$") != white) | (is_blank(c) != white) | (
+        strip_line(edged) != strip(edged)) | (strip_line(c) != strip(c))
+    assert rows(found.where(odd)) == []

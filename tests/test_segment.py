@@ -191,3 +191,24 @@ def test_whole_texts_are_segmented_and_chunked(spark, tmp_path):
     chunks = ingest.R.queries["a12_a13_a14_chunk_documents"](spark, str(tmp_path))
     assert {r["doc_id"]: r["last"] for r in chunks.groupBy("doc_id").agg(
         {"block_end_ordinal": "max"}).toDF("doc_id", "last").collect()} == {1: 11, 2: 9}
+
+
+def test_last_line_of_a_block_is_found_once(spark):
+    from pyspark.sql import functions as F
+
+    # Inside the filter over a block's lines it was found again for each line of indented code.
+    assert str(segment._markdown_raw(F.col("groups"))).count("blank") == 1
+    text = "\n".join(f"    c{i}" for i in range(300))
+    assert short(spark, text + "\n\n# h") == [
+        ("code_block", text.replace("    ", ""), 1, 300), ("heading", "h", 302, 302)]
+
+
+def test_plain_lines_need_no_rule(spark, monkeypatch):
+    rng = random.Random(11)
+    parts = ["", " ", "\t", "text", "more　", "# H", "- item", "1. one", "  in", "     deep",
+             "\tcode", "```", "~~~", "> q", "> ```", "> - qi", ">", "===", "---", "***", "é", "> # h"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(300)]
+    frame = docs(spark, *texts)
+    got = rows(segment.segment_markdown(frame))
+    monkeypatch.setattr(segment, "_see_line", segment._see_marked_line)
+    assert got == rows(segment.segment_markdown(frame))
