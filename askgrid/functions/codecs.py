@@ -34,8 +34,13 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, WHITE + "+"), "")
 
 
+def _chars(text: Column) -> Column:
+    """Characters; splitting an empty text would give one empty token."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
 WORDS = Codec("words", "1", _words, " ", gap=0)
-CHARS = Codec("chars", "1", lambda text: F.split(text, ""), "", gap=2)
+CHARS = Codec("chars", "1", _chars, "", gap=2)
 
 
 def user_codec(

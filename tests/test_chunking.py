@@ -164,3 +164,19 @@ def test_blanks_trimming_and_words_agree_on_all_characters(spark):
     odd = (c.rlike(f"^{WHITE}$") != white) | (is_blank(c) != white) | (
         strip_line(edged) != strip(edged)) | (strip_line(c) != strip(c))
     assert rows(found.where(odd)) == []
+
+
+def test_word_and_character_counts_equal_the_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+    from askgrid.workload import ingest
+
+    texts = ["", None, " ", "\n", "a", " a  b\r\n\tc\f", "é \U0001f600\U0001f600", "e\u0301\u200bx",
+             "x\0y"]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    got = rows(ingest.R.queries["a15_word_codec"](spark, str(tmp_path)), "doc_id", "words", "chars")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{path}/*.parquet')")
+    want = con.execute(ingest.R.sql["a15_word_codec"]).fetchall()
+    assert got == sorted(want)
+    assert got[:3] == [(0, 0, 0), (1, None, None), (2, 0, 1)]
